@@ -16,7 +16,7 @@ def clean_identifier(v: Column) -> Column:
 
 def luhn(v: Column) -> Column:
     d = digits(v)
-    return (F.length(d) > 0) & F.luhn_check(d)
+    return (F.length(d) > 0) & F.call_function("luhn_check", d)
 
 
 def iban(v: Column, checksum: bool = True) -> Column:

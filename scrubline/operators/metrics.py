@@ -1,9 +1,12 @@
 """Agreement of predicted with true spans, leakage, and scores."""
 
-from __future__ import annotations
+import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fbeta(p: Column, r: Column, beta: float = 2.0) -> Column:
@@ -69,16 +72,25 @@ def axis_score(span: Column, leak: Column, seconds: Column, risk: Column | None
     return F.round(sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts), F.lit(0.0)) / total, 6)
 
 
+def _bleu(original: str | None, changed: str | None) -> float:
+    if not original or not changed or not changed.split():
+        return 0.0
+    if original == changed:
+        return 1.0
+    ref, hyp = original.split(), changed.split()
+    hits = total = 0
+    for n in (1, 2):
+        a, b = (Counter(zip(*[w[k:] for k in range(n)], strict=False)) for w in (ref, hyp))
+        hits += (a & b).total()
+        total += max(0, len(hyp) - n + 1)
+    penalty = math.exp(1 - len(ref) / len(hyp)) if len(hyp) < len(ref) else 1.0
+    return round(penalty * hits / total, 4)
+
+
+def _bleu_all(original: pd.Series, changed: pd.Series) -> pd.Series:
+    return pd.Series([_bleu(a, b) for a, b in zip(original, changed, strict=True)], dtype="float64")
+
+
 def bleu(original: Column, changed: Column) -> Column:
-    """Clipped precision of words and word pairs together, with a brevity penalty."""
-    ref, hyp = (F.filter(F.split(c, r"\s+"), lambda w: w != "") for c in (original, changed))
-    pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(F.array().cast("array<string>"))
-
-    def clipped(a: Column, b: Column) -> Column:
-        count = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-        return F.aggregate(F.array_distinct(b), F.lit(0), lambda n, g: n + F.least(count(a, g), count(b, g)))
-
-    hits = clipped(ref, hyp) + clipped(pairs(ref), pairs(hyp))
-    total = F.size(hyp) + F.greatest(F.size(hyp) - 1, F.lit(0))
-    penalty = F.when(F.size(hyp) < F.size(ref), F.exp(1 - F.size(ref) / F.size(hyp))).otherwise(1.0)
-    return F.when((F.coalesce(original, F.lit("")) == "") | (F.coalesce(changed, F.lit("")) == "") | (F.size(hyp) == 0), 0.0).when(original == changed, 1.0).otherwise(F.round(penalty * hits / total, 4))
+    """Clipped precision of words and word pairs together, with a brevity penalty. Counting is linear in the text."""
+    return F.pandas_udf(_bleu_all, T.DoubleType())(original, changed)

@@ -36,7 +36,11 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def rule_spans(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows (doc_id, start, end, label, value, rule, priority) by JVM expressions; for rules that report whole matches."""
-    arrays = [F.transform(matches(F.col("text"), java(r.pattern)), lambda m, r=r: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(r.label).alias("label"), m["value"].alias("value"), F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.validator or validators.BY_LABEL.get(r.label, "")).alias("validator"))) for r in rules]
+    def found(r: Rule) -> Column:
+        fixed = {"label": r.label, "rule": r.name, "priority": r.priority, "validator": r.validator or validators.BY_LABEL.get(r.label, "")}
+        return F.transform(matches(F.col("text"), java(r.pattern)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), *[F.lit(v).alias(k) for k, v in fixed.items()]))
+
+    arrays = [found(r) for r in rules]
     rows = docs.select("doc_id", F.explode(F.concat(*arrays)).alias("s")).select("doc_id", "s.*")
     checks = {r.validator or validators.BY_LABEL.get(r.label) for r in rules} - {None}
     ok = F.lit(True)

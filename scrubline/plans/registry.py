@@ -1,4 +1,4 @@
-"""All queries and their SQL."""
+"""All queries and their SQL. A query is registered with its SQL beside it; some have none and are tested by brute force."""
 
 from __future__ import annotations
 
@@ -6,5 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from scrubline.plans.ship import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable], Callable]:
+    """Register f(t), where t(name) reads a table."""
+
+    def add(f: Callable) -> Callable:
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(lambda table: ship(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+from scrubline.plans import corpus_queries, ordered_queries, risk_queries, span_queries, text_queries  # noqa: E402, F401
