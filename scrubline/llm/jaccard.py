@@ -3,7 +3,8 @@
 A text's set is its distinct shingles of ``n`` lower-cased words (the whole sequence if it has fewer). Two texts link when
 100 * intersection >= percent * union; the result gives each document the smallest document it reaches by links.
 
-1. All shingles are counted in a fixed number of buckets; rare buckets come first in the order of shingles.
+1. All shingles are counted in buckets, some LOAD shingles to each but 2**MOST_BITS buckets at most; rare buckets come
+   first in the order of shingles. The order only decides how much work is skipped, not the result.
 2. Equal sets become one set. Of each, only the shortest prefix that every linked pair must share enters the index.
 3. Index lists are split into blocks of sizes within one step of the threshold, and by position: an entry is skipped when
    no other lies at a position that the allowed difference permits. Each block names a leader, the set with the most
@@ -31,7 +32,7 @@ from .bytetext import U64, grams, i64, lists, mix, slices, utf8, within, word_ha
 from .components import components
 from .tables import keep
 
-BUCKET_BITS = 20
+LEAST_BITS, MOST_BITS, LOAD = 20, 24, 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +51,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """For each of 2**BUCKET_BITS buckets of shingles, eight times the logarithm of its count, as a byte."""
-    size, block = 1 << BUCKET_BITS, 1 << 14
+    """For each of 2**bits buckets of shingles, eight times the logarithm of its count, as a byte."""
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.log2(chars / 6 / LOAD + 1))))
+    size, block = 1 << bits, 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
@@ -59,16 +62,17 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
             data, offsets = utf8(batch.column(0))
             for i, j in slices(offsets):
                 own, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                total += np.bincount((own >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(total, (own >> U64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([total[k : k + block].tobytes() for k in range(0, size, block)], pa.binary())], names=["block", "counts"])
+            parts = np.minimum(total, 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([parts[k : k + block].tobytes() for k in range(0, size, block)], pa.binary())], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = sums.setdefault(k, np.zeros(block, np.uint64))
-                total += np.frombuffer(raw, np.uint32)
+                total += np.frombuffer(raw, np.uint16)
         ranks = [np.minimum(255, 8 * np.log2(s + 1)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["block", "counts"])
 
@@ -88,7 +92,9 @@ def _digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(docs, n))  # 2**BUCKET_BITS bytes
+    found = bucket_ranks(docs, n)
+    bits = len(found).bit_length() - 1
+    ranks = docs.sparkSession.sparkContext.broadcast(found)  # 2**MOST_BITS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value.astype(np.uint64) << U64(56)
@@ -101,7 +107,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     s = np.unique(own[a:b])
                     m = len(s)
                     p = m - -(-percent * m // 100) + 1 if m else 0
-                    key = np.sort(rank[(s >> U64(64 - BUCKET_BITS)).astype(np.int64)] | (s >> U64(8)))[:p]
+                    key = np.sort(rank[(s >> U64(64 - bits)).astype(np.int64)] | (s >> U64(8)))[:p]
                     sizes.append(m)
                     digests.append(_digest(s))
                     hefts.append(int((key >> U64(48)).sum() // U64(max(p, 1))))
