@@ -202,27 +202,33 @@ def _links(n_leader: int, n: np.ndarray, deltas: list[np.ndarray], percent: int)
                 root[root == root[x]] = root[y]
 
 
-def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_place: int = 400) -> DataFrame:
     """Edges (a, b) that connect what the pairs' blocks connect."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a (leader, salt) come together, the leader's own first."""
+        key, heads = None, []
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            leader, salt, kind, member = (batch.column(k).to_pylist() for k in range(4))
+            data, offsets = utf8(batch.column(4))
             for i, j in slices(offsets):
                 own, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                parts = [np.unique(own[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                keys = np.array([_digest(p)[0] for p in parts], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(i64(keys)), lists(i64(np.concatenate(parts)), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())], names=["rep", "digest", "set"])
-
-    def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, parts = [], []
-            for k in range(batch.num_rows):
-                a, b = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
-                parts.append(np.setxor1d(a, b, assume_unique=True))
-                rows.append((len(a), len(b)))
-            sizes = np.array(rows, np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes[:, 0].copy()), pa.array(sizes[:, 1].copy()), lists(np.concatenate(parts) if parts else np.zeros(0, np.int64), np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)), pa.int64())], names=["leader", "digest", "member", "n_leader", "n", "delta"])
+                rows, parts = [], []
+                for k in range(i, j):
+                    s = np.unique(own[first[k - i] : first[k - i + 1]])
+                    if (leader[k], salt[k]) != key:
+                        key, heads = (leader[k], salt[k]), []
+                    if kind[k] == 0:
+                        digest = int(i64(np.array([_digest(s)[0]]))[0])
+                        if digest not in {h[0] for h in heads}:
+                            heads.append((digest, s))
+                        continue
+                    for digest, head in heads:
+                        parts.append(np.setxor1d(head, s, assume_unique=True))
+                        rows.append((leader[k], digest, member[k], len(head), len(s)))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, lists(i64(np.concatenate(parts)), np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)), pa.int64())], names=["leader", "digest", "member", "n_leader", "n", "delta"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sizes, parts = None, [], [], []
@@ -246,12 +252,13 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
             yield close()
 
     pairs = keep(pairs)
-    named = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select("member")).distinct()
-    own = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(sets, "rep bigint, digest bigint, set array<bigint>")
-    members = own.select(F.col("rep").alias("member"), F.col("set").alias("set_m"))
-    leaders = own.select(F.col("rep").alias("leader"), "digest", F.col("set").alias("set_l"))
-    both = pairs.join(members, "member").join(leaders, "leader").select("leader", "digest", "member", "set_l", "set_m")
-    told = both.mapInArrow(deltas, "leader bigint, digest bigint, member bigint, n_leader int, n int, delta array<bigint>")
+    # A leader of many members works in several places, with a copy of its text for each.
+    spread = pairs.groupBy("leader").agg(F.ceil(F.count("*") / members_in_place).cast("int").alias("places"))
+    heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("member"))
+    members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("member"), "places").cast("int").alias("salt"), F.lit(1).alias("kind"), "member")
+    rows = heads.unionByName(members).withColumnRenamed("member", "doc_id").hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("leader", "salt", "kind", "doc_id", "text")
+    told = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").mapInArrow(deltas, "leader bigint, digest bigint, member bigint, n_leader int, n int, delta array<bigint>")
     return told.repartition("leader").sortWithinPartitions("leader", "digest").mapInArrow(settle, "a bigint, b bigint")
 
 
