@@ -7,7 +7,8 @@ A text's set is its distinct shingles of ``n`` lower-cased words (the whole sequ
    first in the order of shingles. The order only decides how much work is skipped, not the result.
 2. Equal sets become one set. Of each, only the shortest prefix that every linked pair must share enters the index.
 3. Index lists are split into blocks of sizes within one step of the threshold, and by position: an entry is skipped when
-   no other lies at a position that the allowed difference permits. Each block names a leader, the set with the most
+   no other lies at a position that the allowed difference permits. Blocks split further where tallies of the sets (how
+   many shingles have each of 16 remainders) show that no link crosses. Each block names a leader, the set with the most
    common prefix, and sends only (leader, member) pairs, not all pairs.
 4. A member's answer is computed against its leader's and kept as the difference of the two sets. All other answers of
    the block follow from those differences alone (|x ^ y| = |dx ^ dy|), and only for members that don't already link to
@@ -21,6 +22,7 @@ to is linked. Rows with a null doc_id take no part and get a null component.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,15 +66,15 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
                 own, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 np.add.at(total, (own >> U64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
-            parts = np.minimum(total, 65535).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([parts[k : k + block].tobytes() for k in range(0, size, block)], pa.binary())], names=["block", "counts"])
+            parts = np.minimum(total, 255).astype(np.uint8)  # for the order alone; the others of a hot bucket add up
+            yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([zlib.compress(parts[k : k + block].tobytes(), 1) for k in range(0, size, block)], pa.binary())], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = sums.setdefault(k, np.zeros(block, np.uint64))
-                total += np.frombuffer(raw, np.uint16)
+                total += np.frombuffer(zlib.decompress(raw), np.uint8)
         ranks = [np.minimum(255, 8 * np.log2(s + 1)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["block", "counts"])
 
@@ -82,7 +84,8 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-PREFIXES = "doc_id bigint, n int, d1 bigint, d2 bigint, heft int, prefix array<bigint>"
+PREFIXES = "doc_id bigint, n int, d1 bigint, d2 bigint, heft int, tally binary, prefix array<bigint>"
+TALLY = 16
 _D1, _D2 = U64(0x1234567890ABCDEF), U64(0xFEDCBA9876543211)
 
 
@@ -102,7 +105,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, 1 << 21):
                 own, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                sizes, digests, hefts, parts = [], [], [], []
+                sizes, digests, hefts, tallies, parts = [], [], [], [], []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     s = np.unique(own[a:b])
                     m = len(s)
@@ -110,44 +113,71 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     key = np.sort(rank[(s >> U64(64 - bits)).astype(np.int64)] | (s >> U64(8)))[:p]
                     sizes.append(m)
                     digests.append(_digest(s))
+                    tallies.append(np.minimum(np.bincount((s & U64(TALLY - 1)).astype(np.int64), minlength=TALLY), 255).astype(np.uint8).tobytes())
                     hefts.append(int((key >> U64(48)).sum() // U64(max(p, 1))))
                     parts.append(key)
                 digests = np.array(digests, np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(i64(digests[:, 0])), pa.array(i64(digests[:, 1])), pa.array(hefts, pa.int32()), lists(i64(np.concatenate(parts)), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())],
-                    names=["doc_id", "n", "d1", "d2", "heft", "prefix"],
+                    [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(i64(digests[:, 0])), pa.array(i64(digests[:, 1])), pa.array(hefts, pa.int32()), pa.array(tallies, pa.binary()), lists(i64(np.concatenate(parts)), np.append(0, np.cumsum([len(p) for p in parts])), pa.int64())],
+                    names=["doc_id", "n", "d1", "d2", "heft", "tally", "prefix"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIXES)
 
 
+def _shared(token: np.ndarray) -> np.ndarray:
+    """Which of the sorted tokens have an equal neighbour."""
+    same = np.zeros(len(token) + 1, bool)
+    same[1:-1] = token[1:] == token[:-1]
+    return same[1:] | same[:-1]
+
+
 def leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(leader, member) for every block of every index list. postings: token, rep, n, heft, pos."""
+    """(leader, member) for every block of every index list. postings: token, rep, n, heft, pos, tally."""
     step = math.log(100 / percent)
 
+    def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Sets differ by the differences of their tallies at least, and linked ones by a share of their sizes at most."""
+        apart = np.abs(a.astype(np.int16) - b).sum(-1, dtype=np.int64)
+        return apart * (100 + percent) <= (na.astype(np.int64) + nb) * (100 - percent)
+
+    def classes(tally: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Entries that may link, also through others, have one class. Large blocks are taken as one."""
+        m = len(n)
+        out = np.arange(m)
+        if m > 1500:
+            return np.zeros(m, np.int64)
+        for k in range(m - 1):
+            near = out[k + 1 :][may_link(tally[k + 1 :], tally[k], n[k + 1 :], n[k])]
+            if len(near):
+                own = min(int(near.min()), int(out[k]))
+                out[np.isin(out, np.append(near, out[k]))] = own
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        held = [[*[c.to_numpy(zero_copy_only=False) for c in b.columns[:5]], utf8(b.column(5))[0].reshape(-1, TALLY)] for b in batches]
         if not held:
             return
-        token, rep, n, heft, pos = map(np.concatenate, zip(*held, strict=True))
+        token, rep, n, heft, pos, tally = map(np.concatenate, zip(*held, strict=True))
         order = np.lexsort((rep, n, token))
+        order = order[_shared(token[order])]  # most tokens are in one set only
         head = np.ones(len(order), bool)
         head[1:] = token[order][1:] != token[order][:-1]
         start = np.flatnonzero(head)
         count = np.diff(np.append(start, len(order)))
-        rep, n, heft, pos = rep[order], n[order], heft[order], pos[order]
+        rep, n, heft, pos, tally = rep[order], n[order], heft[order], pos[order], tally[order]
         leaders, members = [], []
         two = start[count == 2]  # most lists
         a, b = two, two + 1
-        ok = (100 * n[a].astype(np.int64) >= percent * n[b].astype(np.int64)) & (rep[a] != rep[b])
+        ok = (100 * n[a].astype(np.int64) >= percent * n[b].astype(np.int64)) & (rep[a] != rep[b]) & may_link(tally[a], tally[b], n[a], n[b])
         first = (heft[a] > heft[b]) | ((heft[a] == heft[b]) & (rep[a] < rep[b]))
         leaders.append(np.where(first, rep[a], rep[b])[ok])
         members.append(np.where(first, rep[b], rep[a])[ok])
-        for s, c in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            band = np.floor(np.log(np.maximum(n[s : s + c], 1)) / step).astype(np.int64)  # sizes ascend
+        for s, m in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            band = np.floor(np.log(np.maximum(n[s : s + m], 1)) / step).astype(np.int64)  # sizes ascend
             at = dict(zip(*[x.tolist() for x in np.unique(band, return_index=True)], strict=True))
             bands = sorted(at)
-            ends = dict(zip(bands, [*[at[k] for k in bands[1:]], c], strict=True))
+            ends = dict(zip(bands, [*[at[k] for k in bands[1:]], m], strict=True))
             for k in bands:
                 if k + 1 not in at and k - 1 in at:
                     continue  # within the block of the band below
@@ -159,10 +189,13 @@ def leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 block = lo + p[near]
                 if len(block) < 2:
                     continue
-                best = block[np.lexsort((rep[block], -heft[block]))[0]]
-                others = rep[block][rep[block] != rep[best]]
-                members.append(others)
-                leaders.append(np.full(len(others), rep[best]))
+                kind = classes(tally[block], n[block])
+                for c in np.unique(kind).tolist():
+                    own = block[kind == c]
+                    best = own[np.lexsort((rep[own], -heft[own]))[0]]
+                    others = rep[own][rep[own] != rep[best]]
+                    members.append(others)
+                    leaders.append(np.full(len(others), rep[best]))
         both = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["leader", "member"])
 
@@ -267,8 +300,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = keep(prefixes(docs, n, percent))
     real = rows.where("doc_id is not null and n > 0")
-    reps = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("heft").alias("heft"), F.first("prefix").alias("prefix"))
-    postings = reps.select("rep", "n", "heft", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "heft", "pos")
+    reps = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("heft").alias("heft"), F.first("tally").alias("tally"), F.first("prefix").alias("prefix"))
+    postings = reps.select("rep", "n", "heft", "tally", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "heft", "pos", "tally")
     edges = links(docs.where("doc_id is not null"), leader_pairs(postings, percent), n, percent)
     classes = real.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
     several = classes.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
