@@ -238,59 +238,86 @@ def _links(n_leader: int, n: np.ndarray, deltas: list[np.ndarray], percent: int)
 def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_place: int = 400) -> DataFrame:
     """Edges (a, b) that connect what the pairs' blocks connect."""
 
+    def found(leader: int, n_leader: int, ids: list[int], sizes: list[int], parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        name = [*ids, leader]  # index -1 is the leader
+        return [(name[a], name[b]) for a, b in _links(n_leader, np.array(sizes, np.int64), parts, percent)]
+
     def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a (leader, salt) come together, the leader's own first."""
-        key, heads = None, []
+        """Rows of a (leader, salt) come together, the leader's own first. Leaders in one place are settled here: their
+        links go on with a null delta, and only the differences to leaders in several places are dealt out again."""
+        key, alone, heads, held = None, True, [], []
+
+        def told(rows: list[tuple], parts: list[np.ndarray | None]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            flat = [p for p in parts if p is not None]
+            values = lists(i64(np.concatenate(flat)), np.append(0, np.cumsum([len(p) for p in flat], dtype=np.int64)), pa.int64()) if flat else pa.nulls(len(rows), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*columns, values], names=["leader", "digest", "member", "n_leader", "n", "delta"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = [(a, 0, b, 0, 0) for k, (_, head) in enumerate(heads) if held[k][0] for a, b in found(key[0], len(head), *held[k])]
+            if rows:
+                yield told(rows, [None] * len(rows))
+
         for batch in batches:
-            leader, salt, kind, member = (batch.column(k).to_pylist() for k in range(4))
-            data, offsets = utf8(batch.column(4))
+            leader, salt, places, kind, member = (batch.column(k).to_pylist() for k in range(5))
+            data, offsets = utf8(batch.column(5))
             for i, j in slices(offsets):
                 own, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 rows, parts = [], []
                 for k in range(i, j):
                     s = np.unique(own[first[k - i] : first[k - i + 1]])
                     if (leader[k], salt[k]) != key:
-                        key, heads = (leader[k], salt[k]), []
+                        yield from close()
+                        key, alone, heads, held = (leader[k], salt[k]), places[k] == 1, [], []
                     if kind[k] == 0:
                         digest = int(i64(np.array([_digest(s)[0]]))[0])
                         if digest not in {h[0] for h in heads}:
                             heads.append((digest, s))
+                            held.append(([], [], []))
                         continue
-                    for digest, head in heads:
-                        parts.append(np.setxor1d(head, s, assume_unique=True))
-                        rows.append((leader[k], digest, member[k], len(head), len(s)))
+                    for (digest, head), (ids, sizes, diffs) in zip(heads, held, strict=True):
+                        delta = np.setxor1d(head, s, assume_unique=True)
+                        if alone:
+                            ids.append(member[k])
+                            sizes.append(len(s))
+                            diffs.append(delta)
+                        else:
+                            parts.append(delta)
+                            rows.append((leader[k], digest, member[k], len(head), len(s)))
                 if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, lists(i64(np.concatenate(parts)), np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)), pa.int64())], names=["leader", "digest", "member", "n_leader", "n", "delta"])
+                    yield told(rows, parts)
+        yield from close()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sizes, parts = None, [], [], []
 
-        def close() -> pa.RecordBatch:
-            name = [*ids, key[0]]  # index -1 is the leader
-            found = [(name[a], name[b]) for a, b in _links(key[2], np.array(sizes, np.int64), parts, percent)]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             leader, dig, member, n_leader, size = (c.to_pylist() for c in batch.columns[:5])
+            settled = batch.column(5).is_null().to_pylist()
+            yield edges([(leader[k], member[k]) for k in range(batch.num_rows) if settled[k]])
             for k in range(batch.num_rows):
+                if settled[k]:
+                    continue
                 if key is None or (leader[k], dig[k]) != key[:2]:
                     if key is not None:
-                        yield close()
+                        yield edges(found(key[0], key[2], ids, sizes, parts))
                     key, ids, sizes, parts = (leader[k], dig[k], n_leader[k]), [], [], []
                 ids.append(member[k])
                 sizes.append(size[k])
                 parts.append(batch.column(5)[k].values.to_numpy())
         if key is not None:
-            yield close()
+            yield edges(found(key[0], key[2], ids, sizes, parts))
 
     pairs = keep(pairs)
     # A leader of many members works in several places, with a copy of its text for each.
     spread = pairs.groupBy("leader").agg(F.ceil(F.count("*") / members_in_place).cast("int").alias("places"))
-    heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("member"))
-    members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("member"), "places").cast("int").alias("salt"), F.lit(1).alias("kind"), "member")
+    heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), "places", F.lit(0).alias("kind"), F.col("leader").alias("member"))
+    members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("member"), "places").cast("int").alias("salt"), "places", F.lit(1).alias("kind"), "member")
     rows = heads.unionByName(members).withColumnRenamed("member", "doc_id").hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("leader", "salt", "kind", "doc_id", "text")
+    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("leader", "salt", "places", "kind", "doc_id", "text")
     told = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").mapInArrow(deltas, "leader bigint, digest bigint, member bigint, n_leader int, n int, delta array<bigint>")
     return told.repartition("leader").sortWithinPartitions("leader", "digest").mapInArrow(settle, "a bigint, b bigint")
 
