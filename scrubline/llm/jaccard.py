@@ -235,6 +235,19 @@ def _links(n_leader: int, n: np.ndarray, deltas: list[np.ndarray], percent: int)
                 root[root == root[x]] = root[y]
 
 
+def maybe_in(docs: DataFrame, rows: DataFrame, most_bits: int = 27) -> DataFrame:
+    """docs without most of those whose doc_id isn't in rows, before their texts are shuffled. A bitmap of hashes of the
+    ids, 2**most_bits bits (16 MB) at most whatever the input, is broadcast; it keeps every id of rows."""
+    word = 1 << 15
+    ids = rows.select("doc_id")
+    bits = min(1 << most_bits, max(word, 1 << (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bitmap = ids.groupBy((at / word).cast("bigint").alias("part")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(word))).alias("bitmap"))
+    hit = docs.withColumn("bit", at).withColumn("part", (F.col("bit") / word).cast("bigint")).join(F.broadcast(bitmap), "part")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.pmod("bit", F.lit(word)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return hit.where(F.getbit(byte.cast("bigint"), F.pmod("bit", F.lit(8)).cast("int")) == 1).select(*docs.columns)
+
+
 def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_place: int = 400) -> DataFrame:
     """Edges (a, b) that connect what the pairs' blocks connect."""
 
@@ -316,8 +329,8 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
     spread = pairs.groupBy("leader").agg(F.ceil(F.count("*") / members_in_place).cast("int").alias("places"))
     heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), "places", F.lit(0).alias("kind"), F.col("leader").alias("member"))
     members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("member"), "places").cast("int").alias("salt"), "places", F.lit(1).alias("kind"), "member")
-    rows = heads.unionByName(members).withColumnRenamed("member", "doc_id").hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("leader", "salt", "places", "kind", "doc_id", "text")
+    rows = keep(heads.unionByName(members).withColumnRenamed("member", "doc_id"))
+    texts = maybe_in(docs.select("doc_id", "text"), rows).join(rows.hint("shuffle_hash"), "doc_id").select("leader", "salt", "places", "kind", "doc_id", "text")
     told = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").mapInArrow(deltas, "leader bigint, digest bigint, member bigint, n_leader int, n int, delta array<bigint>")
     return told.repartition("leader").sortWithinPartitions("leader", "digest").mapInArrow(settle, "a bigint, b bigint")
 
