@@ -335,15 +335,17 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
     return told.repartition("leader").sortWithinPartitions("leader", "digest").mapInArrow(settle, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, members_in_place: int = 400) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = keep(prefixes(docs, n, percent))
     real = rows.where("doc_id is not null and n > 0")
     reps = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("heft").alias("heft"), F.first("tally").alias("tally"), F.first("prefix").alias("prefix"))
     postings = reps.select("rep", "n", "heft", "tally", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "heft", "pos", "tally")
-    edges = links(docs.where("doc_id is not null"), leader_pairs(postings, percent), n, percent)
-    classes = real.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
+    edges = links(docs.where("doc_id is not null"), leader_pairs(postings, percent), n, percent, members_in_place)
+    # Two plain shuffled sides, so that adaptive execution splits a large group of equal sets.
+    names = keep(real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = keep(real.select("doc_id", "n", "d1", "d2").join(names, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
     several = classes.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
     labels = components(edges.unionByName(several))
     found = classes.join(labels, classes["rep"] == labels["node"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
