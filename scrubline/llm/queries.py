@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, digest, jaccard, media, mixing, packing, quality, sharding, substring, tokencount
+from . import credentials, digest, jaccard, media, mixing, oracles, packing, quality, sharding, substring, tokencount
 from .tables import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_jaccard_join": oracles.JACCARD}
