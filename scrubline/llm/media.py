@@ -1,7 +1,8 @@
 """Media columns: bytes stored as WAV samples, read back, and fingerprinted by pairs of spectral peaks.
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of ``block``, are the 8-bit mono samples of a WAV file
-written and read by the wave module. From what is read back, overlapping frames go through a short-time Fourier
+written and read by the wave module. From what is read back, with silence before and after it so that frames cover all
+samples, overlapping frames go through a short-time Fourier
 transform (Hann window); the strongest local maxima of each frame are peaks, and each peak is paired with the peaks of
 the following frames up to ``reach`` away. A pair's code is first bin, second bin and distance; it is stored with its
 time as one long, ``code << 32 | frame``, in an array.
@@ -49,8 +50,9 @@ def padded(raw: bytes, block: int = 192) -> bytes:
 def peaks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 2, many: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Frame and frequency bin of each peak: local maxima over the bins, at most top in a frame, in order."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < frame:
-        x = np.pad(x, (0, frame - len(x)))
+    # Silence around them: every sample, the first and the last too, is in a frame whose window isn't zero there.
+    lead = frame - hop
+    x = np.pad(x, (lead, frame + hop * (-(-(lead + len(x)) // hop) - 1) - lead - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
     window = np.hanning(frame).astype(np.float32)
     times, bins = [], []

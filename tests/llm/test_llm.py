@@ -117,6 +117,17 @@ def test_media_round_trip(docs):
     assert media.landmarks(raw).tolist() == media.landmarks(raw).tolist()
 
 
+def test_media_feature_covers_both_ends(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("etaoin shrdlu") for _ in range(n)) for n in (192, 384, 500, 1920) for _ in range(15)]
+    rows = [t for x in texts for t in (x, x[:-1] + "Z", "Z" + x[1:])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = [r["feature"] for r in media.media(df).orderBy("doc_id").collect()]
+    for k in range(4):  # the payloads of one length
+        own = [got[i : i + 3] for i in range(45 * k, 45 * (k + 1), 3)]
+        assert any(a != b for a, b, _ in own) and any(a != c for a, _, c in own)
+
+
 def test_jaccard_brute_force(docs, empty):
     sets = defaultdict(list)
     for i, t, *_ in odd_rows():
