@@ -18,7 +18,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays, once; so do rows without an id."""
-    found = jaccard.jaccard_components(docs, n=3, percent=90)
+    found = jaccard.jaccard_components(docs, n=5, percent=80)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -235,6 +235,24 @@ def test_quality_without_labels(docs, spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    a = [[f"w{k}x{i}" for i in range(100)] for k in range(5)]
+    new = [f"new{i}" for i in range(12)]
+    pairs = [
+        (a[0], a[0][:40] + new[:6] + a[0][46:]),  # one passage
+        (a[1], a[1][:85]),  # cut
+        (a[2], [*a[2][:30], "x", *a[2][31:60], "y", *a[2][61:]]),  # scattered
+        (a[3], [*a[3], *(f"more{i}" for i in range(18))]),  # extended
+        (a[4], a[4][:40] + new + a[4][52:]),  # too far apart
+    ]
+    rows = [(2 * k + i, " ".join(w), "en", "src", 1) for k, pair in enumerate(pairs) for i, w in enumerate(pair)]
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
+    left = corpus_pipeline.deduplicate(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 2, 4, 6, 8, 9]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
