@@ -68,9 +68,9 @@ def find_secrets(docs: DataFrame, reach: int = 200, text: str = "text") -> DataF
         located(t, LINK_ENDPOINT, "link_endpoint").alias("_ends"),
     )
     docs = docs.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    # A weak candidate inside a base span is that span's own text.
+    # A weak candidate wholly inside a base span is that span's own text.
     for c in ("_ids", "_keys", "_ends"):
-        docs = docs.withColumn(c, F.when(F.size("base") == 0, F.col(c)).otherwise(F.filter(c, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
+        docs = docs.withColumn(c, F.when(F.size("base") == 0, F.col(c)).otherwise(F.filter(c, lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))))
     secrets, names = F.concat("_assign", "_hex", "_keys"), F.concat("_access", "_ids")
     linked = F.concat(
         F.filter("_ids", lambda s: _meets(s, secrets, reach)),
