@@ -4,9 +4,10 @@ The content view sees which words a text holds (lower-cased, without punctuation
 length, lines, shares of capitals, digits and signs, word length, share of distinct words. A document is good if it is
 labelled of quality 1 and not toxic.
 
-Both views are logistic models fitted on the driver to a bounded sample: at most ``labelled`` labelled documents, chosen
-by a hash of their ids, and a pool of at most ``pool`` others. In each round a view labels the pool, and those of which
-it is confident join the training rows of the other view. Both are then calibrated on labelled documents held out, their
+Both views are logistic models fitted on the driver to a bounded sample of at most ``labelled`` labelled documents, chosen
+by a hash of their ids. In each round both views judge all documents outside that sample in one pass, whatever their
+number, and those of which a view is most confident join the training rows of the other: up to a tenth of them in each
+round and class, ``handed`` at most, as they are held on the driver. Both are then calibrated on labelled documents held out, their
 log odds are combined by a third small model fitted there, and all documents are scored in one pass.
 
 Null texts count as empty. Without labels of both classes every score is 0.5 and everything stays.
@@ -14,7 +15,8 @@ Null texts count as empty. Without labels of both classes every score is 0.5 and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U64, bare_words, lists, mix, slices, utf8
+from .tables import keep
 
 WORD_BITS, PLACES = 18, 32
 DENSE = 8
@@ -92,9 +95,10 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, rounds: int = 3, features: int = 800, sure: float = 0.97, grow: float = 0.1) -> dict | None:
-    """The model. label: 1 good, 0 bad, -1 unlabelled."""
-    known = np.flatnonzero(label >= 0)
+def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, judge: Callable[[dict, list[set[int]]], list[tuple]], rounds: int = 3, features: int = 800) -> dict | None:
+    """The model. label: 1 good, 0 bad. judge gives what a round's model is most confident of, but for the keys that a
+    view has handed on before: (view, answer, key, page, columns of the words) each."""
+    known = np.arange(len(label))
     if len(set(label[known].tolist())) < 2:
         return None
     held = known[::4] if len(known) >= 40 and len(set(label[known[::4]].tolist())) == 2 else known
@@ -120,31 +124,34 @@ def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, rounds:
     # Layout matters away from the mean on either side.
     scaled = np.hstack([scaled, np.minimum(scaled[:, :DENSE] ** 2, 25) / 5])
     both, penalty = (content, scaled), (3e-4, 1e-3)
-    rows = [fit.copy(), fit.copy()]
+    rows = [both[v][fit] for v in (0, 1)]
     answer = [label[fit].astype(np.float32), label[fit].astype(np.float32)]
     trust = [np.ones(len(fit), np.float32), np.ones(len(fit), np.float32)]
-    pool = np.flatnonzero(label < 0)
+    handed: list[set[int]] = [set(), set()]
     for turn in range(rounds + 1):
-        w = [_fit(both[v][rows[v]], answer[v], trust[v], penalty[v]) for v in (0, 1)]
+        w = [_fit(rows[v], answer[v], trust[v], penalty[v]) for v in (0, 1)]
         scale = [_fit(_odds(both[v][held], w[v])[:, None], label[held].astype(np.float64), np.ones(len(held)), 1e-3) for v in (0, 1)]
+        table = np.zeros(size)
+        table[chosen] = w[0][:-1]
+        model = {"words": table, "bias": w[0][-1], "page": w[1], "mean": mean, "dev": dev, "scale": scale, "joint": np.zeros(3), "column": column}
         if turn == rounds:
             break
-        for v in (0, 1):  # what view v is confident of teaches the other
-            p = _sigmoid(_odds(_odds(both[v][pool], w[v])[:, None], scale[v]))
-            new = pool[~np.isin(pool, rows[1 - v])]
-            q = p[~np.isin(pool, rows[1 - v])]
-            most = int(grow * len(pool)) + 1
-            for side, value in ((q, 1), (1 - q, 0)):
-                best = np.argsort(-side, kind="stable")[:most]
-                best = best[side[best] >= sure]
-                rows[1 - v] = np.append(rows[1 - v], new[best])
-                answer[1 - v] = np.append(answer[1 - v], np.full(len(best), value, np.float32))
-                trust[1 - v] = np.append(trust[1 - v], np.full(len(best), 0.3, np.float32))
+        for view, value, key, p, found in judge(model, handed):  # what a view is confident of teaches the other
+            if key in handed[view]:
+                continue
+            handed[view].add(key)
+            if view == 0:
+                x = ((p - mean) / dev).astype(np.float32)
+                new = np.append(x, np.minimum(x[:DENSE] ** 2, 25) / 5)
+            else:
+                new = np.zeros(len(chosen), np.float32)
+                new[found] = 1
+            rows[1 - view] = np.vstack([rows[1 - view], new[None].astype(np.float32)])
+            answer[1 - view] = np.append(answer[1 - view], np.float32(value))
+            trust[1 - view] = np.append(trust[1 - view], np.float32(0.3))
     odds = np.stack([_odds(_odds(both[v][held], w[v])[:, None], scale[v]) for v in (0, 1)], 1)
-    joint = _fit(odds, label[held].astype(np.float64), np.ones(len(held)), 1e-3)
-    table = np.zeros(size)
-    table[chosen] = w[0][:-1]
-    return {"words": table, "bias": w[0][-1], "page": w[1], "mean": mean, "dev": dev, "scale": scale, "joint": joint}
+    del model["column"]
+    return model | {"joint": _fit(odds, label[held].astype(np.float64), np.ones(len(held)), 1e-3)}
 
 
 def score(model: dict, page: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,15 +162,12 @@ def score(model: dict, page: np.ndarray, row: np.ndarray, bucket: np.ndarray) ->
     return _sigmoid(calibrated[:, 0]), _sigmoid(calibrated[:, 1]), _sigmoid(_odds(calibrated, model["joint"]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Both views of the sample, and its labels."""
+def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Both views of the labelled sample, its labels, and its ids."""
     labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("label"))
-    order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    some = labels.orderBy(*order).limit(labelled)
-    others = docs.select("doc_id").where("doc_id is not null").orderBy(*order).limit(pool)
-    chosen = others.join(labels.select("doc_id", F.lit(1).alias("known")), "doc_id", "left").where("known is null").select("doc_id", F.lit(-1).alias("label")).unionByName(some)
-    # At most labelled + pool rows.
-    chosen = F.broadcast(chosen.groupBy("doc_id").agg(F.max("label").alias("label")))
+    some = labels.orderBy(F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")).limit(labelled)
+    # At most labelled rows.
+    chosen = F.broadcast(some.groupBy("doc_id").agg(F.max("label").alias("label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,17 +177,85 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tupl
 
     got = docs.join(chosen, "doc_id").mapInArrow(run, "doc_id bigint, label int, page array<double>, words array<int>").toArrow()
     if not got.num_rows:
-        return np.zeros((0, DENSE + 2 * PLACES)), [], np.zeros(0, np.int64)
+        return np.zeros((0, DENSE + 2 * PLACES)), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     got = got.sort_by("doc_id").combine_chunks()
     page = np.array(got["page"].to_pylist(), np.float64)
     words = [np.array(w, np.int64) for w in got["words"].to_pylist()]
-    return page, words, got["label"].to_numpy().astype(np.int64)
+    return page, words, got["label"].to_numpy().astype(np.int64), np.unique(got["doc_id"].to_numpy())
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 4000, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+# Of the page only the dense part and the two places, and only what the other view learns from.
+SURE = "view int, side int, odds double, key bigint, page array<double>, words array<int>"
+
+
+def most_confident(docs: DataFrame, own: np.ndarray, model: dict, handed: list[set[int]], most: int, sure: float = 0.97) -> list[tuple]:
+    """Of all documents but those with the ids own, up to most for each view and answer: (view, answer, key, page, columns of the words)."""
+    gone = [np.array(sorted(h), np.int64) for h in handed]
+    shared = docs.sparkSession.sparkContext.broadcast((model, own, gone))
+    least = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own, gone = shared.value
+        best: dict[tuple[int, int], list[tuple]] = {(v, side): [] for v in (0, 1) for side in (0, 1)}
+        for batch in batches:
+            ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
+            free = ids.is_null().to_numpy(zero_copy_only=False) | ~np.isin(ids.fill_null(0).to_numpy(), own)
+            for i, j, page, row, bucket in views(batch):
+                first = np.searchsorted(row, np.arange(j - i + 1))
+                for v, p in enumerate(score(model, page, row, bucket)[:2]):
+                    p = np.clip(p, 1e-13, 1 - 1e-13)
+                    odds = np.log(p / (1 - p))
+                    open_ = free[i:j] & ~np.isin(keys[i:j], gone[v])
+                    for side in (0, 1):
+                        o = odds if side else -odds
+                        at = np.flatnonzero(open_ & (o >= least))
+                        at = at[np.lexsort((keys[i:j][at], -o[at]))]
+                        top = best[v, side]
+                        have = {t[1] for t in top}
+                        for k in at.tolist():
+                            entry = (-float(o[k]), int(keys[i + k]))
+                            if len(have) >= most and entry >= top[-1][:2]:
+                                break
+                            if entry[1] in have:
+                                continue
+                            column = model["column"][bucket[first[k] : first[k + 1]]] if v else np.zeros(0, np.int64)
+                            insort(top, (*entry, [] if v else [*page[k, :DENSE], *np.flatnonzero(page[k, DENSE:])], column[column >= 0]), key=lambda t: t[:2])
+                            have.add(entry[1])
+                            if len(top) > most:
+                                have.discard(top.pop()[1])
+        rows = [(v, side, -o, key, page, words) for (v, side), top in best.items() for o, key, page, words in top]
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SURE.split(", ")])
+
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text", "lang", "source"))
+    found = keep(keyed.mapInArrow(run, SURE))
+    out = []
+    for view in (0, 1):
+        for side in (0, 1):
+            # Equal rows of several tasks have one key; the driver takes it once.
+            top = found.where((F.col("view") == view) & (F.col("side") == side)).dropDuplicates(["key"]).orderBy(F.desc("odds"), "key").limit(most)
+            for r in top.collect():
+                page = np.zeros(DENSE + 2 * PLACES)
+                if view == 0:
+                    page[:DENSE] = r["page"][:DENSE]
+                    page[DENSE + np.array(r["page"][DENSE:], np.int64)] = 1
+                out.append((view, side, r["key"], page, np.array(r["words"], np.int64)))
+    shared.unpersist()
+    return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int, handed: int, rounds: int, grow: float = 0.1) -> dict | None:
+    page, words, label, own = sample(docs, labels, labelled)
+    most = min(int(grow * max(docs.count() - len(label), 0)) + 1, handed) if len(set(label.tolist())) > 1 else 0
+    return train(page, words, label, lambda model, before: most_confident(docs, own, model, before, most), rounds=rounds)
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
     """Scores of both views and of their combination for every document, and whether it stays."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    model = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, labelled, pool), rounds=rounds))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, labelled, handed, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +266,10 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int
     return docs.mapInArrow(run, SCORES)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 4000, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
     """docs, all columns, without the rows that the classifier rejects. docs: doc_id, text, lang, source (strings) and more."""
     plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    model = docs.sparkSession.sparkContext.broadcast(train(*sample(plain, labels, labelled, pool), rounds=rounds))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(plain, labels, labelled, handed, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

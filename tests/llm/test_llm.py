@@ -238,6 +238,28 @@ def test_quality_held_out(spark):
     assert np.mean([not r["keep"] for r in bad]) > 0.85 and np.mean([r["keep"] for r in clean]) > 0.95
 
 
+def test_quality_judges_every_document(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").repartition(3)
+    page, words, label, own = quality.sample(docs, labels, 5000)
+    seen = []
+    quality.train(page, words, label, lambda model, _: seen.append(model | {}) or [], rounds=1)
+    scores = quality.classify(docs, labels, rounds=0).join(docs.select("doc_id", F.xxhash64("doc_id", "text", "lang", "source").alias("key")), "doc_id").where(~F.col("doc_id").isin(own.tolist())).collect()
+    want = {(v, side): {r["key"] for r in scores if (r[name] if side else 1 - r[name]) >= 0.97} for v, name in enumerate(("content_score", "page_score")) for side in (0, 1)}
+    got = quality.most_confident(docs, own, seen[0], [set(), set()], 10**6)
+    assert {k: {x[2] for x in got if x[:2] == k} for k in want} == want and all(want.values())
+    few = quality.most_confident(docs, own, seen[0], [want[0, 0], set()], 5)
+    assert len(few) == sum(min(5, len(want[k])) for k in want if k != (0, 0))
+    assert all((x[3][quality.DENSE :].sum() == 2) == (x[0] == 0) for x in few)
+
+
+def test_quality_views_exchange_where_all_is_labelled(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    every = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    alone, taught = ({r["doc_id"]: r["score"] for r in quality.classify(docs, every, labelled=300, rounds=k).collect()} for k in (0, 3))
+    assert max(abs(alone[i] - taught[i]) for i in alone) > 1e-3
+
+
 def test_quality_without_labels(docs, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.classify(docs, labels).where("keep").count() == len(odd_rows())
