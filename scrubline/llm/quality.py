@@ -1,7 +1,8 @@
 """Quality classifier by co-training of two views.
 
 The content view sees which words a text holds (lower-cased, without punctuation, hashed). The page view sees its metadata and layout: source, language,
-length, lines, shares of capitals, digits and signs, word length, share of distinct words. A document is good if it is
+length, lines, shares of capitals, digits and signs, word length, share of distinct words; whole languages and sources
+are hashed into 256 places each. A document is good if it is
 labelled of quality 1 and not toxic.
 
 Both views are logistic models fitted on the driver to a bounded sample of at most ``labelled`` labelled documents, chosen
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, bare_words, lists, mix, slices, utf8
+from .bytetext import TABLE, U64, bare_words, lists, mix, slices, span_sums, utf8
 from .tables import keep
 
-WORD_BITS, PLACES = 18, 32
+WORD_BITS, PLACE_BITS = 18, 8
+PLACES = 1 << PLACE_BITS
 DENSE = 8
 SCORES = "doc_id bigint, content_score double, page_score double, score double, keep boolean"
 
@@ -49,7 +51,7 @@ CLASSES = _classes()
 def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows i:j of (text, lang, source) with the page view (dense), and row and bucket of each distinct word."""
     data, offsets = utf8(batch.column("text"))
-    for i, j in slices(offsets):
+    for i, j in ((k, min(k + 4096, j)) for i, j in slices(offsets) for k in range(i, j, 4096)):  # the page view is dense
         own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         hashes, first = bare_words(own, at)
         n = np.maximum(np.diff(at), 1).astype(np.float64)
@@ -67,9 +69,8 @@ def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         page[:, :DENSE] = np.stack([np.log1p(np.diff(at)) / 10, np.minimum(share[3] * 50, 2), share[0] * 3, share[1] * 5, share[2] * 3, share[4] * 3, distinct, np.minimum(n / count / 10, 3)], 1)
         for k, name in enumerate(("lang", "source")):
             raw, ends = utf8(batch.column(name).slice(i, j - i))
-            raw = raw.tobytes()
-            place = [int(mix(np.array([sum((b + 1) * 131**p for p, b in enumerate(raw[a:b][:16])) % 2**63], np.uint64))[0] % U64(PLACES)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            page[np.arange(j - i), DENSE + k * PLACES + np.array(place, np.int64)] = 1
+            place = (mix(span_sums(TABLE[raw], ends[:-1], ends[1:])) >> U64(64 - PLACE_BITS)).astype(np.int64)
+            page[np.arange(j - i), DENSE + k * PLACES + place] = 1
         yield i, j, page, row, bucket
 
 
@@ -120,6 +121,7 @@ def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, judge: C
         c = column[b]
         content[k, c[c >= 0]] = 1
     mean, dev = page[fit].mean(0), page[fit].std(0) + 1e-3
+    dev[DENSE:] = np.maximum(dev[DENSE:], 0.1)  # rare places don't outweigh the rest
     scaled = ((page - mean) / dev).astype(np.float32)
     # Layout matters away from the mean on either side.
     scaled = np.hstack([scaled, np.minimum(scaled[:, :DENSE] ** 2, 25) / 5])

@@ -238,6 +238,17 @@ def test_quality_held_out(spark):
     assert np.mean([not r["keep"] for r in bad]) > 0.85 and np.mean([r["keep"] for r in clean]) > 0.95
 
 
+def test_page_view_reads_whole_sources():
+    import pyarrow as pa
+
+    names = [f"https://example.org/crawl-2024-{k:03d}" for k in range(60)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a b"] * 62), "lang": pa.array(["en"] * 62), "source": pa.array(names)})
+    ((*_, page, _, _),) = quality.views(batch)
+    places = page[:, quality.DENSE + quality.PLACES :].argmax(1)
+    assert len(set(places[:60].tolist())) > 45 and places[60] == places[61] and (page[:, quality.DENSE :].sum(1) == 2).all()
+    assert len(list(quality.views(pa.RecordBatch.from_pydict({c: pa.array(["x"] * 9000) for c in ("text", "lang", "source")})))) == 3
+
+
 def test_quality_judges_every_document(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").repartition(3)
