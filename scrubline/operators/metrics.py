@@ -73,10 +73,12 @@ def axis_score(span: Column, leak: Column, seconds: Column, risk: Column | None
 
 
 def _bleu(original: str | None, changed: str | None) -> float:
-    if not original or not changed or not changed.split():
+    if not original or not changed:
         return 0.0
     if original == changed:
         return 1.0
+    if not changed.split():
+        return 0.0
     ref, hyp = original.split(), changed.split()
     hits = total = 0
     for n in (1, 2):

@@ -189,7 +189,8 @@ def macro_micro(t):
 @query()
 def greedy_match(t):
     g, p = spans.gather(true_spans(t)), spans.gather(rough_spans(t)).withColumnRenamed("spans", "found")
-    return g.join(p, "doc_id").select("doc_id", metrics.greedy_match(F.col("spans"), F.col("found")).alias("matched"))
+    none = F.array().cast(p.schema["found"].dataType)  # a document without predictions has no matches
+    return g.join(p, "doc_id", "left").select("doc_id", metrics.greedy_match(F.col("spans"), F.coalesce("found", none)).alias("matched"))
 
 
 @query(f"SELECT lang, count(*) AS n, round(avg(length(masked) / length(text)), 4) AS kept_length, count(*) FILTER (masked <> text) AS n_changed FROM ({_MASKED_SQL}) GROUP BY lang")
@@ -200,7 +201,7 @@ def length_change(t):
 
 @query()
 def bleu_masked(t):
-    d = masked_documents(t).where("n_masked > 0")
+    d = masked_documents(t)
     return d.select("doc_id", metrics.bleu(F.col("text"), F.col("masked")).alias("bleu"))
 
 

@@ -79,3 +79,14 @@ def test_scores_and_counts(spark):
 def test_occurrences(spark):
     r = spark.createDataFrame([("aaa Aa",)], "t string").select(spans.occurrences(F.col("t"), F.lit("aa")), spans.occurrences(F.col("t"), F.lit("aa"), overlapping=False, fold=True), spans.resolve_mention(F.col("t"), F.lit("a"), F.lit(9))).first()
     assert (list(r[0]), list(r[1]), r[2]) == ([0, 1], [0, 4], None)
+
+
+def test_misses_and_unmasked_documents_have_rows(spark):
+    from scrubline.plans import span_queries
+
+    texts = ["call (555) 555.1234", "mail bob@example.com", "nothing here", None, " \n"]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string")
+    matched = {r["doc_id"]: r["matched"] for r in span_queries.greedy_match(lambda _: docs).collect()}
+    bleu = {r["doc_id"]: r["bleu"] for r in span_queries.bleu_masked(lambda _: docs).collect()}
+    assert set(bleu) == {0, 1, 2, 3, 4} and bleu[2] == bleu[4] == 1 and bleu[0] < 1 and bleu[3] == 0
+    assert matched == {0: 0, 1: 1}
