@@ -138,6 +138,7 @@ def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, judge: C
         model = {"words": table, "bias": w[0][-1], "page": w[1], "mean": mean, "dev": dev, "scale": scale, "joint": np.zeros(3), "column": column}
         if turn == rounds:
             break
+        more: list[list[np.ndarray]] = [[], []]
         for view, value, key, p, found in judge(model, handed):  # what a view is confident of teaches the other
             if key in handed[view]:
                 continue
@@ -148,9 +149,10 @@ def train(page: np.ndarray, words: list[np.ndarray], label: np.ndarray, judge: C
             else:
                 new = np.zeros(len(chosen), np.float32)
                 new[found] = 1
-            rows[1 - view] = np.vstack([rows[1 - view], new[None].astype(np.float32)])
+            more[1 - view].append(new.astype(np.float32))
             answer[1 - view] = np.append(answer[1 - view], np.float32(value))
             trust[1 - view] = np.append(trust[1 - view], np.float32(0.3))
+        rows = [np.vstack([rows[v], *more[v]]) for v in (0, 1)]
     odds = np.stack([_odds(_odds(both[v][held], w[v])[:, None], scale[v]) for v in (0, 1)], 1)
     del model["column"]
     return model | {"joint": _fit(odds, label[held].astype(np.float64), np.ones(len(held)), 1e-3)}
