@@ -8,7 +8,8 @@ likeness is 1 - (difference / WORST), stretched so that independent texts come n
 ``with_next`` compares each text with an edited copy and with its neighbour in descending doc_id. Rows are dealt to
 ranges of doc_id found from quantiles of the ids; the first row of a range is also sent to the range before it, so no
 task sees more than its range and one row more. Nulls count as empty texts and null ids come last. Equal ids follow each
-other in the order of their texts. A single row is its own neighbour.
+other in the order of their texts; repeated rows are neighbours of each other. A single row is its own neighbour, an empty
+table has no rows. Texts are read whole, one at a time with its neighbour. Other columns aren't read.
 """
 
 from __future__ import annotations

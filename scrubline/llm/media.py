@@ -2,13 +2,14 @@
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of ``block``, are the 8-bit mono samples of a WAV file
 written and read by the wave module. From what is read back, with silence before and after it so that frames cover all
-samples, overlapping frames go through a short-time Fourier
-transform (Hann window); the strongest local maxima of each frame are peaks, and each peak is paired with the peaks of
-the following frames up to ``reach`` away. A pair's code is first bin, second bin and distance; it is stored with its
-time as one long, ``code << 32 | frame``, in an array.
-
-One pass without a shuffle; frames are transformed in blocks, so memory is bounded by the text. Null counts as empty
-(``block`` spaces). Equal texts have equal media and features.
+samples, overlapping frames go through a short-time Fourier transform (Hann window); the ``top`` strongest local maxima of
+each frame are peaks (of equal ones, any), and each peak is paired with all peaks of the target zone behind it, the
+following frames up to ``reach`` away. A pair's code is first bin, second bin and distance; it is stored with its time as
+one long, ``code << 32 | frame``, in an array, ordered by time and code.
+
+One pass without a shuffle; frames are transformed in blocks, so memory is bounded by the text, however long. Null counts
+as empty (``block`` spaces). An empty table has no rows. Equal texts have equal media and features; repeated rows have one
+row each. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def padded(raw: bytes, block: int = 192) -> bytes:
     return raw + b" " * (block * max(1, -(-len(raw) // block)) - len(raw))
 
 
-def peaks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 2, many: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def peaks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 4, many: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Frame and frequency bin of each peak: local maxima over the bins, at most top in a frame, in order."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
     # Silence around them: every sample, the first and the last too, is in a frame whose window isn't zero there.
@@ -67,7 +68,7 @@ def peaks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 2, many:
     return np.concatenate(times), np.concatenate(bins)
 
 
-def landmarks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 2, reach: int = 1) -> np.ndarray:
+def landmarks(samples: bytes, frame: int = 256, hop: int = 192, top: int = 4, reach: int = 3) -> np.ndarray:
     """Pair codes with their times, ordered by time and code."""
     t, b = peaks(samples, frame, hop, top)
     out = []

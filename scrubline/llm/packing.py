@@ -8,7 +8,8 @@ ones having powers of two as their capacities, so nothing is padded.
 
 It is one pass without a shuffle: a task packs its own rows, buffer by buffer, so memory is bounded by
 ``buffer_tokens`` and one document. Null and empty texts are one separator id. Repeated rows are packed once each.
-An empty table gives an empty result.
+An empty table gives an empty result. Documents of one length keep their order of rows; among sequences of one cost the
+first is taken. Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -1,17 +1,22 @@
 """Quality classifier by co-training of two views.
 
-The content view sees which words a text holds (lower-cased, without punctuation, hashed). The page view sees its metadata and layout: source, language,
-length, lines, shares of capitals, digits and signs, word length, share of distinct words; whole languages and sources
-are hashed into 256 places each. A document is good if it is
-labelled of quality 1 and not toxic.
+The content view sees which words a text holds (lower-cased, without punctuation, hashed). The page view sees no word: it
+has the metadata source and language, each hashed whole into 256 places, and the layout: length, lines, shares of capitals,
+digits, signs and white space, mean word length, share of distinct words. A document is good if it is labelled of quality 1
+and not toxic.
 
 Both views are logistic models fitted on the driver to a bounded sample of at most ``labelled`` labelled documents, chosen
 by a hash of their ids. In each round both views judge all documents outside that sample in one pass, whatever their
 number, and those of which a view is most confident join the training rows of the other: up to a tenth of them in each
-round and class, ``handed`` at most, as they are held on the driver. Both are then calibrated on labelled documents held out, their
+round and class, ``handed`` at most, as they are held on the driver. The content view weighs the ``features`` words that
+tell the labelled sample's classes apart best. Both are then calibrated on labelled documents held out, their
 log odds are combined by a third small model fitted there, and all documents are scored in one pass.
 
-Null texts count as empty. Without labels of both classes every score is 0.5 and everything stays.
+Null texts, languages and sources count as empty; long texts are read whole, in slices of rows. An empty table has no rows.
+Without labels of both classes every score is 0.5 and everything stays. Equal rows have equal scores; a score at the
+threshold stays. Of labelled documents with one id the row with the least hash stands for all, and an id labelled twice is
+good if one of its labels says so; labels without an id or a quality aren't used. Other columns aren't read, whatever
+their names. All bounds (``labelled``, ``handed``, ``rounds``, ``features``) are parameters.
 """
 
 from __future__ import annotations
@@ -179,7 +184,9 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarra
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array(list(page)), lists(bucket.astype(np.int32), ends, pa.int32())], names=["doc_id", "label", "page", "words"])
 
-    got = docs.join(chosen, "doc_id").mapInArrow(run, "doc_id bigint, label int, page array<double>, words array<int>").toArrow()
+    rest = ("text", "lang", "source")
+    one = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row")).select("doc_id", "label", "row.*")
+    got = one.mapInArrow(run, "doc_id bigint, label int, page array<double>, words array<int>").toArrow()
     if not got.num_rows:
         return np.zeros((0, DENSE + 2 * PLACES)), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     got = got.sort_by("doc_id").combine_chunks()
@@ -250,16 +257,20 @@ def most_confident(docs: DataFrame, own: np.ndarray, model: dict, handed: list[s
     return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int, handed: int, rounds: int, grow: float = 0.1) -> dict | None:
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int, handed: int, rounds: int, features: int, grow: float = 0.1) -> dict | None:
     page, words, label, own = sample(docs, labels, labelled)
     most = min(int(grow * max(docs.count() - len(label), 0)) + 1, handed) if len(set(label.tolist())) > 1 else 0
-    return train(page, words, label, lambda model, before: most_confident(docs, own, model, before, most), rounds=rounds)
+    return train(page, words, label, lambda model, before: most_confident(docs, own, model, before, most), rounds, features)
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5, features: int = 800) -> DataFrame:
     """Scores of both views and of their combination for every document, and whether it stays."""
-    docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, labelled, handed, rounds))
+    docs = plain(docs)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, labelled, handed, rounds, features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,10 +281,9 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: i
     return docs.mapInArrow(run, SCORES)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 5000, handed: int = 400, rounds: int = 3, threshold: float = 0.5, features: int = 800) -> DataFrame:
     """docs, all columns, without the rows that the classifier rejects. docs: doc_id, text, lang, source (strings) and more."""
-    plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    model = docs.sparkSession.sparkContext.broadcast(fitted(plain, labels, labelled, handed, rounds))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(plain(docs), labels, labelled, handed, rounds, features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,8 +5,11 @@ the last bucket below the number of shards, so one more shard takes keys only in
 together from halves of 32 bits, which can't overflow under ANSI arithmetic.
 
 ``place`` also numbers the rows of each shard from 0 without gaps: rows are counted in buckets of each shard, offsets are
-sums over the small table of counts, and only rows of one bucket are ordered together. A null key counts as key 0.
-Repeated rows get slots of their own.
+sums over the small table of counts, and only rows of one bucket are ordered together (by the columns asked for). The
+number of buckets follows the number of rows, which is counted beforehand without reading a column but the key.
+
+A null key counts as key 0. Repeated rows get slots of their own, in any order among themselves. An empty table has no
+rows. Texts aren't read by ``place``; long ones only count in what the caller derives from them.
 """
 
 from __future__ import annotations
@@ -45,12 +48,16 @@ def jump_hash(key: Column, shards: int) -> Column:
 
 
 def place(rows: DataFrame, key: str, shards: int, columns: list[str], rows_in_bucket: int = 20_000) -> DataFrame:
-    """columns with shard, slot (0 .. in each shard, by key) and grown_shard (with one shard more)."""
-    rows = rows.select(*columns, jump_hash(F.col(key), shards).alias("shard"), jump_hash(F.col(key), shards + 1).alias("grown_shard"))
-    n = rows.count()
+    """columns with shard, slot (0 .. in each shard) and grown_shard (with one shard more); columns of these names are refused."""
+    if taken := {"shard", "slot", "grown_shard"} & {c.lower() for c in columns}:
+        raise ValueError(f"columns {sorted(taken)} are this operator's own")
+    n = rows.select(key).count()
     buckets = max(1, n // (shards * rows_in_bucket) + 1)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("shard", "_bucket", (F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(*[F.col(c) for c in columns])) - 1
-    return rows.withColumn("_own", own).join(before, ["shard", "_bucket"]).select(*columns, "shard", (F.col("_before") + F.col("_own")).cast("bigint").alias("slot"), "grown_shard")
+    row = F.struct(*[rows[f"`{c}`"] for c in columns]).alias("row")
+    # Buckets are dealt by the whole row, so that many rows of one key, or without a key, don't share one.
+    rows = rows.select(row, jump_hash(rows[key], shards).alias("shard"), jump_hash(rows[key], shards + 1).alias("grown_shard"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = counts.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("row")) - 1
+    return rows.withColumn("own", own).join(before, ["shard", "bucket"]).select("row.*", "shard", (F.col("before") + F.col("own")).cast("bigint").alias("slot"), "grown_shard")

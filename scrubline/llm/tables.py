@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder; a folder of its own only where none is set (tests)."""
-    spark = df.sparkSession
+def _checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir where the context has none yet."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scrubline-"))
+        if shared is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile  # one machine: its own folder is shared
+
+            shared = tempfile.mkdtemp(prefix="scrubline-")
+        context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrubline-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"

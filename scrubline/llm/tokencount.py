@@ -1,20 +1,21 @@
 """Token counts of a piece vocabulary with byte fallback, by rank-synchronous merging over ragged numpy arrays.
 
 Texts are cut into pre-tokens before each run of spaces; no piece holds a space after another character, so no merge
-crosses a cut. Distinct pre-tokens of a batch that aren't in the worker's bounded cache are held as one flat array of
-symbols with the start of each sequence. In every round each sequence finds its pair of lowest rank (leftmost among
-equals) by a segmented minimum, all sequences merge theirs at once, and sequences without a pair leave. Symbols that
-survive are counted, unknown characters as their UTF-8 bytes. Sequences too long for that are first cut where no piece
-holds the two characters side by side, and merged one by one from a heap if still long.
-
-One pass without a shuffle. Null and empty texts have no tokens. Repeated rows are counted once each.
+crosses a cut. Distinct pre-tokens of a batch that aren't in the worker's bounded cache are cut further where no piece
+holds the two characters side by side, and held as one flat array of symbols with the start of each sequence. In every
+round each sequence finds its pair of lowest rank by a segmented minimum, all sequences merge theirs at once, and sequences
+without a pair leave. A sequence merges all places of its pair in one round, leftmost first, where the new symbol can't
+join a neighbour at a lower rank, so a long sequence without spaces takes a round for each distinct piece, not for each
+merge. Symbols that survive are counted, unknown characters as their UTF-8 bytes.
+
+One pass without a shuffle. Null and empty texts have no tokens, an empty table has no rows. Very long texts go the same
+way. Repeated rows are counted once each. A text of exactly ``limit`` tokens isn't over it. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -58,7 +59,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """Merge tables of a piece model file whose normaliser is the identity and that puts a space before a text."""
 
-    def __init__(self, path: str, most: int = 600_000, long: int = 512):
+    def __init__(self, path: str, most: int = 600_000):
         with open(path, "rb") as f:
             raw = f.read()
         scored = []
@@ -75,9 +76,11 @@ class Pieces:
         left, right, merged = np.array(pairs, np.int64).T
         order = np.argsort(left * self.base + right)
         self.keys, self.merged = (left * self.base + right)[order], merged[order]
-        self.pair = dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
-        self.side = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        self.most, self.long, self.cache = most, long, {}
+        # Symbols that can join a neighbour at a lower rank than the one at which they are made.
+        self.stirs = np.zeros(self.base, bool)
+        self.stirs[left[merged < left]] = self.stirs[right[merged < right]] = True
+        self.side = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in self.rank for i in range(len(p) - 1)}), np.int64)
+        self.most, self.cache = most, {}
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NONE where no piece joins them or a symbol is unknown (negative)."""
@@ -85,91 +88,67 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], _NONE)
 
-    def merge(self, words: list[str]) -> np.ndarray:
-        """Symbols left in each word, in bytes where unknown. All words at once, a merge for each in every round."""
+    def cuts(self, points: np.ndarray) -> np.ndarray:
+        """After which characters no piece goes on to the next one."""
+        key = (points[:-1].astype(np.int64) << 21) | points[1:]
+        at = np.minimum(np.searchsorted(self.side, key), len(self.side) - 1)
+        return self.side[at] != key
+
+    def count(self, words: list[str]) -> np.ndarray:
+        """Symbols left in each word, in bytes where unknown."""
         size = np.array([len(w) for w in words], np.int64)
-        text = "".join(words)
-        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         kinds, back = np.unique(points, return_inverse=True)
         symbol = np.array([self.chars.get(chr(c), -1) for c in kinds.tolist()], np.int64)[back]
         weight = np.where(symbol < 0, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), 1).astype(np.int64)
-        starts = np.cumsum(size) - size
-        total = np.add.reduceat(weight, starts)
+        head = np.zeros(len(points), bool)
+        head[1:] = self.cuts(points)
+        head[np.cumsum(size) - size] = True
+        starts = np.flatnonzero(head)
+        total = np.add.reduceat(weight, starts) - self.merges(symbol, starts)
+        return np.add.reduceat(total, np.searchsorted(starts, np.cumsum(size) - size))
+
+    def merges(self, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many merges each sequence takes; all sequences at once. In every round each one merges its pair of lowest
+        rank, leftmost first: all its places where that can't make a pair of lower rank, else the first one only."""
+        out, own = np.zeros(len(starts), np.int64), np.arange(len(starts))
+        size = np.diff(np.append(starts, len(symbol)))
         last = np.zeros(len(symbol), bool)
         last[starts + size - 1] = True
-        following = np.append(symbol[1:], -1)
-        rank = np.where(last, _NONE, self.lookup(symbol, following))
-        own = np.arange(len(words))
-        shift = int(len(symbol)).bit_length()
+        rank = np.where(last, _NONE, self.lookup(symbol, np.append(symbol[1:], -1)))
         while len(own):
-            best = np.minimum.reduceat(np.where(rank < _NONE, (rank << shift) + np.arange(len(rank)), _NONE), starts)
+            best = np.minimum.reduceat(rank, starts)
             going = best < _NONE
             if not going.all():  # these sequences are done
                 stay = np.repeat(going, size)
                 symbol, rank = symbol[stay], rank[stay]
-                best = best[going] - np.repeat(np.cumsum(np.where(going, 0, size)), 1)[going]
-                own, size = own[going], size[going]
+                best, own, size = best[going], own[going], size[going]
                 starts = np.cumsum(size) - size
                 if not len(own):
                     break
-            at = best & ((1 << shift) - 1)
-            symbol[at] = best >> shift
-            total[own] -= 1
+            of = np.repeat(np.arange(len(own)), size)
+            at = np.flatnonzero(rank == best[of])
+            seq = of[at]
+            first = np.append(True, seq[1:] != seq[:-1])
+            keep = first | ~self.stirs[best[seq]]
+            at, seq, first = at[keep], seq[keep], first[keep]
+            # Of neighbouring places, which share a symbol, every other one.
+            run = np.append(True, (at[1:] != at[:-1] + 1) | first[1:])
+            odd = (np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) & 1
+            at, seq = at[odd == 0], seq[odd == 0]
+            symbol[at] = best[seq]
+            taken = np.bincount(seq, minlength=len(own))
+            out[own] += taken
             left = np.ones(len(symbol), bool)
             left[at + 1] = False
-            ends_word = at + 1 == starts + size - 1
             symbol, rank = symbol[left], rank[left]
             at = at - np.arange(len(at))
-            size = size - 1
+            size = size - taken
             starts = np.cumsum(size) - size
-            joined = np.append(symbol, -1)
-            rank[at] = np.where(ends_word, _NONE, self.lookup(symbol[at], joined[at + 1]))
-            before = at[at > starts] - 1
+            rank[at] = np.where(at == starts[seq] + size[seq] - 1, _NONE, self.lookup(symbol[at], np.append(symbol, -1)[at + 1]))
+            before = at[at > starts[seq]] - 1
             rank[before] = self.lookup(symbol[before], symbol[before + 1])
-        return total
-
-    def one(self, word: str) -> int:
-        """The same for one long sequence, from a heap: every merge costs the logarithm of its length."""
-        symbol = [self.chars.get(c, -1) for c in word]
-        n, last = sum(1 if s >= 0 else len(c.encode()) for s, c in zip(symbol, word, strict=True)), len(symbol)
-        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
-        find = lambda i, j: self.pair.get(symbol[i] * self.base + symbol[j]) if symbol[i] >= 0 <= symbol[j] else None
-        heap = [(r, i, symbol[i], symbol[i + 1]) for i in range(last - 1) if (r := find(i, i + 1)) is not None]
-        heapify(heap)
-        while heap:
-            r, i, a, b = heappop(heap)
-            j = after[i] if symbol[i] == a else last
-            if j >= last or symbol[j] != b:
-                continue
-            symbol[i], symbol[j], after[i] = r, -2, after[j]
-            n -= 1
-            if after[i] < last:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < last and (r := find(x, y)) is not None:
-                    heappush(heap, (r, x, symbol[x], symbol[y]))
-        return n
-
-    def count(self, words: list[str]) -> list[int]:
-        short, cut, owner = [], [], []
-        for k, w in enumerate(words):
-            if len(w) <= self.long:
-                short.append(w)
-                owner.append(k)
-                continue
-            a = 0
-            for b in range(1, len(w) + 1):
-                if b == len(w) or w[b - 1 : b + 1] not in self.side:
-                    (cut if b - a > self.long else short).append((k, w[a:b]) if b - a > self.long else w[a:b])
-                    if b - a <= self.long:
-                        owner.append(k)
-                    a = b
-        out = np.zeros(len(words), np.int64)
-        if short:
-            np.add.at(out, owner, self.merge(short))
-        for k, w in cut:
-            out[k] += self.one(w)
-        return out.tolist()
+        return out
 
     def batch(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -188,7 +167,7 @@ class Pieces:
         new: dict[str, int] = {}
         for i in range(0, len(fresh), 50_000):
             some = fresh[i : i + 50_000]
-            new.update(zip(some, self.count([w[1:] if w[:1] == "\0" and len(w) > 1 and w[1] == "▁" else "▁" + w for w in some]), strict=True))
+            new.update(zip(some, self.count([w[1:] if w[:1] == "\0" and len(w) > 1 and w[1] == "▁" else "▁" + w for w in some]).tolist(), strict=True))
         self.cache.update(new)
         return [sum(v) if None not in v else sum(new[w] if x is None else x for w, x in zip(p, v, strict=True)) for p, v in zip(split, found, strict=True)]
 
