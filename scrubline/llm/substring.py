@@ -6,18 +6,24 @@ starts in a document with a smaller doc_id, judged on the input.
 Windows are hashed in bulk. The smallest hash of the short grams inside a window is its anchor; equal windows have equal
 anchors, and neighbouring windows mostly share one, so a document is a row of runs of windows of one anchor.
 
-1. Each task counts the anchors of its runs in a count-min sketch of ``depth`` rows; only touched cells are sent, and the
-   partition sketches are merged by adding them up. An anchor's estimate is never below the number of documents that hold
-   any one of its windows, so windows whose anchor is estimated at one document can't repeat.
-2. A second pass exactly groups only the windows estimated repeated. A task first groups its own: of each window it keeps
-   the smallest document for the others to see, and knows the rest as removed. What it keeps is dealt out by anchor and
-   grouped again. So a passage in a third of all documents is a row for each task, not for each document.
-
-Windows are told apart by two 64-bit hashes together. The sketch has ``cells`` for each row, at most ``most_cells``,
-whatever the input; with more anchors than that more windows take part in the second pass, and none is lost.
-
-Null texts have no words. Rows of one doc_id don't remove each other's words; rows that agree in id and text have equal
-results. A null doc_id counts as larger than all others.
+1. Anchors are dealt to shards by their hash, so many that a shard's load is the same whatever the input. A task counts the
+   anchors at hand in a count-min sketch for each shard, ``depth`` rows of cells, and sends the touched cells; a shard's
+   sketches are merged by adding them up. An anchor's estimate is never below the number of documents that hold any one of
+   its windows. The tasks also ask the shard for the anchors they hold once; those they hold twice are known to repeat, so a
+   passage in a third of all documents is a question for each task, not for each document. A shard answers with the
+   documents whose anchors are estimated repeated.
+2. A second pass over the documents that got an answer exactly groups only the windows estimated repeated. A task first
+   groups its own: of each window it keeps the smallest document for the others to see, and knows the rest as removed. What
+   it keeps is dealt out by anchor and grouped again in the order of a sort, so a task holds a few groups at a time.
+3. Anchors of a share of all runs of ``hot`` or more (at most 2 / hot of them, found in the first pass) are dealt out by their
+   single windows, so that unlike windows around a common passage don't meet in one place.
+
+Windows are told apart by two 64-bit hashes together. Estimates that are too high send more windows through the second
+pass and change no result; none is lost.
+
+Null and empty texts have no words; an empty table has no rows. Rows of one doc_id don't remove each other's words; rows
+that agree in id and text have equal results. A null doc_id counts as larger than all others, and null ids as one document.
+Very long texts are read whole. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U64, grams, i64, lists, mix, powers, slices, utf8, within, word_hashes
+from .tables import keep
 
-BLOCK = 1 << 16
-LARGEST = np.int64(2**63 - 1)
 _WINDOW = 0xC2B2AE3D27D4EB4F
 _SALTS = [U64(0x9E3779B97F4A7C15), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
+KEY = ("doc", "none", "text_key")  # doc_id (0 where null), whether it is null, a hash of the text
 
 
 def _smallest(x: np.ndarray, n: int) -> np.ndarray:
@@ -71,177 +77,238 @@ class Runs:
 
 
 def cells_of(anchor: np.ndarray, depth: int, cells: int) -> np.ndarray:
-    """The cell of each anchor in each row of the sketch, as indices into all rows together."""
+    """The cell of each anchor in each row of its shard's sketch, as indices into all rows together."""
     return np.stack([(mix(anchor ^ _SALTS[k]) & U64(cells - 1)).astype(np.int64) + k * cells for k in range(depth)])
 
 
-def sketch(docs: DataFrame, width: int, gram: int, depth: int, cells: int) -> np.ndarray:
-    """Bits of the cells that were counted twice or more, by merging the sketches of all partitions."""
+def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
+    return ((anchor >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+
+
+def _ends(sorted_: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """Distinct values of a sorted array with the bounds of each."""
+    value, start = np.unique(sorted_, return_index=True)
+    return value, start.tolist(), [*start[1:].tolist(), len(sorted_)]
+
+
+def repeated(docs: DataFrame, width: int, gram: int, depth: int, shards: int, cells: int, hot: float, buffer: int) -> DataFrame:
+    """doc, none, text_key and anchor of the anchors estimated repeated; also rows with n: an anchor that a task holds often."""
+    names = ["shard", "kind", "a", "doc", "none", "text_key"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        held, size = [], 0
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
+            doc, none, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
             for i, j in slices(offsets):
                 runs = Runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, gram)
-                found.append(runs.anchor)
-                held += len(runs.anchor)
-            if held > 2_000_000:
-                yield send(found)
-                found, held = [], 0
-        if held:
-            yield send(found)
-
-    def send(found: list[np.ndarray]) -> pa.RecordBatch:
-        """Touched cells by block, with their counts, clipped: only one and more than one differ."""
-        cell, n = np.unique(cells_of(np.concatenate(found), depth, cells), return_counts=True)
-        packed = (cell % BLOCK).astype(np.uint32) | (np.minimum(n, 2).astype(np.uint32) << 24)
-        block, start = np.unique(cell // BLOCK, return_index=True)
-        ends = [*start[1:].tolist(), len(cell)]
-        return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array([packed[a:b].tobytes() for a, b in zip(start.tolist(), ends, strict=True)], pa.binary())], names=["block", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+                pair = np.lexsort((runs.anchor, runs.row))
+                row, anchor = runs.row[pair], runs.anchor[pair]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                row = row[new]
+                held.append((anchor[new], doc[i:j][row], none[i:j][row], key[i:j][row]))
+                size += len(row)
+                if size >= buffer:
+                    yield from send(held)
+                    held, size = [], 0
+        if size:
+            yield from send(held)
+
+    def rows(kind: int, shard: np.ndarray, values: np.ndarray, doc: np.ndarray | None = None, none: np.ndarray | None = None, key: np.ndarray | None = None) -> pa.RecordBatch:
+        """One row for each shard, with all its values as bytes."""
+        order = np.argsort(shard, kind="stable")
+        of, start, stop = _ends(shard[order])
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(start, stop, strict=True)] if x is not None else [b""] * len(of), pa.binary())
+        sort = lambda x: None if x is None else x[order]
+        return pa.RecordBatch.from_arrays([pa.array(of.astype(np.int64)), pa.array([kind] * len(of), pa.int32()), cut(values[order]), cut(sort(doc)), cut(sort(none)), cut(sort(key))], names=names)
+
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, doc, none, key = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc, none, key = anchor[order], doc[order], none[order], key[order]
+        own, start, stop = _ends(anchor)
+        n = np.array(stop) - start
+        # Touched cells with their counts, clipped: only one and more than one differ.
+        cell = cells_of(own, depth, cells) + shard_of(own, shards) * (depth * cells)
+        touched, back = np.unique(cell.ravel(), return_inverse=True)
+        total = np.minimum(np.bincount(back, np.tile(np.minimum(n, 2), depth)), 2).astype(np.uint32)
+        yield rows(0, touched // (depth * cells), (touched % (depth * cells)).astype(np.uint32) | total << 28)
+        once = np.repeat(n == 1, n)
+        if once.any():
+            yield rows(1, shard_of(anchor[once], shards), anchor[once], doc[once], none[once], key[once])
+        if not once.all():  # known to repeat; spread over the shards by document
+            spread = shard_of(mix(doc[~once].astype(np.uint64) + key[~once].astype(np.uint64)), shards)
+            yield rows(2, spread, anchor[~once], doc[~once], none[~once], key[~once])
+        often = n >= max(2, hot / 2 * len(anchor))
+        if often.any():
+            yield rows(3, shard_of(own[often], shards), own[often], n[often].astype(np.int64))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's sketches come first, then its questions."""
+        at, sketch = None, np.zeros(depth * cells, np.uint8)
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint32)
-                total = sums.setdefault(block, np.zeros(BLOCK, np.uint8))
-                at = x & 0xFFFFFF
-                total[at] = np.minimum(total[at] + (x >> 24), 2)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(s >= 2).tobytes() for s in sums.values()], pa.binary())], names=["block", "cells"])
-
-    merged = docs.mapInArrow(count, "block int, cells binary").repartition("block").mapInArrow(merge, "block int, cells binary")
-    bits = np.zeros(depth * cells // 8, np.uint8)
-    for r in merged.collect():  # depth * cells / 8 bytes at most
-        bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["cells"], np.uint8)
-    return bits
-
-
-def _resolve(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same window."""
-    order = np.lexsort((doc, window, anchor))
-    a, w, d = anchor[order], window[order], doc[order]
+            out = []
+            shard, kind, values, docs_, nones, keys = (c.to_pylist() for c in batch.columns)
+            for s, k, raw, doc, none, key in zip(shard, kind, values, docs_, nones, keys, strict=True):
+                if s != at:
+                    at = s
+                    sketch[:] = 0
+                if k == 0:
+                    x = np.frombuffer(raw, np.uint32)
+                    cell = x & 0xFFFFFFF
+                    sketch[cell] = np.minimum(sketch[cell] + (x >> 28).astype(np.uint8), 2)
+                    continue
+                anchor, doc = np.frombuffer(raw, np.uint64), np.frombuffer(doc, np.int64)
+                if k == 3:
+                    out.append((np.zeros_like(doc), np.zeros(len(doc), bool), np.zeros_like(doc), anchor, doc))
+                    continue
+                none, key = np.frombuffer(none, bool), np.frombuffer(key, np.int64)
+                ok = (sketch[cells_of(anchor, depth, cells)] >= 2).all(axis=0) if k == 1 else np.ones(len(doc), bool)
+                out.append((doc[ok], none[ok], key[ok], anchor[ok], np.zeros(int(ok.sum()), np.int64)))
+            if out:
+                doc, none, key, anchor, n = map(np.concatenate, zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(none), pa.array(key), pa.array(i64(anchor)), pa.array(n)], names=[*KEY, "anchor", "n"])
+
+    asked = docs.select("doc", "none", "text", "text_key").mapInArrow(count, "shard bigint, kind int, a binary, doc binary, none binary, text_key binary")
+    return asked.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "doc bigint, none boolean, text_key bigint, anchor bigint, n bigint")
+
+
+def _resolve(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same window; null ids are larger than all others."""
+    order = np.lexsort((doc, none, window, anchor))
+    a, w, d, x = anchor[order], window[order], doc[order], none[order]
     head = np.ones(len(d), bool)
     head[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-    least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
+    least = np.flatnonzero(head)[np.cumsum(head) - 1]
     out = np.empty(len(d), bool)
-    out[order] = d > least
+    out[order] = (d != d[least]) | (x != x[least])
     return out
 
 
-SPANS = "anchor bigint, doc_id bigint, text_key bigint, word int, known boolean, windows array<bigint>"
-
-
-def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, cells: int | None = None, most_cells: int = 1 << 26, buffer: int = 1_500_000) -> DataFrame:
-    """doc_id, text_key and the spans of words (first, end) that go, for documents that lose any.
-
-    docs: doc_id (null replaced by LARGEST), text, text_key."""
-    if cells is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        runs = size / 6 / ((width - gram + 2) / 2)  # a word has some 6 bytes; an anchor serves half a window
-        cells = min(most_cells, max(BLOCK, 1 << int(np.ceil(np.log2(2 * runs + 1)))))
-    bits = sketch(docs.select("doc_id", "text"), width, gram, depth, cells)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # depth * cells / 8 bytes, cells <= most_cells
+def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, load: int = 1 << 18, cells: int | None = None, hot: float = 1e-4, buffer: int = 1_000_000) -> DataFrame:
+    """The key and the spans of words (first, end) that go, for documents that lose any.
 
-    def spread(runs_of: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = (starts[1:] - starts[:-1])[runs_of]
-        ends = np.cumsum(size)
-        return np.repeat(starts[:-1][runs_of] - (ends - size), size) + np.arange(size.sum()), np.append(0, ends)
+    docs: doc, none, text, text_key. load: anchors a shard of the sketch is meant for; cells: of each row of its sketch."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = size / 6 / ((width - gram + 2) / 2)  # a word has some 6 bytes; an anchor serves half a window
+    shards = max(int(runs / load), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = cells or 1 << max(10, int(np.ceil(np.log2(2 * runs / shards + 1))))
+    found = keep(repeated(docs, width, gram, depth, shards, cells, hot, buffer))
+    often = found.where("n > 0").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, hot / 2 * runs)).orderBy("anchor").collect()  # 2 / hot rows at most
+    hot_anchor = np.array([r["anchor"] for r in often], np.int64)
+    hot_places = np.array([1 + int(2 * r["n"] / hot / max(runs, 1)) for r in often], np.int64)
+    shared = spark.sparkContext.broadcast((hot_anchor, hot_places))
+    answers = found.where("n = 0").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            data, offsets = utf8(batch.column(2))
+            doc, none, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            wanted, n = i64(batch.column(4).flatten().to_numpy()).view(np.uint64), np.asarray(batch.column(4).value_lengths())
+            upto = np.append(0, np.cumsum(n))
             for i, j in slices(offsets):
                 runs = Runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, gram)
                 if not len(runs.row):
                     continue
-                at = cells_of(runs.anchor, depth, cells)
-                likely = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-                take = np.flatnonzero(likely)
-                where, ends = spread(take, runs.starts)
-                held.append((i64(runs.anchor[take]), ids[i:j][runs.row[take]], keys[i:j][runs.row[take]], runs.word[take], np.diff(ends), i64(runs.window[where])))
+                of = lambda row, anchor: mix(anchor ^ mix(row.astype(np.uint64)))
+                take = np.flatnonzero(np.isin(of(runs.row, runs.anchor), of(np.repeat(np.arange(j - i), n[i:j]), wanted[upto[i] : upto[j]])))
+                length = np.diff(runs.starts)[take]
+                where = np.repeat(runs.starts[:-1][take] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                row = runs.row[take]
+                held.append((i64(runs.anchor[take]), doc[i:j][row], none[i:j][row], key[i:j][row], runs.word[take], length, i64(runs.window[where])))
                 size += len(where)
-            if size >= buffer:
-                yield local(held)
-                held, size = [], 0
+                if size >= buffer:
+                    yield local(held)
+                    held, size = [], 0
         if held:
             yield local(held)
 
     def local(held: list[tuple]) -> pa.RecordBatch:
-        """Runs of this task: windows that a smaller document here has are known to go, the others stay open."""
-        anchor, doc, key, word, n, window = map(np.concatenate, zip(*held, strict=True))
-        gone = _resolve(np.repeat(anchor, n), window, np.repeat(doc, n))
-        ends = np.append(0, np.cumsum(n))
+        """Neighbouring windows of a run with one fate as a row: those that a smaller document here has, only their number;
+        open ones with their hashes, and by themselves where the anchor is hot."""
+        anchor, doc, none, key, word, n, window = map(np.concatenate, zip(*held, strict=True))
         run = np.repeat(np.arange(len(n)), n)
-        return pieces(anchor, doc, key, word, run, ends, gone, window)
-
-    def pieces(anchor, doc, key, word, run, ends, gone, window) -> pa.RecordBatch:
-        """Neighbouring windows of a run with one fate as a row: known ones with their number, open ones with their hashes."""
+        gone = _resolve(anchor[run], window, doc[run], none[run])
+        at = np.minimum(np.searchsorted(shared.value[0], anchor), max(len(shared.value[0]) - 1, 0))
+        places = np.where(shared.value[0][at] == anchor, shared.value[1][at], 1) if len(shared.value[0]) else np.ones(len(anchor), np.int64)
         cut = np.ones(len(run), bool)
-        cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1])
+        cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1]) | ((places[run[1:]] > 1) & ~gone[1:])
         start = np.flatnonzero(cut)
         stop = np.append(start[1:], len(run))
         of, known = run[start], gone[start]
-        # A known piece holds only its length, as its one element; its anchor is spread so that no task gets them all.
-        size = np.where(known, 1, stop - start)
+        size = np.where(known, 1, stop - start)  # a known piece holds its length as its one element
         values = np.empty(size.sum(), np.int64)
         to = np.cumsum(size) - size
         values[to[known]] = (stop - start)[known]
-        open_ = ~known
-        src = np.repeat(start[open_] - (np.cumsum(size[open_]) - size[open_]), size[open_]) + np.arange(size[open_].sum())
-        dst = np.repeat(to[open_] - (np.cumsum(size[open_]) - size[open_]), size[open_]) + np.arange(size[open_].sum())
-        values[dst] = window[src]
-        spread_key = np.where(known, i64(mix(doc[of].astype(np.uint64) + start.astype(np.uint64))), anchor[of])
-        return pa.RecordBatch.from_arrays([pa.array(spread_key), pa.array(doc[of]), pa.array(key[of]), pa.array((word[of] + start - ends[:-1][of]).astype(np.int32)), pa.array(known), lists(values, np.append(0, np.cumsum(size)), pa.int64())], names=["anchor", "doc_id", "text_key", "word", "known", "windows"])
+        values[np.repeat(~known, size)] = window[~gone]
+        sub = np.where(known, doc[of] ^ start, (mix(window[start].view(np.uint64)) >> U64(8)).astype(np.int64) % places[of])
+        own = np.where(known, i64(mix(doc[of].astype(np.uint64) + start.astype(np.uint64))), anchor[of])  # spread over all tasks
+        first = (word[of] + start - (np.cumsum(n) - n)[of]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(sub), pa.array(doc[of]), pa.array(none[of]), pa.array(key[of]), pa.array(first), pa.array(known), lists(values, np.append(0, np.cumsum(size)), pa.int64())], names=["anchor", "sub", *KEY, "word", "known", "windows"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All open pieces of an anchor are here."""
-        names = ["doc_id", "text_key", "first", "end"]
-        held = []
+        """Open pieces of an anchor and place come together; groups are settled when the next one has begun."""
+        names = [*KEY, "first", "end"]
+        held: list[tuple] = []
+        size = 0
+
+        def done(rows: tuple) -> pa.RecordBatch:
+            anchor, _, doc, none, key, word, n, window = rows
+            run = np.repeat(np.arange(len(n)), n)
+            gone = _resolve(anchor[run], window, doc[run], none[run])
+            cut = np.ones(len(run), bool)
+            cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1])
+            start = np.flatnonzero(cut)
+            stop = np.append(start[1:], len(run))
+            start, stop = start[gone[start]], stop[gone[start]]
+            of = run[start]
+            w = (word[of] + start - (np.cumsum(n) - n)[of]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(none[of]), pa.array(key[of]), pa.array(w), pa.array(w + stop - start + width - 1)], names=names)
+
         for batch in batches:
-            anchor, doc, key, word, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            windows = batch.column(5)
-            n = np.asarray(windows.value_lengths())
-            flat = np.asarray(windows.flatten())
-            at = np.cumsum(n) - n
+            anchor, sub, doc, none, key, word, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            n, flat = np.asarray(batch.column(7).value_lengths()), np.asarray(batch.column(7).flatten())
             if known.any():
                 w = word[known].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(key[known]), pa.array(w), pa.array(w + flat[at[known]] + width - 1)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(none[known]), pa.array(key[known]), pa.array(w), pa.array(w + flat[(np.cumsum(n) - n)[known]] + width - 1)], names=names)
             o = ~known
-            held.append((anchor[o], doc[o], key[o], word[o], n[o], flat[np.repeat(o, n)]))
-        if not held:
-            return
-        anchor, doc, key, word, n, window = map(np.concatenate, zip(*held, strict=True))
-        if not len(n):
-            return
-        gone = _resolve(np.repeat(anchor, n), window, np.repeat(doc, n))
-        run = np.repeat(np.arange(len(n)), n)
-        cut = np.ones(len(run), bool)
-        cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1])
-        start = np.flatnonzero(cut)
-        stop = np.append(start[1:], len(run))
-        start, stop = start[gone[start]], stop[gone[start]]
-        of = run[start]
-        w = word[of] + start - (np.cumsum(n) - n)[of]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(key[of]), pa.array(w.astype(np.int64)), pa.array((w + stop - start + width - 1).astype(np.int64))], names=names)
+            if not o.any():
+                continue
+            held.append((anchor[o], sub[o], doc[o], none[o], key[o], word[o], n[o], flat[np.repeat(o, n)]))
+            size += len(held[-1][-1])
+            if size >= buffer:
+                rows = tuple(map(np.concatenate, zip(*held, strict=True)))
+                others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                end = int(others[-1]) + 1 if len(others) else 0  # the last group may go on
+                windows = int(rows[6][:end].sum())
+                if end:
+                    yield done((*(x[:end] for x in rows[:7]), rows[7][:windows]))
+                held = [(*(x[end:] for x in rows[:7]), rows[7][windows:])]
+                size = len(held[0][-1])
+        if held:
+            yield done(tuple(map(np.concatenate, zip(*held, strict=True))))
 
-    rows = docs.select("doc_id", "text", "text_key").mapInArrow(candidates, SPANS)
-    return rows.repartition("anchor").mapInArrow(settle, "doc_id bigint, text_key bigint, first bigint, end bigint").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    # Inner side of both joins are the same shuffled texts, which Spark reuses.
+    texts = docs.join(answers.hint("shuffle_hash"), list(KEY)).select("doc", "none", "text", "text_key", "anchors")
+    pieces = texts.mapInArrow(candidates, "anchor bigint, sub bigint, doc bigint, none boolean, text_key bigint, word int, known boolean, windows array<bigint>")
+    spans = pieces.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").mapInArrow(settle, "doc bigint, none boolean, text_key bigint, first bigint, end bigint")
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, width: int = 50, texts: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; with texts also the kept words joined by spaces."""
-    docs = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(int(LARGEST))).alias("doc_id"), docs["text"].cast("string").alias("text"))
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    doc_id, text = docs["doc_id"].cast("bigint"), docs["text"].cast("string")
+    docs = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc"), doc_id.isNull().alias("none"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     spans = removed_spans(docs, width, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, gone in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, none, text, gone in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = (text or "").encode().split()  # the six ASCII white-space bytes
                 n, kept = len(own), own
                 if gone:
@@ -252,10 +319,10 @@ def dedup_substrings(docs: DataFrame, width: int = 50, texts: bool = False, **op
                         at = max(at, end)
                     kept += own[at:]
                 joined = b" ".join(kept)
-                out.append((None if doc_id == LARGEST else doc_id, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None))
+                out.append((None if none else doc, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 5 if texts else 4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 5 if texts else 4])
 
-    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans.hint("shuffle_hash"), list(KEY), "left").select("doc", "none", "text", "spans")
     return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if texts else ""))

@@ -98,20 +98,22 @@ def test_bpe_equals_library():
 
 def test_substring_brute_force(docs, empty):
     least = {}
-    for i, t, *_ in sorted(odd_rows(), key=lambda r: 2**62 if r[0] is None else r[0]):
+    rows = [*odd_rows(), (2**63 - 1, odd_rows()[3][1] + " tail", "en", "src0", 1), (2**63 - 1, odd_rows()[4][1], "en", "src0", 1), (None, odd_rows()[3][1] + " tail", "en", "src0", 1), (None, "f " * 49 + odd_rows()[5][1], "en", "src0", 1)]
+    docs = docs.sparkSession.createDataFrame([(*r, 1, True, 5, "k") for r in rows], KIND + ", doc int, none boolean, n int, text_key string").repartition(3)
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         w = words(t)
         for k in range(len(w) - 49):
             least.setdefault(tuple(w[k : k + 50]), i)
     want = []
-    for i, t, *_ in odd_rows():
+    for i, t, *_ in rows:
         w = words(t)
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 49):
             gone[k : k + 50] |= least[tuple(w[k : k + 50])] != i
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
-    for cells in (None, 1 << 16):
-        got = [tuple(r) for r in substring.dedup_substrings(docs, 50, cells=cells).collect()]
+    for options in ({}, {"cells": 1 << 4}, {"hot": 0.01, "buffer": 300}, {"hot": 1.0, "load": 10}):
+        got = [tuple(r) for r in substring.dedup_substrings(docs, 50, **options).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert substring.dedup_substrings(empty).count() == 0
 
