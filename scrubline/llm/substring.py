@@ -15,8 +15,9 @@ anchors, and neighbouring windows mostly share one, so a document is a row of ru
 2. A second pass over the documents that got an answer exactly groups only the windows estimated repeated. A task first
    groups its own: of each window it keeps the smallest document for the others to see, and knows the rest as removed. What
    it keeps is dealt out by anchor and grouped again in the order of a sort, so a task holds a few groups at a time.
-3. Anchors of a share of all runs of ``hot`` or more (at most 2 / hot of them, found in the first pass) are dealt out by their
-   single windows, so that unlike windows around a common passage don't meet in one place.
+3. Windows of anchors with a share of all runs of ``hot`` or more, and ``least`` at least (at most 2 / hot anchors, found in
+   the first pass), are dealt out by their hashes to as many places as that share asks for, so that unlike windows around
+   a common passage don't meet in one place.
 
 Windows are told apart by two 64-bit hashes together. Estimates that are too high send more windows through the second
 pass and change no result; none is lost.
@@ -186,19 +187,20 @@ def _resolve(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, none: np.n
     return out
 
 
-def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, load: int = 1 << 18, cells: int | None = None, hot: float = 1e-4, buffer: int = 1_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, load: int = 1 << 18, cells: int | None = None, hot: float = 1e-5, least: int = 1000, buffer: int = 2_000_000) -> DataFrame:
     """The key and the spans of words (first, end) that go, for documents that lose any.
 
-    docs: doc, none, text, text_key. load: anchors a shard of the sketch is meant for; cells: of each row of its sketch."""
+    docs: doc, none, text, text_key. buffer: runs or windows that a task holds; load: anchors a shard of the sketch is meant for; cells: of each row of its sketch."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     runs = size / 6 / ((width - gram + 2) / 2)  # a word has some 6 bytes; an anchor serves half a window
     shards = max(int(runs / load), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = cells or 1 << max(10, int(np.ceil(np.log2(2 * runs / shards + 1))))
+    many = max(hot / 2 * runs, least / 2)
     found = keep(repeated(docs, width, gram, depth, shards, cells, hot, buffer))
-    often = found.where("n > 0").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, hot / 2 * runs)).orderBy("anchor").collect()  # 2 / hot rows at most
+    often = found.where("n > 0").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= many).orderBy("anchor").collect()  # 2 / hot rows at most
     hot_anchor = np.array([r["anchor"] for r in often], np.int64)
-    hot_places = np.array([1 + int(2 * r["n"] / hot / max(runs, 1)) for r in often], np.int64)
+    hot_places = np.array([1 + int(r["n"] / many) for r in often], np.int64)
     shared = spark.sparkContext.broadcast((hot_anchor, hot_places))
     answers = found.where("n = 0").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
 
@@ -222,79 +224,102 @@ def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int =
                 held.append((i64(runs.anchor[take]), doc[i:j][row], none[i:j][row], key[i:j][row], runs.word[take], length, i64(runs.window[where])))
                 size += len(where)
                 if size >= buffer:
-                    yield local(held)
+                    yield from local(held)
                     held, size = [], 0
         if held:
-            yield local(held)
+            yield from local(held)
 
-    def local(held: list[tuple]) -> pa.RecordBatch:
+    def local(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Neighbouring windows of a run with one fate as a row: those that a smaller document here has, only their number;
-        open ones with their hashes, and by themselves where the anchor is hot."""
+        open ones with their hashes. Open windows of hot anchors are dealt out by their hashes, with their words."""
         anchor, doc, none, key, word, n, window = map(np.concatenate, zip(*held, strict=True))
         run = np.repeat(np.arange(len(n)), n)
+        at_word = word[run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]
         gone = _resolve(anchor[run], window, doc[run], none[run])
-        at = np.minimum(np.searchsorted(shared.value[0], anchor), max(len(shared.value[0]) - 1, 0))
-        places = np.where(shared.value[0][at] == anchor, shared.value[1][at], 1) if len(shared.value[0]) else np.ones(len(anchor), np.int64)
+        hot_anchors, hot_places = shared.value
+        at = np.minimum(np.searchsorted(hot_anchors, anchor), max(len(hot_anchors) - 1, 0))
+        places = np.where(hot_anchors[at] == anchor, hot_places[at], 1) if len(hot_anchors) else np.ones(len(anchor), np.int64)
+        state = gone + 2 * (~gone & (places[run] > 1))  # 0 open, 1 known, 2 open and hot
         cut = np.ones(len(run), bool)
-        cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1]) | ((places[run[1:]] > 1) & ~gone[1:])
+        cut[1:] = (run[1:] != run[:-1]) | (state[1:] != state[:-1])
         start = np.flatnonzero(cut)
         stop = np.append(start[1:], len(run))
+        plain = state[start] < 2
+        start, stop = start[plain], stop[plain]
         of, known = run[start], gone[start]
         size = np.where(known, 1, stop - start)  # a known piece holds its length as its one element
         values = np.empty(size.sum(), np.int64)
-        to = np.cumsum(size) - size
-        values[to[known]] = (stop - start)[known]
-        values[np.repeat(~known, size)] = window[~gone]
-        sub = np.where(known, doc[of] ^ start, (mix(window[start].view(np.uint64)) >> U64(8)).astype(np.int64) % places[of])
-        own = np.where(known, i64(mix(doc[of].astype(np.uint64) + start.astype(np.uint64))), anchor[of])  # spread over all tasks
-        first = (word[of] + start - (np.cumsum(n) - n)[of]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(sub), pa.array(doc[of]), pa.array(none[of]), pa.array(key[of]), pa.array(first), pa.array(known), lists(values, np.append(0, np.cumsum(size)), pa.int64())], names=["anchor", "sub", *KEY, "word", "known", "windows"])
+        values[(np.cumsum(size) - size)[known]] = (stop - start)[known]
+        values[np.repeat(~known, size)] = window[state == 0]
+        own = np.where(known, i64(mix(doc[of].astype(np.uint64) + start.astype(np.uint64))), anchor[of])  # known ones are spread
+        none_ = np.zeros(0, np.int32)
+        yield told(own, np.zeros(len(of), np.int64), doc[of], none[of], key[of], at_word[start], known, values, size, none_, np.zeros(len(of), np.int64))
+        hot_ = np.flatnonzero(state == 2)
+        if len(hot_):
+            sub = (mix(window[hot_].view(np.uint64)) >> U64(8)).astype(np.int64) % places[run[hot_]]
+            order = np.lexsort((sub, run[hot_]))
+            hot_, sub = hot_[order], sub[order]
+            head = np.ones(len(hot_), bool)
+            head[1:] = (sub[1:] != sub[:-1]) | (run[hot_][1:] != run[hot_][:-1])
+            start = np.flatnonzero(head)
+            size, of = np.diff(np.append(start, len(hot_))), run[hot_[start]]
+            yield told(anchor[of], sub[start], doc[of], none[of], key[of], at_word[hot_[start]], np.zeros(len(of), bool), window[hot_], size, at_word[hot_], size)
+
+    def told(anchor, sub, doc, none, key, word, known, windows, size, words, sizes) -> pa.RecordBatch:
+        ends = lambda n: np.append(0, np.cumsum(n))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (anchor, sub, doc, none, key, word.astype(np.int32), known)), lists(windows, ends(size), pa.int64()), lists(words.astype(np.int32), ends(sizes), pa.int32())], names=["anchor", "sub", *KEY, "word", "known", "windows", "words"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open pieces of an anchor and place come together; groups are settled when the next one has begun."""
-        names = [*KEY, "first", "end"]
         held: list[tuple] = []
         size = 0
 
+        def spans(doc, none, key, first, end) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, (doc, none, key, first, end))], names=[*KEY, "first", "end"])
+
         def done(rows: tuple) -> pa.RecordBatch:
-            anchor, _, doc, none, key, word, n, window = rows
-            run = np.repeat(np.arange(len(n)), n)
-            gone = _resolve(anchor[run], window, doc[run], none[run])
-            cut = np.ones(len(run), bool)
-            cut[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1])
+            anchor, _, doc, none, key, n, window, word = rows
+            of = np.repeat(np.arange(len(n)), n)
+            gone = _resolve(anchor[of], window, doc[of], none[of])
+            cut = np.ones(len(of), bool)
+            cut[1:] = (of[1:] != of[:-1]) | (gone[1:] != gone[:-1]) | (word[1:] != word[:-1] + 1)
             start = np.flatnonzero(cut)
-            stop = np.append(start[1:], len(run))
+            stop = np.append(start[1:], len(of))
             start, stop = start[gone[start]], stop[gone[start]]
-            of = run[start]
-            w = (word[of] + start - (np.cumsum(n) - n)[of]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(none[of]), pa.array(key[of]), pa.array(w), pa.array(w + stop - start + width - 1)], names=names)
+            own = of[start]
+            return spans(doc[own], none[own], key[own], word[start], word[stop - 1] + width)
 
         for batch in batches:
             anchor, sub, doc, none, key, word, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             n, flat = np.asarray(batch.column(7).value_lengths()), np.asarray(batch.column(7).flatten())
+            dealt, words = np.asarray(batch.column(8).value_lengths()), np.asarray(batch.column(8).flatten())
+            at = np.cumsum(n) - n
             if known.any():
                 w = word[known].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(none[known]), pa.array(key[known]), pa.array(w), pa.array(w + flat[(np.cumsum(n) - n)[known]] + width - 1)], names=names)
+                yield spans(doc[known], none[known], key[known], w, w + flat[at[known]] + width - 1)
             o = ~known
             if not o.any():
                 continue
-            held.append((anchor[o], sub[o], doc[o], none[o], key[o], word[o], n[o], flat[np.repeat(o, n)]))
+            place = np.repeat(word.astype(np.int64) - at, n) + np.arange(len(flat))
+            place[np.repeat(dealt > 0, n)] = words
+            take = np.repeat(o, n)
+            held.append((anchor[o], sub[o], doc[o], none[o], key[o], n[o], flat[take], place[take]))
             size += len(held[-1][-1])
             if size >= buffer:
                 rows = tuple(map(np.concatenate, zip(*held, strict=True)))
                 others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
                 end = int(others[-1]) + 1 if len(others) else 0  # the last group may go on
-                windows = int(rows[6][:end].sum())
+                windows = int(rows[5][:end].sum())
                 if end:
-                    yield done((*(x[:end] for x in rows[:7]), rows[7][:windows]))
-                held = [(*(x[end:] for x in rows[:7]), rows[7][windows:])]
+                    yield done((*(x[:end] for x in rows[:6]), *(x[:windows] for x in rows[6:])))
+                held = [(*(x[end:] for x in rows[:6]), *(x[windows:] for x in rows[6:]))]
                 size = len(held[0][-1])
         if held:
             yield done(tuple(map(np.concatenate, zip(*held, strict=True))))
 
     # Inner side of both joins are the same shuffled texts, which Spark reuses.
     texts = docs.join(answers.hint("shuffle_hash"), list(KEY)).select("doc", "none", "text", "text_key", "anchors")
-    pieces = texts.mapInArrow(candidates, "anchor bigint, sub bigint, doc bigint, none boolean, text_key bigint, word int, known boolean, windows array<bigint>")
+    pieces = texts.mapInArrow(candidates, "anchor bigint, sub bigint, doc bigint, none boolean, text_key bigint, word int, known boolean, windows array<bigint>, words array<int>")
     spans = pieces.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").mapInArrow(settle, "doc bigint, none boolean, text_key bigint, first bigint, end bigint")
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 

@@ -112,7 +112,7 @@ def test_substring_brute_force(docs, empty):
             gone[k : k + 50] |= least[tuple(w[k : k + 50])] != i
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
-    for options in ({}, {"cells": 1 << 4}, {"hot": 0.01, "buffer": 300}, {"hot": 1.0, "load": 10}):
+    for options in ({}, {"cells": 1 << 4}, {"hot": 0.001, "least": 2, "buffer": 300}, {"hot": 1e-9, "least": 2, "load": 10}):
         got = [tuple(r) for r in substring.dedup_substrings(docs, 50, **options).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert substring.dedup_substrings(empty).count() == 0
