@@ -83,7 +83,8 @@ def cells_of(anchor: np.ndarray, depth: int, cells: int) -> np.ndarray:
 
 
 def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
-    return ((anchor >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    """Anchors are minima, so they are mixed to be spread evenly."""
+    return ((mix(anchor) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
 def _ends(sorted_: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
