@@ -188,7 +188,7 @@ def _resolve(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, none: np.n
     return out
 
 
-def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, load: int = 1 << 18, cells: int | None = None, hot: float = 1e-5, least: int = 1000, buffer: int = 2_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, width: int = 50, gram: int = 8, depth: int = 3, load: int = 1 << 18, cells: int | None = None, hot: float = 1e-5, least: int = 200, buffer: int = 2_000_000) -> DataFrame:
     """The key and the spans of words (first, end) that go, for documents that lose any.
 
     docs: doc, none, text, text_key. buffer: runs or windows that a task holds; load: anchors a shard of the sketch is meant for; cells: of each row of its sketch."""
