@@ -9,14 +9,20 @@ A text's set is its distinct shingles of ``n`` lower-cased words (the whole sequ
 3. Index lists are split into blocks of sizes within one step of the threshold, and by position: an entry is skipped when
    no other lies at a position that the allowed difference permits. Blocks split further where tallies of the sets (how
    many shingles have each of 16 remainders) show that no link crosses. Each block names a leader, the set with the most
-   common prefix, and sends only (leader, member) pairs, not all pairs.
+   common prefix, and sends only (leader, member) pairs, not all pairs. Lists of more than ``hot`` entries don't meet in one
+   place: their blocks are pairs of neighbouring bands, whose leaders and pairs are found by aggregation and a join.
 4. A member's answer is computed against its leader's and kept as the difference of the two sets. All other answers of
    the block follow from those differences alone (|x ^ y| = |dx ^ dy|), and only for members that don't already link to
-   the leader. So no link between different texts is lost, and a group of near copies never meets pair by pair.
+   the leader. So no link between different texts is lost, and a group of near copies never meets pair by pair. Members of
+   a large block work in several places; those that don't link to the leader visit all of them.
 5. Links go through a distributed connected-components step; equal sets rejoin.
 
-Null and blank texts have an empty set and link with nothing. Rows of one doc_id are one document: what any of them links
-to is linked. Rows with a null doc_id take no part and get a null component.
+The table of bucket ranks (16 MB at most) and the bitmap of ids (16 MB at most) only save work: where more shingles or rows
+share them they save less, and the result is the same.
+
+Null and blank texts have an empty set and link with nothing; an empty table has no rows. Very long texts are read whole, one
+slice of rows at a time. Rows of one doc_id are one document: what any of them links to is linked. Rows with a null doc_id
+take no part and get a null component. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,9 +138,23 @@ def _shared(token: np.ndarray) -> np.ndarray:
     return same[1:] | same[:-1]
 
 
-def leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def hot_tokens(rows: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """Tokens in the prefixes of more than hot rows, and the least rank that such a token can have. Ranks stand in a token's
+    first byte and grow with the counts, which are clipped at 255 for each task."""
+    rank = int(8 * math.log2(min(hot, 255) + 1))
+    tokens = rows.select(F.explode(F.filter("prefix", lambda t: F.shiftrightunsigned(t, 56) >= rank)).alias("token"))
+    return keep(tokens.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > hot).select("token")), rank
+
+
+def leader_pairs(postings: DataFrame, percent: int, often: DataFrame, rank: int) -> DataFrame:
     """(leader, member) for every block of every index list. postings: token, rep, n, heft, pos, tally."""
     step = math.log(100 / percent)
+    maybe = F.shiftrightunsigned("token", 56) >= rank
+    # A band's entries are in the blocks of two bands that begin with it and with the one below.
+    band = F.floor(F.ln(F.greatest("n", F.lit(1))) / step)
+    blocks = postings.where(maybe).join(often, "token", "left_semi").select("token", "rep", F.struct("heft", (-F.col("rep")).alias("least")).alias("key"), F.explode(F.array(band, band - 1)).alias("block"))
+    leaders = blocks.groupBy("token", "block").agg(F.max("key").alias("key")).select("token", "block", (-F.col("key.least")).alias("leader"))
+    large = blocks.select("token", "block", F.col("rep").alias("member")).join(leaders, ["token", "block"]).where("leader <> member").select("leader", "member")
 
     def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """Sets differ by the differences of their tallies at least, and linked ones by a share of their sizes at most."""
@@ -142,11 +162,9 @@ def leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
         return apart * (100 + percent) <= (na.astype(np.int64) + nb) * (100 - percent)
 
     def classes(tally: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Entries that may link, also through others, have one class. Large blocks are taken as one."""
+        """Entries that may link, also through others, have one class; hot entries at most."""
         m = len(n)
         out = np.arange(m)
-        if m > 1500:
-            return np.zeros(m, np.int64)
         for k in range(m - 1):
             near = out[k + 1 :][may_link(tally[k + 1 :], tally[k], n[k + 1 :], n[k])]
             if len(near):
@@ -199,7 +217,8 @@ def leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
         both = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["leader", "member"])
 
-    return postings.repartition("token").mapInArrow(run, "leader bigint, member bigint").dropDuplicates(["leader", "member"])
+    small = postings.where(~maybe).unionByName(postings.where(maybe).join(often, "token", "left_anti").select(*postings.columns))
+    return small.repartition("token").mapInArrow(run, "leader bigint, member bigint").unionByName(large).dropDuplicates(["leader", "member"])
 
 
 def _links(n_leader: int, n: np.ndarray, deltas: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -257,22 +276,22 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
 
     def deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a (leader, salt) come together, the leader's own first. Leaders in one place are settled here: their
-        links go on with a null delta, and only the differences to leaders in several places are dealt out again."""
-        key, alone, heads, held = None, True, [], []
+        links go on with a null delta. Of leaders in several places all differences go on, with what links to the leader."""
+        key, places, heads, held = None, 1, [], []
 
         def told(rows: list[tuple], parts: list[np.ndarray | None]) -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
             flat = [p for p in parts if p is not None]
             values = lists(i64(np.concatenate(flat)), np.append(0, np.cumsum([len(p) for p in flat], dtype=np.int64)), pa.int64()) if flat else pa.nulls(len(rows), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([*columns, values], names=["leader", "digest", "member", "n_leader", "n", "delta"])
+            return pa.RecordBatch.from_arrays([*columns, values], names=["leader", "digest", "place", "places", "linked", "member", "n_leader", "n", "delta"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            rows = [(a, 0, b, 0, 0) for k, (_, head) in enumerate(heads) if held[k][0] for a, b in found(key[0], len(head), *held[k])]
+            rows = [(a, 0, 0, 1, True, b, 0, 0) for k, (_, head) in enumerate(heads) if held[k][0] for a, b in found(key[0], len(head), *held[k])]
             if rows:
                 yield told(rows, [None] * len(rows))
 
         for batch in batches:
-            leader, salt, places, kind, member = (batch.column(k).to_pylist() for k in range(5))
+            leader, salt, many, kind, member = (batch.column(k).to_pylist() for k in range(5))
             data, offsets = utf8(batch.column(5))
             for i, j in slices(offsets):
                 own, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
@@ -281,7 +300,7 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
                     s = np.unique(own[first[k - i] : first[k - i + 1]])
                     if (leader[k], salt[k]) != key:
                         yield from close()
-                        key, alone, heads, held = (leader[k], salt[k]), places[k] == 1, [], []
+                        key, places, heads, held = (leader[k], salt[k]), many[k], [], []
                     if kind[k] == 0:
                         digest = int(i64(np.array([_digest(s)[0]]))[0])
                         if digest not in {h[0] for h in heads}:
@@ -290,39 +309,38 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
                         continue
                     for (digest, head), (ids, sizes, diffs) in zip(heads, held, strict=True):
                         delta = np.setxor1d(head, s, assume_unique=True)
-                        if alone:
+                        if places == 1:
                             ids.append(member[k])
                             sizes.append(len(s))
                             diffs.append(delta)
                         else:
+                            linked = 100 * (len(head) + len(s) - len(delta)) >= percent * (len(head) + len(s) + len(delta))
                             parts.append(delta)
-                            rows.append((leader[k], digest, member[k], len(head), len(s)))
+                            rows.append((leader[k], digest, salt[k], places, linked, member[k], len(head), len(s)))
                 if rows:
                     yield told(rows, parts)
         yield from close()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a leader's place: its own members, and all members that don't link to the leader."""
         key, ids, sizes, parts = None, [], [], []
 
-        def edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        def edges() -> pa.RecordBatch:
+            pairs = found(key[0], key[3], ids, sizes, parts)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            leader, dig, member, n_leader, size = (c.to_pylist() for c in batch.columns[:5])
-            settled = batch.column(5).is_null().to_pylist()
-            yield edges([(leader[k], member[k]) for k in range(batch.num_rows) if settled[k]])
+            leader, dig, place, n_leader, member, size = (c.to_pylist() for c in batch.columns[:6])
             for k in range(batch.num_rows):
-                if settled[k]:
-                    continue
-                if key is None or (leader[k], dig[k]) != key[:2]:
+                if key is None or (leader[k], dig[k], place[k]) != key[:3]:
                     if key is not None:
-                        yield edges(found(key[0], key[2], ids, sizes, parts))
-                    key, ids, sizes, parts = (leader[k], dig[k], n_leader[k]), [], [], []
+                        yield edges()
+                    key, ids, sizes, parts = (leader[k], dig[k], place[k], n_leader[k]), [], [], []
                 ids.append(member[k])
                 sizes.append(size[k])
-                parts.append(batch.column(5)[k].values.to_numpy())
+                parts.append(batch.column(6)[k].values.to_numpy())
         if key is not None:
-            yield edges(found(key[0], key[2], ids, sizes, parts))
+            yield edges()
 
     pairs = keep(pairs)
     # A leader of many members works in several places, with a copy of its text for each.
@@ -331,18 +349,24 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, members_in_pl
     members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("member"), "places").cast("int").alias("salt"), "places", F.lit(1).alias("kind"), "member")
     rows = keep(heads.unionByName(members).withColumnRenamed("member", "doc_id"))
     texts = maybe_in(docs.select("doc_id", "text"), rows).join(rows.hint("shuffle_hash"), "doc_id").select("leader", "salt", "places", "kind", "doc_id", "text")
-    told = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").mapInArrow(deltas, "leader bigint, digest bigint, member bigint, n_leader int, n int, delta array<bigint>")
-    return told.repartition("leader").sortWithinPartitions("leader", "digest").mapInArrow(settle, "a bigint, b bigint")
+    told = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").mapInArrow(deltas, "leader bigint, digest bigint, place int, places int, linked boolean, member bigint, n_leader int, n int, delta array<bigint>")
+    told = keep(told)
+    linked = told.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    own = ["leader", "digest", "place", "n_leader", "member", "n", "delta"]
+    asking = told.where("not linked").select(*[F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias(c) if c == "place" else c for c in own])
+    asked = told.where("linked and delta is not null").select(*own).join(told.where("not linked").select("leader").distinct(), "leader", "left_semi").select(*own)
+    met = asking.unionByName(asked).repartition("leader", "digest", "place").sortWithinPartitions("leader", "digest", "place").mapInArrow(settle, "a bigint, b bigint")
+    return linked.unionByName(met)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, members_in_place: int = 400) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, members_in_place: int = 400, hot: int = 1500) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = keep(prefixes(docs, n, percent))
     real = rows.where("doc_id is not null and n > 0")
     reps = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("heft").alias("heft"), F.first("tally").alias("tally"), F.first("prefix").alias("prefix"))
     postings = reps.select("rep", "n", "heft", "tally", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "heft", "pos", "tally")
-    edges = links(docs.where("doc_id is not null"), leader_pairs(postings, percent), n, percent, members_in_place)
+    edges = links(docs.where("doc_id is not null"), leader_pairs(postings, percent, *hot_tokens(real, hot)), n, percent, members_in_place)
     # Two plain shuffled sides, so that adaptive execution splits a large group of equal sets.
     names = keep(real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     classes = keep(real.select("doc_id", "n", "d1", "d2").join(names, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))

@@ -180,7 +180,8 @@ def test_jaccard_brute_force(docs, empty):
             if 100 * len(s & u) >= 90 * len(s | u):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    for r in jaccard.jaccard_components(docs).collect() + jaccard.jaccard_components(docs, members_in_place=2).collect():
+    found = [jaccard.jaccard_components(d, **options).collect() for d, options in ((docs, {}), (docs.withColumn("rep", F.lit(1)).withColumn("n", F.lit("x")), {"members_in_place": 2}), (docs, {"hot": 2}), (docs, {"hot": 1, "members_in_place": 1}))]
+    for r in [x for rows in found for x in rows]:
         assert r["doc_id"] is None and r["component_id"] is None or r["component_id"] == find(r["doc_id"]) and r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
     assert jaccard.jaccard_components(empty).count() == 0
 
