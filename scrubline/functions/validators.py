@@ -36,11 +36,12 @@ def bic(v: Column) -> Column:
 
 
 def french_ssn(v: Column) -> Column:
-    """13 characters, or 15 whose key is 97 minus the number modulo 97; Corsican 2A and 2B count as 19 and 18."""
+    """Sex, year, month, department (also Corsican), commune and order; with a key, it is 97 minus the number modulo 97,
+    where 2A and 2B count as 19 and 18."""
     c = F.upper(clean_identifier(v))
-    number = F.regexp_replace(F.regexp_replace(F.substring(c, 1, 13), "2A", "19"), "2B", "18")
-    ok = F.regexp_like(number, F.lit("^[0-9]{13}$"))
-    return F.when(F.length(c) == 13, ok).when(F.length(c) == 15, ok & F.regexp_like(F.substring(c, 14, 2), F.lit("^[0-9]{2}$")) & (F.when(ok, 97 - number.cast("bigint") % 97) == F.substring(c, 14, 2).try_cast("bigint"))).otherwise(False)
+    ok = F.regexp_like(c, F.lit("^[12][0-9]{2}(0[1-9]|1[0-2])(2A|2B|[0-9]{2})[0-9]{6}([0-9]{2})?$"))
+    number = F.replace(F.replace(F.substring(c, 1, 13), F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18")).try_cast("bigint")
+    return ok & ((F.length(c) == 13) | F.coalesce(97 - number % 97 == F.substring(c, 14, 2).try_cast("bigint"), F.lit(False)))
 
 
 def us_ssn(v: Column) -> Column:

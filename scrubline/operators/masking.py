@@ -20,8 +20,10 @@ def mask_phone(v: Column) -> Column:
 
 
 def mask_iban(v: Column) -> Column:
+    """The first four characters, a space, and a group of stars for each four more, with spaces between."""
     c = F.replace(v, F.lit(" "), F.lit(""))
-    return F.when(F.length(c) <= 4, "[IBAN]").otherwise(F.concat(F.substring(c, 1, 4), F.repeat(F.lit("****"), F.ceil((F.length(c) - 4) / 4).cast("int"))))
+    groups = F.array_join(F.array_repeat(F.lit("****"), F.ceil((F.length(c) - 4) / 4).cast("int")), " ")
+    return F.when(F.length(c) < 4, "[IBAN]").otherwise(F.concat(F.substring(c, 1, 4), F.lit(" "), groups))
 
 
 def mask_generic(v: Column, label: Column) -> Column:
@@ -41,8 +43,8 @@ def pseudonym(label: Column, value: Column, secret: str, salt: str, scope: Colum
 
 
 def replacement(label: Column, value: Column, action: Column, secret: str = "dev-secret", salt: str = "dev-salt", scope: Column | str = "default") -> Column:
-    """What a span becomes; an action that isn't known is a pseudonym."""
-    upper = F.upper(label)
+    """What a span becomes; an action that isn't known is a pseudonym. Labels count in upper case."""
+    upper = label = F.upper(label)
     masked = F.when(upper == "EMAIL", mask_email(value)).when(upper.isin("PHONE", "TELEPHONE", "MOBILE", "TEL"), mask_phone(value)).when(upper.isin("IBAN", "BANK_ACCOUNT"), mask_iban(value)).otherwise(mask_generic(value, label))
     box = lambda tail: F.concat(F.lit("["), upper, F.lit(tail))
     return F.when(action == "mask", masked).when(action == "generalize", box("]")).when(action == "redact", box("_REDACTED]")).when(action == "sensitive", "[SENSITIVE]").otherwise(pseudonym(label, value, secret, salt, scope))
@@ -51,7 +53,7 @@ def replacement(label: Column, value: Column, action: Column, secret: str = "dev
 def policy_action(label: Column, policy: dict[str, str], default: str = "pseudo") -> Column:
     from scrubline.functions.labels import lookup
 
-    return F.coalesce(lookup(policy, label), F.lit(default)) if policy else F.lit(default)
+    return F.coalesce(lookup({k.upper(): v for k, v in policy.items()}, F.upper(label)), F.lit(default)) if policy else F.lit(default)
 
 
 def apply_spans(text: Column, spans: Column) -> Column:
@@ -65,8 +67,11 @@ def apply_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(ok) > 0, done).otherwise(text)
 
 
-def mask_documents(docs: DataFrame, gathered: DataFrame, policy: dict[str, str], default: str = "pseudo", **secrets: str) -> DataFrame:
-    """docs with ``masked`` and ``n_masked``. gathered: doc_id, spans (resolved)."""
-    with_action = gathered.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s["label"], s["value"], policy_action(s["label"], policy, default), **secrets).alias("replacement"))))
-    joined = docs.join(with_action, "doc_id", "left")
-    return joined.withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(apply_spans(F.col("text"), F.col("spans")))).withColumn("n_masked", F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")).drop("spans")
+def replaced(text: Column, spans: Column, policy: dict[str, str], default: str = "pseudo", **secrets: str) -> Column:
+    """Text with its resolved spans (start, end, label, value) masked by the policy."""
+    return apply_spans(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s["label"], s["value"], policy_action(s["label"], policy, default), **secrets).alias("replacement"))))
+
+
+def mask_documents(docs: DataFrame, policy: dict[str, str], default: str = "pseudo", spans: str = "spans", **secrets: str) -> DataFrame:
+    """docs, which hold their resolved spans, with ``masked`` and ``n_masked``; nothing is shuffled."""
+    return docs.withColumns({"masked": replaced(F.col("text"), F.col(spans), policy, default, **secrets), "n_masked": F.coalesce(F.size(spans), F.lit(0)).cast("bigint")})

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubline.functions.arrays import let
+
 
 def fbeta(p: Column, r: Column, beta: float = 2.0) -> Column:
     b = beta * beta
@@ -50,17 +52,44 @@ def span_scores(gold_flags: DataFrame, pred_flags: DataFrame, by: list[str]) ->
     return out.withColumns({"precision": F.round(precision, 4), "recall": F.round(recall, 4), "f2": F.round(fbeta(precision, recall), 4), "strict_precision": F.round(sp, 4), "strict_recall": F.round(sr, 4), "strict_f1": F.round(fbeta(sp, sr, 1.0), 4)})
 
 
-def greedy_match(gold: Column, pred: Column) -> Column:
-    """Number of one-to-one matches: gold spans in order take the first free prediction they meet."""
-    state = F.struct(F.lit(0).alias("n"), F.transform(pred, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("free"))
+def distinct_spans(spans: Column) -> Column:
+    """start, end and label of each span once, ordered."""
+    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))))
+
+
+def greedy_match(gold: Column, pred: Column, typed: bool = False) -> Column:
+    """struct<tp, fp, fn> of one-to-one matches: distinct gold spans in order take the first free prediction they meet, with
+    typed only of their label."""
 
     def step(s: Column, g: Column) -> Column:
-        hits = F.transform(s["free"], lambda p: (g["start"] < p["end"]) & (p["start"] < g["end"]))
+        hits = F.transform(s["free"], lambda p: (g["start"] < p["end"]) & (p["start"] < g["end"]) & ((g["label"] == p["label"]) if typed else F.lit(True)))
         at = F.array_position(hits, True)
         rest = F.filter(s["free"], lambda p, i: i != (at - 1).cast("int"))
         return F.when(at > 0, F.struct((s["n"] + 1).alias("n"), rest.alias("free"))).otherwise(s)
 
-    return F.aggregate(gold, state, step, lambda s: s["n"])
+    def counted(both: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), both["p"].alias("free"))
+        return F.aggregate(both["g"], start, step, lambda s: F.struct(s["n"].alias("tp"), F.size(s["free"]).alias("fp"), (F.size(both["g"]) - s["n"]).alias("fn")))
+
+    return let(F.struct(distinct_spans(gold).alias("g"), distinct_spans(pred).alias("p")), counted)
+
+
+def flagged(gold: Column, pred: Column, allowed: list[str] | None = None) -> tuple[Column, Column]:
+    """The flags of evaluate_spans for spans held in arrays beside each other: nothing is shuffled."""
+    meet = lambda g, p: (g["start"] < p["end"]) & (p["start"] < g["end"])
+    same = lambda g, p: (g["start"] == p["start"]) & (g["end"] == p["end"])
+    named = lambda s: [s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")]
+    g, p = distinct_spans(gold), distinct_spans(pred)
+    scoped = F.filter(p, lambda x: x["label"].isin(allowed)) if allowed is not None else p
+
+    def golds(near: Column, s: Column) -> Column:
+        return F.struct(*named(s), (F.size(near) > 0).alias("covered"), F.exists(near, lambda x: x["label"] == s["label"]).alias("typed"), F.exists(near, lambda x: same(s, x) & (x["label"] == s["label"])).alias("strict"))
+
+    def preds(near: Column, s: Column) -> Column:
+        return F.struct(*named(s), (F.size(near) > 0).alias("covered"), F.exists(near, lambda x: same(s, x) & (x["label"] == s["label"])).alias("strict"), F.exists(near, lambda x: same(s, x)).alias("bounds"))
+
+    flags = lambda own, others, made: let(others, lambda o: F.transform(own, lambda s: let(F.filter(o, lambda x: meet(s, x)), lambda near: made(near, s))))
+    return flags(g, p, golds), flags(scoped, g, preds)
 
 
 def axis_score(span: Column, leak: Column, seconds: Column, risk: Column | None = None, utility: Column | None = None) -> Column:

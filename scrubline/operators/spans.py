@@ -5,6 +5,7 @@ A span is (start, end, label, value, source, score) in code points of the origin
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions import labels, validators
+from scrubline.functions.arrays import let, sums
 from scrubline.functions.patterns import FORBIDDEN, RULES, Rule, java
 
 SPAN = "struct<start:int,end:int,label:string,value:string,source:string,score:double>"
@@ -21,41 +23,62 @@ SPAN = "struct<start:int,end:int,label:string,value:string,source:string,score:d
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,value>> of the matches of a JVM pattern, from the pieces between them."""
-    whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(whole.alias("m"), F.slice(between, 1, F.size(whole)).alias("p"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+    def placed(z: Column) -> Column:
+        real = F.filter(z, lambda x: x["m"].isNotNull())  # behind the last match is one more piece
+        ends = sums(F.transform(real, lambda x: F.length(x["p"]) + F.length(x["m"])))
+        return F.zip_with(real, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("value")))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+    found = let(F.arrays_zip(whole.alias("m"), F.split(text, pattern, -1).alias("p")), placed)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def found(text: Column, rules: Sequence[Rule], whitelist: Sequence[str] = ()) -> Column:
+    """array<struct<start,end,label,value,rule,priority>> of the valid matches of rules that report whole matches."""
+    skip = [w.strip().lower() for w in whitelist]
+
+    def one(r: Rule) -> Column:
+        check = r.validator or validators.BY_LABEL.get(r.label)
+
+        def ok(m: Column) -> Column:
+            test = ~m["value"].isin(*FORBIDDEN)
+            test = test & validators.VALIDATORS[check](m["value"]) if check else test
+            return test & ~F.lower(F.trim(m["value"])).isin(*skip) if skip else test
+
+        fixed = {"label": r.label, "value": None, "rule": r.name, "priority": r.priority}
+        return F.transform(F.filter(matches(text, java(r.pattern)), ok), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[(m["value"] if v is None else F.lit(v)).alias(k) for k, v in fixed.items()]))
+
+    return F.concat(*[one(r) for r in rules])
+
+
+def as_spans(matched: Column, source: str = "regex", score: float = 1.0) -> Column:
+    """array<SPAN> of what found gives."""
+    return F.transform(matched, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), m["value"].alias("value"), F.lit(source).alias("source"), F.lit(score).alias("score"))).cast(f"array<{SPAN}>")
 
 
 def rule_spans(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows (doc_id, start, end, label, value, rule, priority) by JVM expressions; for rules that report whole matches."""
-    def found(r: Rule) -> Column:
-        fixed = {"label": r.label, "rule": r.name, "priority": r.priority, "validator": r.validator or validators.BY_LABEL.get(r.label, "")}
-        return F.transform(matches(F.col("text"), java(r.pattern)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), *[F.lit(v).alias(k) for k, v in fixed.items()]))
-
-    arrays = [found(r) for r in rules]
-    rows = docs.select("doc_id", F.explode(F.concat(*arrays)).alias("s")).select("doc_id", "s.*")
-    checks = {r.validator or validators.BY_LABEL.get(r.label) for r in rules} - {None}
-    ok = F.lit(True)
-    for name in sorted(checks):
-        ok = F.when(F.col("validator") == name, validators.VALIDATORS[name](F.col("value"))).otherwise(ok)
-    return rows.where(ok & ~F.col("value").isin(*FORBIDDEN)).drop("validator")
+    return docs.select("doc_id", F.explode(found(F.col("text"), rules)).alias("s")).select("doc_id", "s.*")
 
 
 def detect(docs: DataFrame, rules: Sequence[Rule] = RULES, whitelist: Sequence[str] = ()) -> DataFrame:
-    """The same rows for all enabled rules with the semantics of Python's re, in Arrow batches; also rules with a group."""
+    """The same rows for all enabled rules. Rules that report a group of a match go through Python's re in Arrow batches,
+    and only for texts that have a match; the others stay in the JVM."""
     active = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
+    whole, grouped = [r for r in active if not r.group], [r for r in active if r.group]
+    text = F.coalesce("text", F.lit(""))
+    parts = [docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(found(text, whole, whitelist)).alias("s")).select("doc_id", "s.*")] if whole else []
+    if grouped:
+        parts.append(_grouped(docs, grouped, whitelist))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _grouped(docs: DataFrame, rules: Sequence[Rule], whitelist: Sequence[str]) -> DataFrame:
     skip = {w.strip().lower() for w in whitelist}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(r, re.compile(r.pattern)) for r in active]
+        compiled = [(r, re.compile(r.pattern)) for r in rules]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -68,7 +91,8 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = RULES, whitelist: Sequence[s
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "label", "value", "rule", "priority", "validator"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start int, end int, label string, value string, rule string, priority int, validator string")
+    some = functools.reduce(Column.__or__, [F.regexp_like("text", F.lit(java(r.pattern))) for r in rules])
+    rows = docs.where(some).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start int, end int, label string, value string, rule string, priority int, validator string")
     ok = F.lit(True)
     for name in ("luhn", "iban", "bic", "nir", "ssn", "phone"):
         ok = F.when(F.col("validator") == name, validators.VALIDATORS[name](F.col("value"))).otherwise(ok)
@@ -82,7 +106,7 @@ def gather(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def ordered(spans: Column) -> Column:
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["score"]).alias("c"), s["label"].alias("d"), s.alias("s")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["score"]).alias("c"), s["label"].alias("d"), s["value"].alias("e"), s["source"].alias("f"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
@@ -95,9 +119,10 @@ def sweep(spans: Column) -> Column:
 def resolve(spans: Column, strategy: str = "priority_longest", priority: dict[str, int] | None = None) -> Column:
     """Ordered spans, each compared with the last kept one only: longest, highest_score, first, priority_longest, priority_score.
 
-    Spans of one label are compared without the priority of their sources; an unknown strategy is longest."""
+    Spans of one label (not of none) are compared without the priority of their sources, which count in lower case; an
+    unknown strategy is longest."""
     ranks = priority or labels.SOURCE_PRIORITY
-    rank = lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), s["source"]), F.lit(1))
+    rank = lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), F.lower(s["source"])), F.lit(1))
     longer = lambda x, y: (x["end"] - x["start"]) > (y["end"] - y["start"])
     better = lambda x, y: x["score"] > y["score"]
 
@@ -108,7 +133,8 @@ def resolve(spans: Column, strategy: str = "priority_longest", priority: dict[st
             return better(x, y)
         if strategy in ("priority_longest", "priority_score"):
             by = longer if strategy == "priority_longest" else better
-            return F.when(F.upper(x["label"]) == F.upper(y["label"]), by(x, y)).when(rank(x) != rank(y), rank(x) > rank(y)).otherwise(by(x, y))
+            same = (F.upper(x["label"]) == F.upper(y["label"])) & (x["label"] != "")
+            return F.when(same, by(x, y)).when(rank(x) != rank(y), rank(x) > rank(y)).otherwise(by(x, y))
         return longer(x, y)
 
     def step(acc: Column, x: Column) -> Column:
@@ -123,6 +149,20 @@ def resolve(spans: Column, strategy: str = "priority_longest", priority: dict[st
     return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
 
 
+def deduplicated(spans: Column) -> Column:
+    """The first span of each start, end and upper-cased label, in the order given."""
+    key = lambda s: F.struct(s["start"], s["end"], F.upper(s["label"]))
+    return let(F.transform(spans, key), lambda keys: F.filter(spans, lambda s, i: F.array_position(keys, key(s)) == i + 1))
+
+
+def merged(*lists: Column, strategy: str | None = "priority_longest") -> Column:
+    """Lists of spans together: exact duplicates go, then overlaps by a strategy; without one, ordered by start and end."""
+    one = deduplicated(F.concat(*[F.coalesce(x, F.array().cast(f"array<{SPAN}>")) for x in lists]))
+    if strategy is None:
+        return F.transform(F.array_sort(F.transform(one, lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), i.alias("i"), s.alias("s")))), lambda k: k["s"])
+    return let(ordered(one), lambda spans: resolve(spans, strategy))
+
+
 def first_of_duplicates(spans: DataFrame, order: str = "priority") -> DataFrame:
     """One row for each (doc_id, start, end, upper-cased label): the first by order, then rule and value."""
     rest = [c for c in ("rule", "value") if c in spans.columns]

@@ -24,7 +24,7 @@ def ngrams(words, n):
 
 for _n in (1, 2, 3):
     query(f"""SELECT {_n} AS n, count(*) AS total, count(DISTINCT g) AS uniques, round(count(DISTINCT g) / count(*), 4) AS ratio FROM (SELECT unnest(list_transform(range(1, len(t) - {_n} + 2), lambda i: array_to_string(t[i:i+{_n - 1}], ' '))) AS g FROM (SELECT {_TOKENS} AS t FROM documents))""", f"distinct_{_n}")(
-        lambda t, n=_n: t("documents").select(F.explode(ngrams(tokens(F.col("text")), n)).alias("g")).groupBy("g").agg(F.count("*").alias("c")).agg(F.lit(n).alias("n"), F.sum("c").alias("total"), F.count("*").alias("uniques")).withColumn("ratio", F.round(F.col("uniques") / F.col("total"), 4))
+        lambda t, n=_n: t("documents").select(F.explode(ngrams(tokens(F.col("text")), n)).alias("g")).select(F.unhex(F.md5("g")).alias("g")).groupBy("g").agg(F.count("*").alias("c")).agg(F.lit(n).alias("n"), F.sum("c").alias("total"), F.count("*").alias("uniques")).withColumn("ratio", F.round(F.col("uniques") / F.col("total"), 4))
     )
 
 
@@ -51,7 +51,8 @@ def top_cells(t):
 @query("SELECT count(*) AS n, count(DISTINCT text) AS uniques, count(*) - count(DISTINCT text) AS duplicates, count(*) FILTER (text IS NULL OR text = '') AS missing FROM documents")
 def duplicates(t):
     d = t("documents")
-    return d.agg(F.count("*").alias("n"), F.countDistinct("text").alias("uniques"), (F.count("*") - F.countDistinct("text")).alias("duplicates"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("missing"))
+    own = F.countDistinct(F.sha2("text", 256))  # digests are dealt out, not whole texts
+    return d.agg(F.count("*").alias("n"), own.alias("uniques"), (F.count("*") - own).alias("duplicates"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("missing"))
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM events GROUP BY event_type")
@@ -67,7 +68,9 @@ def pearson(t):
 
 @query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), l AS (SELECT vec_id, sqrt(sum(x * x)) AS len FROM v GROUP BY 1), s AS (SELECT k, sum(x / len) AS x FROM v JOIN l USING (vec_id) GROUP BY k), n AS (SELECT count(*) AS n FROM embeddings) SELECT round(1 - (sum(x * x) - max(n)) / (max(n) * (max(n) - 1)), 4) AS dispersion FROM s, n")
 def embedding_dispersion(t):
-    v = t("embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).select("vec_id", "k", F.col("x").cast("double").alias("x"))
-    v = v.join(v.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len")), "vec_id")
-    s = v.groupBy("k").agg(F.sum(F.col("x") / F.col("len")).alias("x"), F.count("*").alias("n"))
+    """One partial aggregation over positions; lengths are found in the row."""
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
+    v = t("embeddings").select(unit.alias("u"), length.alias("len")).select(F.posexplode(F.transform("u", lambda x: x / F.col("len"))).alias("k", "x"))
+    s = v.groupBy("k").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     return s.agg(F.round(1 - (F.sum(F.col("x") * F.col("x")) - F.max("n")) / (F.max("n") * (F.max("n") - 1)), 4).alias("dispersion"))

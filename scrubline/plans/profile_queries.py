@@ -29,7 +29,9 @@ def minhash(text, hashes: int = HASHES, size: int = SIZE):
 FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {SIZE} + 2), lambda i: array_to_string(w[i:i+{SIZE - 1}], ' '))) END AS sh
       FROM (SELECT doc_id, {_TOKENS.replace("lower(text)", "lower(coalesce(text, ''))")} AS w FROM documents))""")
 def minhash_signature(t):
-    return t("documents").select("doc_id", F.array_join(minhash(F.coalesce("text", F.lit(""))), ",").alias("signature"))
+    # Digests cost far more than moving the texts, so these are spread over all tasks first.
+    docs = t("documents")
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", F.array_join(minhash(F.coalesce("text", F.lit(""))), ",").alias("signature"))
 
 
 @F.pandas_udf(DoubleType())

@@ -54,11 +54,3 @@ def calibration_gate(t):
     d = t("orders").groupBy(F.col("o_orderpriority").alias("grade")).agg(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("top1"))
     gap = F.col("top1") - F.lag("top1").over(W.orderBy("grade"))  # a handful of grades
     return d.select("grade", F.round("top1", 4).alias("top1"), F.round(gap, 4).alias("gap"), F.coalesce(gap >= 0.05, F.lit(True)).alias("passed"))
-
-
-@query("SELECT c_custkey, CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.6) + floor(n * 0.2) THEN 'dev' ELSE 'test' END AS split FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)")
-def author_split(t):
-    r, n = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")), F.count("*").over(W.partitionBy("c_nationkey"))
-    d = t("customer").select("c_custkey", r.alias("r"), n.alias("n"))
-    first, second = F.floor(F.col("n") * 0.6), F.floor(F.col("n") * 0.2)
-    return d.select("c_custkey", F.when(F.col("r") <= first, "train").when(F.col("r") <= first + second, "dev").otherwise("test").alias("split"))

@@ -64,7 +64,17 @@ def rough_spans(t) -> DataFrame:
 for _name, _key in zip(NAMES, ("email_spans", "ipv4_spans", "phone_us_spans", "card_spans_luhn"), strict=True):
     query(rule_sql(_name), _key)(lambda t, r=BY_NAME[_name]: spans.rule_spans(t("documents"), [r]))
 
-query(spans_sql(BY_NAME["generic_secret"].pattern, None, None, "SECRET", 1, "generic_secret"), "api_key_spans")(lambda t: spans.rule_spans(t("documents"), [BY_NAME["generic_secret"]]))
+_KEYS = "SELECT c_custkey AS doc_id, 'key: ' || CASE c_custkey % 3 WHEN 0 THEN 'sk_' || sha256(c_name) WHEN 1 THEN 'sk_' || substr(sha256(c_name), 1, 16) || ' and sk_short' ELSE 'none' END || ' end' AS text FROM customer"
+
+
+def with_keys(t) -> DataFrame:
+    """A table that holds keys: long, short and none."""
+    digest = F.sha2("c_name", 256)
+    key = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("sk_"), digest)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("sk_"), F.substring(digest, 1, 16), F.lit(" and sk_short"))).otherwise("none")
+    return t("customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("key: "), key, F.lit(" end")).alias("text"))
+
+
+query(spans_sql(BY_NAME["generic_secret"].pattern, None, None, "SECRET", 1, "generic_secret").replace("FROM documents)", f"FROM ({_KEYS}))"), "api_key_spans")(lambda t: spans.rule_spans(with_keys(t), [BY_NAME["generic_secret"]]))
 
 
 @query()
@@ -92,10 +102,15 @@ def normalise_labels(t):
     return true_spans(t).select("doc_id", "start", "label", n.alias("normalised"), labels.project(F.col("label"), labels.RATBENCH).alias("projected"), labels.identifier_class(n).alias("class"))
 
 
+def spanned(t) -> DataFrame:
+    """Documents with true and rough matches as arrays beside their texts."""
+    text = F.coalesce("text", F.lit(""))
+    return t("documents").select("doc_id", "text", "lang", spans.found(text, TRUE_RULES).alias("g"), spans.found(text, ROUGH_RULES).alias("p"))
+
+
 def mixed(t) -> DataFrame:
     """True and rough spans with sources and scores, for overlaps."""
-    a = true_spans(t).select("doc_id", "start", "end", "label", "value", F.lit("regex").alias("source"), F.lit(1.0).alias("score"))
-    return a.unionByName(rough_spans(t).select("doc_id", "start", "end", "label", "value", F.lit("ai").alias("source"), F.lit(0.9).alias("score")))
+    return spanned(t).select("doc_id", spans.ordered(F.concat(spans.as_spans(F.col("g"), "regex", 1.0), spans.as_spans(F.col("p"), "ai", 0.9))).alias("spans"))
 
 
 def _exploded(df: DataFrame) -> DataFrame:
@@ -122,8 +137,8 @@ for _strategy, _sql in {
     "priority_longest": f"CASE WHEN s.label = l.label THEN {_LONGER} WHEN s.source <> l.source THEN s.source = 'regex' ELSE {_LONGER} END",
     "priority_score": "CASE WHEN s.label = l.label THEN s.score > l.score WHEN s.source <> l.source THEN s.source = 'regex' ELSE s.score > l.score END",
 }.items():
-    query(_fold_sql(_sql), f"resolve_{_strategy}")(lambda t, s=_strategy: _exploded(spans.gather(mixed(t)).withColumn("spans", spans.resolve(F.col("spans"), s))))
-query(_fold_sql("false"), "sweep_dedupe")(lambda t: _exploded(spans.gather(mixed(t)).withColumn("spans", spans.sweep(F.col("spans")))))
+    query(_fold_sql(_sql), f"resolve_{_strategy}")(lambda t, s=_strategy: _exploded(mixed(t).withColumn("spans", spans.resolve(F.col("spans"), s))))
+query(_fold_sql("false"), "sweep_dedupe")(lambda t: _exploded(mixed(t).withColumn("spans", spans.sweep(F.col("spans")))))
 
 _NORM = _case(labels.NORMALISED, "label")
 _HMAC = "sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('dev-salt|default|' || norm || '|' || value))))".format(
@@ -141,9 +156,10 @@ def mask_values(t):
 
 
 def masked_documents(t) -> DataFrame:
-    found = spans.rule_spans(t("documents"), [BY_NAME["email_strict"], BY_NAME["phone_us"]]).withColumn("label", labels.normalise(F.col("label")))
-    resolved = spans.gather(found).withColumn("spans", spans.resolve(F.col("spans")))
-    return masking.mask_documents(t("documents").select("doc_id", "text", "lang"), resolved, {}, "generalize")
+    """Detected, normalised, ordered, resolved and masked in one projection."""
+    named = F.transform(spans.as_spans(spans.found(F.coalesce("text", F.lit("")), [BY_NAME["email_strict"], BY_NAME["phone_us"]])), lambda s: s.withField("label", labels.normalise(s["label"])))
+    docs = t("documents").select("doc_id", "text", "lang", named.alias("spans")).withColumn("spans", spans.resolve(spans.ordered(F.col("spans"))))
+    return masking.mask_documents(docs, {}, "generalize")
 
 
 _MASKED_SQL = r"""SELECT doc_id, text, lang, regexp_replace(regexp_replace(text, '(^|[^\w@])[a-zA-Z0-9._%+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}', '\1[EMAIL]', 'g'), '(^|[^0-9])\([0-9]{3}\)\s?[0-9]{3}[-\s.][0-9]{4}\b', '\1[PHONE]', 'g') AS masked FROM documents"""
@@ -156,8 +172,9 @@ def apply_masks(t):
 
 @query(f"""SELECT label, count(*) AS gold, count(*) FILTER (contains(lower(m.masked), lower(s.value))) AS leaked, round(1 - count(*) FILTER (contains(lower(m.masked), lower(s.value))) / count(*), 4) AS protection FROM ({TRUE_SQL}) s JOIN ({_MASKED_SQL}) m USING (doc_id) GROUP BY label""")
 def gold_leakage(t):
-    hit = F.contains(F.lower("masked"), F.lower("value")).cast("bigint")
-    return true_spans(t).join(masked_documents(t).select("doc_id", "masked"), "doc_id").groupBy("label").agg(F.count("*").alias("gold"), F.sum(hit).alias("leaked"), F.round(1 - F.sum(hit) / F.count("*"), 4).alias("protection"))
+    docs = masked_documents(t).select("doc_id", "masked", F.explode(spans.found(F.coalesce("text", F.lit("")), TRUE_RULES)).alias("s"))
+    hit = F.contains(F.lower("masked"), F.lower("s.value")).cast("bigint")
+    return docs.groupBy("s.label").agg(F.count("*").alias("gold"), F.sum(hit).alias("leaked"), F.round(1 - F.sum(hit) / F.count("*"), 4).alias("protection"))
 
 
 _FLAGS = f"""g AS (SELECT DISTINCT doc_id, "start" AS s, "end" AS e, label FROM ({TRUE_SQL})), p AS (SELECT DISTINCT doc_id, "start" AS s, "end" AS e, label FROM ({ROUGH_SQL})),
@@ -176,21 +193,36 @@ def _scores_sql(by: str) -> str:
     SELECT * EXCLUDE (pr, re, sp, sr), round(pr, 4)::DOUBLE AS precision, round(re, 4)::DOUBLE AS recall, round({f('pr', 're', 4)}, 4)::DOUBLE AS f2, round(sp, 4)::DOUBLE AS strict_precision, round(sr, 4)::DOUBLE AS strict_recall, round({f('sp', 'sr', 1)}, 4)::DOUBLE AS strict_f1 FROM r"""
 
 
+def flags(t) -> tuple[DataFrame, DataFrame]:
+    """Flags of true and rough spans, found where the texts are."""
+    docs = spanned(t)
+    g, p = metrics.flagged(F.col("g"), F.col("p"))
+    rows = lambda c: docs.select("doc_id", F.explode(c).alias("s")).select("doc_id", "s.*")
+    return rows(g), rows(p)
+
+
 for _key, _by in {"eval_spans_micro": [], "label_metrics": ["label"], "eval_spans_by_doc": ["doc_id"]}.items():
-    query(_scores_sql(", ".join(_by)), _key)(lambda t, by=_by: metrics.span_scores(*metrics.evaluate_spans(true_spans(t), rough_spans(t)), by))
+    query(_scores_sql(", ".join(_by)), _key)(lambda t, by=_by: metrics.span_scores(*flags(t), by))
 
 
 @query(f"""WITH s AS ({_scores_sql('doc_id')}) SELECT round(avg(precision), 4) AS macro_precision, round(avg(recall), 4) AS macro_recall, round(sum(precision_tp) / sum(pred_count), 4) AS micro_precision, round(sum(recall_tp) / sum(truth_count), 4) AS micro_recall, count(*) AS n_docs FROM s""")
 def macro_micro(t):
-    s = metrics.span_scores(*metrics.evaluate_spans(true_spans(t), rough_spans(t)), ["doc_id"])
+    s = metrics.span_scores(*flags(t), ["doc_id"])
     return s.agg(F.round(F.avg("precision"), 4).alias("macro_precision"), F.round(F.avg("recall"), 4).alias("macro_recall"), F.round(F.sum("precision_tp") / F.sum("pred_count"), 4).alias("micro_precision"), F.round(F.sum("recall_tp") / F.sum("truth_count"), 4).alias("micro_recall"), F.count("*").alias("n_docs"))
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE g AS (SELECT doc_id, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", label) AS k FROM (SELECT DISTINCT doc_id, "start", "end", label FROM ({TRUE_SQL}))),
+ p AS (SELECT doc_id, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", label) AS k FROM (SELECT DISTINCT doc_id, "start", "end", label FROM ({ROUGH_SQL}))),
+ m AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS used FROM (SELECT DISTINCT doc_id FROM g)
+   UNION ALL SELECT m.doc_id, g.k, CASE WHEN (SELECT min(p.k) FROM p WHERE p.doc_id = g.doc_id AND g.s < p.e AND p.s < g.e AND NOT list_contains(m.used, p.k)) IS NULL THEN m.used
+     ELSE list_append(m.used, (SELECT min(p.k) FROM p WHERE p.doc_id = g.doc_id AND g.s < p.e AND p.s < g.e AND NOT list_contains(m.used, p.k))) END FROM m JOIN g ON g.doc_id = m.doc_id AND g.k = m.k + 1),
+ last AS (SELECT doc_id, max(len(used)) AS tp, max(k) AS n FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(tp, 0)::INT AS tp, (coalesce(np, 0) - coalesce(tp, 0))::INT AS fp, (coalesce(n, 0) - coalesce(tp, 0))::INT AS fn FROM documents d LEFT JOIN last USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS np FROM p GROUP BY 1) USING (doc_id)"""
+
+
+@query(_GREEDY)
 def greedy_match(t):
-    g, p = spans.gather(true_spans(t)), spans.gather(rough_spans(t)).withColumnRenamed("spans", "found")
-    none = F.array().cast(p.schema["found"].dataType)  # a document without predictions has no matches
-    return g.join(p, "doc_id", "left").select("doc_id", metrics.greedy_match(F.col("spans"), F.coalesce("found", none)).alias("matched"))
+    return spanned(t).select("doc_id", metrics.greedy_match(F.col("g"), F.col("p")).alias("m")).select("doc_id", "m.*")
 
 
 @query(f"SELECT lang, count(*) AS n, round(avg(length(masked) / length(text)), 4) AS kept_length, count(*) FILTER (masked <> text) AS n_changed FROM ({_MASKED_SQL}) GROUP BY lang")
@@ -199,10 +231,16 @@ def length_change(t):
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.length("masked") / F.length("text")), 4).alias("kept_length"), F.count_if(F.col("masked") != F.col("text")).alias("n_changed"))
 
 
-@query()
+_W = "list_filter(string_split_regex({}, '[\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')"
+_BLEU = f"""WITH w AS (SELECT doc_id, text, masked, {_W.format('text')} AS r, {_W.format('masked')} AS h FROM ({_MASKED_SQL})),
+ grams AS (SELECT doc_id, 'r' AS side, unnest(list_concat(r, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]))) AS g FROM w UNION ALL SELECT doc_id, 'h', unnest(list_concat(h, list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1]))) FROM w),
+ hits AS (SELECT doc_id, sum(least(a, b)) AS k FROM (SELECT doc_id, g, count(*) FILTER (side = 'r') AS a, count(*) FILTER (side = 'h') AS b FROM grams GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR coalesce(masked, '') = '' THEN 0.0 WHEN text = masked THEN 1.0 WHEN len(h) = 0 THEN 0.0 ELSE round(CASE WHEN len(h) < len(r) THEN exp(1 - len(r) / len(h)) ELSE 1 END * k / (len(h) + len(h) - 1), 4) END AS bleu FROM w LEFT JOIN hits USING (doc_id)"""
+
+
+@query(_BLEU)
 def bleu_masked(t):
-    d = masked_documents(t)
-    return d.select("doc_id", metrics.bleu(F.col("text"), F.col("masked")).alias("bleu"))
+    return masked_documents(t).select("doc_id", metrics.bleu(F.col("text"), F.col("masked")).alias("bleu"))
 
 
 @query("SELECT doc_id, round(len(list_intersect(a, b)) / len(a), 4) AS retention FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(masked), '\\s+'), lambda x: x <> '')) AS b FROM (" + _MASKED_SQL + "))")

@@ -76,12 +76,15 @@ def rank_variants(results: DataFrame, metric: str = "primary_metric") -> DataFra
     return results.withColumn("delta_vs_first", F.round(F.col(metric) - first, 6)).withColumn("place", place)
 
 
-def markdown_table(rows: DataFrame, columns: list[str], order: list[str], right: tuple[str, ...] = ()) -> str:
-    """A small table as Markdown; numbers with a fraction have four places, missing ones are n/a."""
+def markdown_table(rows: DataFrame, columns: list[str], order: list[str], right: tuple[str, ...] = (), most: int = 10_000) -> str:
+    """A small table as Markdown, an error beyond most rows; numbers with a fraction have four places, missing ones are n/a."""
 
     def cell(x) -> str:
         return "n/a" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
 
+    found = rows.orderBy(*order).select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a table of more than {most} rows is to be written, not shown")
     lines = [f"| {' | '.join(columns)} |", f"| {' | '.join('---:' if c in right else '---' for c in columns)} |"]
-    lines += [f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows.orderBy(*order).select(*columns).collect()]
+    lines += [f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in found]
     return "\n".join(lines) + "\n"
