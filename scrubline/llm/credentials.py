@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, maxima, sums
+from scrubline.functions.arrays import let, maxima, sums
 
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 ROLES = {"identifier": ("access", "link_id"), "secret": ("assign", "hex", "link_secret"), "endpoint": ("link_endpoint",)}
