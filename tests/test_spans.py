@@ -40,7 +40,7 @@ def test_detect_is_python_re(spark):
     assert ("ssn_us", "000-45-6789") not in got
 
 
-@pytest.mark.parametrize(("name", "value", "ok"), [("nir", "1 84 12 76 451 089", True), ("ssn", "123-45-6789", True), ("ssn", "000-45-6789", False), ("luhn", "4111111111111111", True), ("luhn", "4111111111111112", False), ("iban", "FR14 2004 1010 0505 0001 3M02 606", True), ("iban", "FR14 2004 1010 0505 0001 3M02 607", False), ("phone", "12345", False), ("bic", "DEUTDEFF", True)])
+@pytest.mark.parametrize(("name", "value", "ok"), [("nir", "1 84 12 76 451 089", True), ("nir", "9999999999999", False), ("nir", "1841376451089", False), ("nir", "2 84 12 2A 451 089", True), ("nir", "1 84 12 76 451 089 46", True), ("nir", "1 84 12 76 451 089 47", False), ("ssn", "123-45-6789", True), ("ssn", "000-45-6789", False), ("luhn", "4111111111111111", True), ("luhn", "4111111111111112", False), ("iban", "FR14 2004 1010 0505 0001 3M02 606", True), ("iban", "FR14 2004 1010 0505 0001 3M02 607", False), ("phone", "12345", False), ("bic", "DEUTDEFF", True)])
 def test_validators(spark, name, value, ok):
     assert spark.createDataFrame([(value,)], "v string").select(validators.get_validator(name.upper())(F.col("v")).alias("ok")).first()["ok"] is ok
 
@@ -56,8 +56,8 @@ def test_masks_and_pseudonym(spark):
 
 def test_masked_text_holds_no_value(spark):
     docs = spark.createDataFrame([(1, "é bob@example.com and (555) 555-1234."), (2, None), (3, "")], "doc_id bigint, text string")
-    found = spans.gather(spans.rule_spans(docs, [BY_NAME["email_strict"], BY_NAME["phone_us"]]).withColumn("label", labels.normalise(F.col("label"))))
-    out = {r["doc_id"]: r for r in masking.mask_documents(docs, found, {"EMAIL": "redact"}, "generalize").collect()}
+    found = F.transform(spans.as_spans(spans.found(F.col("text"), [BY_NAME["email_strict"], BY_NAME["phone_us"]])), lambda s: s.withField("label", F.lower(labels.normalise(s["label"]))))
+    out = {r["doc_id"]: r for r in masking.mask_documents(docs.withColumn("spans", spans.ordered(found)), {"Email": "redact"}, "generalize").collect()}
     assert out[1]["masked"] == "é [EMAIL_REDACTED] and [PHONE]." and out[2]["masked"] is None and out[3]["n_masked"] == 0
 
 
@@ -86,7 +86,35 @@ def test_misses_and_unmasked_documents_have_rows(spark):
 
     texts = ["call (555) 555.1234", "mail bob@example.com", "nothing here", None, " \n"]
     docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string")
-    matched = {r["doc_id"]: r["matched"] for r in span_queries.greedy_match(lambda _: docs).collect()}
+    matched = {r["doc_id"]: (r["tp"], r["fp"], r["fn"]) for r in span_queries.greedy_match(lambda _: docs).collect()}
     bleu = {r["doc_id"]: r["bleu"] for r in span_queries.bleu_masked(lambda _: docs).collect()}
     assert set(bleu) == {0, 1, 2, 3, 4} and bleu[2] == bleu[4] == 1 and bleu[0] < 1 and bleu[3] == 0
-    assert matched == {0: 0, 1: 1}
+    assert matched == {0: (0, 0, 1), 1: (1, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
+
+
+def test_labels_and_sources_count_in_any_case(spark):
+    a = lambda s, e, label, source, score=1.0: {"start": s, "end": e, "label": label, "value": "x", "source": source, "score": score}
+    rows = [(1, [a(0, 9, "per", "AI"), a(0, 5, "PER", "Regex")]), (2, [a(0, 9, "", "AI"), a(0, 5, "", "Regex")]), (3, [a(0, 9, "loc", "ai"), a(2, 5, "PER", "REGEX")])]
+    df = spark.createDataFrame(rows, f"doc_id int, spans array<{spans.SPAN}>")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in df.select("doc_id", spans.resolve(spans.ordered(F.col("spans"))).alias("spans")).collect()}
+    assert got == {1: [(0, 9)], 2: [(0, 5)], 3: [(2, 5)]}
+    r = df.where("doc_id = 1").select(masking.replacement(F.lit("nom"), F.lit("Li"), F.lit("mask")), masking.policy_action(F.lit("email"), {"EMAIL": "mask"}), masking.mask_iban(F.lit("FR76")), masking.mask_iban(F.lit("FR7")), masking.mask_iban(F.lit("FR76 3000 6000 0112 3456 7890 189"))).first()
+    assert tuple(r) == ("[NOM]", "mask", "FR76 ", "[IBAN]", "FR76 **** **** **** **** **** ****")
+
+
+def test_merged_lists(spark):
+    a = lambda s, e, label, source: {"start": s, "end": e, "label": label, "value": "x", "source": source, "score": 1.0}
+    df = spark.createDataFrame([([a(0, 4, "ORG", "regex"), a(6, 8, "PER", "regex")], [a(0, 4, "org", "ai"), a(2, 9, "PER", "ai")], None)], f"x array<{spans.SPAN}>, y array<{spans.SPAN}>, z array<{spans.SPAN}>")
+    r = df.select(spans.merged(F.col("x"), F.col("y"), F.col("z")).alias("a"), spans.merged(F.col("x"), F.col("y"), strategy=None).alias("b")).first()
+    assert [(s["start"], s["end"], s["source"]) for s in r["a"]] == [(0, 4, "regex"), (6, 8, "regex")]
+    assert [(s["start"], s["end"]) for s in r["b"]] == [(0, 4), (2, 9), (6, 8)]
+
+
+def test_long_texts_are_located_in_linear_time(spark):
+    from scrubline.functions import arrays
+
+    text = "a@b.co x " * 5000
+    row = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select(spans.found(F.col("text"), [BY_NAME["email_strict"]]).alias("s")).first()
+    assert [(s["start"], s["end"]) for s in row["s"]] == [(9 * k, 9 * k + 6) for k in range(5000)]
+    r = spark.range(1).select(arrays.sums(F.sequence(F.lit(1), F.lit(200))), arrays.maxima(F.array(F.lit(3), F.lit(1), F.lit(4))), arrays.sums(F.array().cast("array<int>"))).first()
+    assert r[0] == [k * (k + 1) // 2 for k in range(1, 201)] and r[1] == [3, 3, 4] and r[2] == []
