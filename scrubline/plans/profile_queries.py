@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from scrubline.functions.similarity import jaro
+from scrubline.functions.similarity import jaro_winkler
 from scrubline.plans.corpus_queries import _TOKENS, ngrams, tokens
 from scrubline.plans.registry import query
 
@@ -34,18 +32,6 @@ def minhash_signature(t):
     return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", F.array_join(minhash(F.coalesce("text", F.lit(""))), ",").alias("signature"))
 
 
-@F.pandas_udf(DoubleType())
-def jaro_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def jaro_winkler(a, b, weight: float = 0.1, longest: int = 4):
-    """Jaro likeness raised by the common prefix, at any likeness."""
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(longest)), F.lit(0), lambda n, k: n + ((F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))).cast("int"))
-    j = jaro_udf(a, b)
-    return j + same * weight * (1 - j)
-
-
 _PREFIX = " + ".join(f"CASE WHEN length(a) >= {k} AND length(b) >= {k} AND a[:{k}] = b[:{k}] THEN 1 ELSE 0 END" for k in range(1, 5))
 
 
