@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from typing import NamedTuple
 
 
@@ -64,6 +66,49 @@ RULES = (
 FORBIDDEN = ("@", "sk_", "AKIA", "+33")
 BY_NAME = {r.name: r for r in RULES}
 
+# Names in news and sports texts, and the lines that they stand in.
+_TITLE = r"(?:[A-Z][A-Za-z]+(?:[-'][A-Za-z]+)*|[A-Z]{2,}(?:[.-][A-Z]{1,})*)"
+_CONNECTOR = r"(?:of|and|the|for|de|del|della|dello|des|du|da|van|von|la|le|los|las)"
+_NAME = rf"{_TITLE}(?:\s+(?:{_TITLE}|{_CONNECTOR})){{0,5}}"
+_FIXTURE = rf"(?m)({_NAME})(?:\s+\(\s*\d+\s*\))?\s+[vV]\s+({_NAME})(?:\s+\(\s*\d+\s*\))?(?=\s|$)"
+_SCORE = rf"(?m)^({_NAME})\s+\d+\s+({_NAME})\s+\d+(?:\s*\.)?\s*$"
+_ALIAS = rf"({_NAME})\s+\(\s*([A-Z](?:[A-Z.]{{1,}}))\s*\)"
+NEWS_RULES = (
+    Rule("fixture_left", "ORG", 5, _FIXTURE, None, 1),
+    Rule("fixture_right", "ORG", 5, _FIXTURE, None, 2),
+    Rule("standings_row", "ORG", 5, rf"(?m)^({_NAME})\s+\d+(?:\s+\d+){{3,}}\s*$", None, 1),
+    Rule("score_first", "ORG", 5, _SCORE, None, 1),
+    Rule("score_second", "ORG", 5, _SCORE, None, 2),
+    Rule("organisation_context", "ORG", 5, rf"({_NAME}\s+(?:news agency|newspaper|Party|Council|Union|Administration))", None, 1),
+    Rule("alias_long", "ORG", 5, _ALIAS, None, 1),
+    Rule("alias_short", "ORG", 5, _ALIAS, None, 2),
+    Rule("bare_agency", "ORG", 5, r"\b(?:told|quoted|according to)\s+(Reuters|Interfax|Itar-Tass|TASR)\b", None, 1),
+)
+
+
+def user_rules(spec: dict) -> tuple[Rule, ...]:
+    """Rules of a mapping as users keep it in a file: name -> regex, entity_type, priority, validate_with, group_index and
+    enabled; by priority. A pattern that doesn't compile, or is missing, is left out."""
+    out = []
+    for name, r in spec.items():
+        try:
+            re.compile(r["regex"])
+        except (KeyError, TypeError, re.error):
+            continue
+        out.append(Rule(name, r.get("entity_type") or name.upper(), int(r.get("priority", 999)), r["regex"], r.get("validate_with"), int(r.get("group_index") or 0), bool(r.get("enabled", True))))
+    return tuple(sorted(out, key=lambda r: r.priority))
+
+
+def read_rules(path: str) -> tuple[Rule, ...]:
+    """User rules from a JSON or YAML file with a key patterns."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return user_rules(json.loads(text).get("patterns", {}))
+    import yaml
+
+    return user_rules((yaml.safe_load(text) or {}).get("patterns", {}))
+
 
 def java(pattern: str) -> str:
     """The same pattern for the JVM, with Unicode classes and case folding."""

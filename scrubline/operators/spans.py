@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,7 @@ from scrubline.functions.arrays import let, sums
 from scrubline.functions.patterns import FORBIDDEN, RULES, Rule, java
 
 SPAN = "struct<start:int,end:int,label:string,value:string,source:string,score:double>"
+SPAN_ARRAY = f"array<{SPAN}>"
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -99,6 +101,19 @@ def _grouped(docs: DataFrame, rules: Sequence[Rule], whitelist: Sequence[str]) -
     return rows.where(ok).drop("validator")
 
 
+def grouped_spans(rules: Sequence[Rule], source: str = "regex", score: float = 1.0) -> Callable[[Column], Column]:
+    """array<SPAN> of rules that report a group, on a column of texts: no rows are made, so nothing is joined back.
+    Values are trimmed and have two characters at least."""
+
+    @F.pandas_udf(SPAN_ARRAY)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = [(r, re.compile(r.pattern)) for r in rules]
+        for texts in batches:
+            yield pd.Series([[{"start": m.start(r.group), "end": m.end(r.group), "label": r.label, "value": v, "source": source, "score": score} for r, p in compiled for m in p.finditer(t or "") if len(v := (m[r.group] or "").strip()) > 1 and v not in FORBIDDEN] for t in texts])
+
+    return run
+
+
 def gather(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a document with ``spans``, an array ordered by start, longer first, then higher score and label."""
     full = spans.select(key, F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "label", "value", (F.col("source") if "source" in spans.columns else F.lit("regex")).alias("source"), (F.col("score").cast("double") if "score" in spans.columns else F.lit(1.0)).alias("score")).cast(SPAN).alias("s"))
