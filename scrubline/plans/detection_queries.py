@@ -31,7 +31,7 @@ def merge_lists(t):
     return d.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.label", "s.source")
 
 
-_NEWS_TEXT = "Alpha Team v Beta Club of Rome\nGamma United 10 2 3 4\nDelta City 2 Epsilon 3 .\nthe Green Party met. World Bank ( WB ) told Reuters so"
+_NEWS_TEXT = "Alpha Team v Beta Club of Rome ( 1 )\nGamma United 10 2 3 4\nDelta City 2 Epsilon 3 .\nthe Green Party met. World Bank ( WB ) told Reuters so"
 _NEWS = {v: _NEWS_TEXT.index(v) for v in ("Alpha Team", "Beta Club of Rome", "Gamma United", "Delta City", "Epsilon", "Green Party", "World Bank", "WB", "Reuters")}
 
 

@@ -26,4 +26,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable
     return add
 
 
-from scrubline.plans import corpus_queries, detection_queries, generator_queries, matching_queries, ordered_queries, profile_queries, reid_queries, risk_queries, span_queries, text_queries  # noqa: E402, F401
+from scrubline.plans import corpus_queries, detection_queries, diversity_queries, generator_queries, matching_queries, ordered_queries, profile_queries, reid_queries, risk_queries, span_queries, text_queries  # noqa: E402, F401
