@@ -182,7 +182,8 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarra
         for batch in batches:
             for i, j, page, row, bucket in views(batch):
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array(list(page)), lists(bucket.astype(np.int32), ends, pa.int32())], names=["doc_id", "label", "page", "words"])
+                small = np.hstack([page[:, :DENSE], np.stack([page[:, DENSE : DENSE + PLACES].argmax(1), page[:, DENSE + PLACES :].argmax(1)], 1)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), lists(small.ravel(), np.arange(j - i + 1) * (DENSE + 2), pa.float64()), lists(bucket.astype(np.int32), ends, pa.int32())], names=["doc_id", "label", "page", "words"])
 
     rest = ("text", "lang", "source")
     one = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row")).select("doc_id", "label", "row.*")
@@ -190,8 +191,13 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarra
     if not got.num_rows:
         return np.zeros((0, DENSE + 2 * PLACES)), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     got = got.sort_by("doc_id").combine_chunks()
-    page = np.array(got["page"].to_pylist(), np.float64)
-    words = [np.array(w, np.int64) for w in got["words"].to_pylist()]
+    small = got["page"].combine_chunks().flatten().to_numpy().reshape(-1, DENSE + 2)
+    page = np.zeros((len(small), DENSE + 2 * PLACES))
+    page[:, :DENSE] = small[:, :DENSE]
+    for k in (0, 1):
+        page[np.arange(len(small)), DENSE + k * PLACES + small[:, DENSE + k].astype(np.int64)] = 1
+    own = got["words"].combine_chunks()
+    words = np.split(own.flatten().to_numpy().astype(np.int64), np.cumsum(np.asarray(own.value_lengths()))[:-1])
     return page, words, got["label"].to_numpy().astype(np.int64), np.unique(got["doc_id"].to_numpy())
 
 
