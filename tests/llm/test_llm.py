@@ -466,3 +466,60 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Nulls, blanks, a long text, repeated rows and clashing names go through every stage; empty tables stay empty."""
+    import corpus_pipeline
+
+    odd = docs.drop("anchor").select("*", *[F.lit(k).alias(c) for k, c in enumerate(("base", "_size", "row", "copies", "label", "key", "n", "rep", "tie"))])
+    before = sorted(str(tuple(r)) for r in odd.drop("n_chars").collect())  # the secret scan counts characters anew
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+        rows = sorted(str(tuple(r)) for r in out.drop("n_chars").collect())
+        assert set(rows) <= set(before) and rows, name  # no secrets in these texts, so no stage changes a row
+        assert stage(spark, odd.limit(0), DATA).count() == 0, name
+    assert corpus_pipeline.pack(spark, odd, DATA).count() >= len(before) and corpus_pipeline.pack(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_one_id_keeps_its_different_texts(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (2, three, "en", "s", 1), (1, one, "fr", "t", 2), (3, two, "en", "s", 1), (None, one, "en", "s", 1), (4, "", "en", "s", 0), (5, None, "en", "s", None)]
+    for parts in (1, 3):
+        left = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, KIND).repartition(parts), DATA).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"]) == sorted([(1, one), (1, two), (2, three), (4, ""), (5, None)], key=str)
+        assert [r["text"] for r in left if r["doc_id"] is None] == [one]
+        kept = [r["lang"] for r in left if r["text"] == one and r["doc_id"] == 1]
+        assert parts == 1 or kept == first
+        first = kept
+
+
+def test_quality_of_odd_rows(spark, docs):
+    """With a fitted model: nulls, repeated rows and other columns; equal rows have equal scores."""
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(150)] + [(None, 1, 0), (3, None, 0), (4, 1, None), (150, 0, 1)], "doc_id bigint, quality int, toxic int")
+    rows = quality.classify(docs.withColumn("score", F.lit("x")).withColumn("keep", F.lit(1)), labels, rounds=1).collect()
+    assert len(rows) == len(odd_rows()) and all(0 <= r["score"] <= 1 and r["keep"] == (r["score"] >= 0.5) for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 150}) <= 2
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_packing_takes_the_cheapest_sequence():
+    """Against a search over all open sequences."""
+    rnd = random.Random(4)
+    lengths = [rnd.randrange(1, 60) for _ in range(80)]
+    pieces, n = packing.assign(lengths, 64)
+    total = sum(lengths)
+    rooms = [64] * (total // 64) + [1 << b for b in reversed(range(7)) if (total % 64) >> b & 1]
+    assert n == len(rooms) and sum(p[2] for p in pieces) == total
+    cost = [0.0] * n
+    for d, start, take, k, offset in pieces:
+        left = lengths[d] - start
+        fits = [j for j in range(n) if rooms[j] >= left] or [j for j in range(n) if rooms[j] > 0]
+        assert (cost[k], k) == min((cost[j], j) for j in fits) and take == min(left, rooms[k])
+        cost[k] += take + take * take / 1024
+        rooms[k] -= take
+    order = [lengths[p[0]] for p in pieces if p[1] == 0]
+    assert order == sorted(order, reverse=True)
