@@ -23,7 +23,13 @@ Ranges = list[tuple[int, int]]
 
 def places(text: str, value: str, any_case: bool = False) -> Ranges:
     """All places of a value, overlapping ones too."""
-    return [(m.start(), m.start() + len(value)) for m in re.finditer(f"(?={re.escape(value)})", text, re.IGNORECASE if any_case else 0)] if value else []
+    if any_case:
+        text, value = text.lower(), value.lower()
+    out, at = [], text.find(value) if value else -1
+    while at >= 0:
+        out.append((at, at + len(value)))
+        at = text.find(value, at + 1)
+    return out
 
 
 def name_places(text: str, name: str, gap: int = 80) -> Ranges:
@@ -31,6 +37,9 @@ def name_places(text: str, name: str, gap: int = 80) -> Ranges:
     parts = name.split()
     if len(parts) < 2:
         return places(text, name, True)
+    low = text.lower()
+    if parts[0].lower() not in low or parts[-1].lower() not in low:
+        return []
     first, last = (rf"(?<!\w){re.escape(p)}(?!\w)" for p in (parts[0], parts[-1]))
     return [m.span() for m in re.finditer(rf"{first}.{{0,{gap}}}?{last}", text, re.IGNORECASE)]
 
@@ -38,20 +47,26 @@ def name_places(text: str, name: str, gap: int = 80) -> Ranges:
 def number_places(text: str, value: str, least: int = 6) -> Ranges:
     """The digits of a value with one space or dash, or none, between them."""
     digits = re.sub(r"\D", "", value)
-    return [m.span() for m in re.finditer(r"[\s\-]?".join(digits), text)] if len(digits) >= least else []
+    if len(digits) < least or digits not in re.sub(r"[\s\-]", "", text):
+        return []
+    return [m.span() for m in re.finditer(r"[\s\-]?".join(digits), text)]
+
+
+_NAMES = "|".join(MONTHS)
+_VALUE = re.compile(rf"(?P<d>\d{{1,2}})\s+(?P<m>{_NAMES})\s+(?P<y>\d{{4}})|(?P<m2>{_NAMES})\s+(?P<d2>\d{{1,2}}),?\s+(?P<y2>\d{{4}})", re.IGNORECASE)
+_FORMS = [re.compile(f, re.IGNORECASE) for f in (rf"(?<!\w)(?P<m>{_NAMES})\s+(?P<d>\d{{1,2}})\s*,?\s*(?P<y>\d{{4}})(?!\w)", rf"(?<!\w)(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?P<m>{_NAMES})\s+(?P<y>\d{{4}})(?!\w)")]
+_FIGURES = re.compile(r"(?<!\d)(\d{2})/(\d{2})/(\d{4})(?!\d)")
 
 
 def date_places(text: str, value: str) -> Ranges:
     """A date of day, month name and year, in its two orders, with an ordinal, and in figures."""
-    names = "|".join(MONTHS)
-    m = re.match(rf"(?P<d>\d{{1,2}})\s+(?P<m>{names})\s+(?P<y>\d{{4}})|(?P<m2>{names})\s+(?P<d2>\d{{1,2}}),?\s+(?P<y2>\d{{4}})", value.strip(), re.IGNORECASE)
+    m = _VALUE.match(value.strip())
     if not m:
         return []
-    day, month, year = int(m["d"] or m["d2"]), m["m"] or m["m2"], m["y"] or m["y2"]
-    number = MONTHS.index(month.lower()) + 1
-    forms = [rf"(?<!\w){month}\s+{day}\s*,?\s*{year}(?!\w)", rf"(?<!\w){day}\s+{month}\s+{year}(?!\w)", rf"(?<!\w){day}(?:st|nd|rd|th)\s+{month}\s+{year}(?!\w)"]
-    forms += [rf"(?<!\d){number:02d}/{day:02d}/{year}(?!\d)", rf"(?<!\d){day:02d}/{number:02d}/{year}(?!\d)"]
-    return [found.span() for form in forms for found in re.finditer(form, text, re.IGNORECASE)]
+    day, month, year = str(int(m["d"] or m["d2"])), (m["m"] or m["m2"]).lower(), m["y"] or m["y2"]
+    out = [x.span() for form in _FORMS for x in form.finditer(text) if (x["d"], x["m"].lower(), x["y"]) == (day, month, year)]
+    two = {f"{MONTHS.index(month) + 1:02d}", f"{int(day):02d}"}
+    return out + [x.span() for x in _FIGURES.finditer(text) if {x[1], x[2]} == two and x[3] == year]
 
 
 def plural_places(text: str, value: str) -> Ranges:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Characters a token, tokens of templates, least budget, and the window where none is known.
@@ -36,6 +38,48 @@ def prompt_budget(window: int | None, output_tokens: int = 4096, reasoning: floa
     return int(max(tokens, LEAST_TOKENS) * CHARS_PER_TOKEN)
 
 
+_FENCE = re.compile(r"```(?:json)?\s*([\s\S]+?)(?:```|$)")
+
+
+def repaired_json(text: str) -> str:
+    """A cut-off answer with its open string, brackets and braces closed, and a last comma gone."""
+    open_, inside, escaped = [], False, False
+    for c in text.strip():
+        if inside:
+            escaped, inside = (c == "\\" and not escaped), (c != '"' or escaped)
+        elif c == '"':
+            inside = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]" and open_ and open_[-1] == c:
+            open_.pop()
+    return re.sub(r",\s*$", "", text.strip() + ('"' if inside else "")) + "".join(reversed(open_))
+
+
+def extract_json(text: str | None) -> Any:
+    """The JSON value of an answer: the whole, what stands in a code fence, or what begins with the first brace or bracket;
+    each as it is or repaired. None where there is none."""
+    if not text:
+        return None
+    whole = text.strip()
+    starts = [i for i in (whole.find("{"), whole.find("[")) if i >= 0]
+    for part in (whole, *(m[1].strip() for m in [_FENCE.search(whole)] if m), *([whole[min(starts) :]] if starts else [])):
+        for candidate in (part, repaired_json(part)):
+            try:
+                value = json.loads(candidate)
+            except json.JSONDecodeError:
+                continue
+            if value is not None:
+                return value
+    return None
+
+
+@F.pandas_udf(StringType())
+def json_of(answers: pd.Series) -> pd.Series:
+    """What extract_json finds, as JSON with ordered keys."""
+    return pd.Series([None if (v := extract_json(a)) is None else json.dumps(v, ensure_ascii=False, sort_keys=True) for a in answers], dtype="object")
+
+
 def ask_json(provider: Provider, prompt: str, check: Callable[[Any], Any], repairs: int = 2) -> tuple[Any, int, str | None]:
     """(checked value, attempts, error). An answer that isn't JSON or fails the check is asked again with the error."""
     asked, error = prompt, None
@@ -44,7 +88,10 @@ def ask_json(provider: Provider, prompt: str, check: Callable[[Any], Any], repai
         if answer is None:
             return None, attempt, "no answer"
         try:
-            return check(json.loads(answer)), attempt, None
+            value = extract_json(answer)
+            if value is None:
+                raise ValueError("no JSON in it")
+            return check(value), attempt, None
         except (ValueError, KeyError, TypeError) as e:
             error = f"{type(e).__name__}: {e}"
             asked = f"{prompt}\n\nThe last answer was not valid ({error}). Answer with valid JSON only."
