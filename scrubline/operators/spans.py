@@ -59,9 +59,15 @@ def as_spans(matched: Column, source: str = "regex", score: float = 1.0) -> Colu
     return F.transform(matched, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), m["value"].alias("value"), F.lit(source).alias("source"), F.lit(score).alias("score"))).cast(f"array<{SPAN}>")
 
 
+def rows(docs: DataFrame, spans: Column, *keys: str) -> DataFrame:
+    """keys and the fields of each span. An outer explode is not preceded by a filter on the spans, which would find them
+    again."""
+    return docs.select(*keys, F.explode_outer(spans).alias("s")).where("s is not null").select(*keys, "s.*")
+
+
 def rule_spans(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows (doc_id, start, end, label, value, rule, priority) by JVM expressions; for rules that report whole matches."""
-    return docs.select("doc_id", F.explode(found(F.col("text"), rules)).alias("s")).select("doc_id", "s.*")
+    return rows(docs, found(F.col("text"), rules), "doc_id")
 
 
 def detect(docs: DataFrame, rules: Sequence[Rule] = RULES, whitelist: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +76,7 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = RULES, whitelist: Sequence[s
     active = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
     whole, grouped = [r for r in active if not r.group], [r for r in active if r.group]
     text = F.coalesce("text", F.lit(""))
-    parts = [docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(found(text, whole, whitelist)).alias("s")).select("doc_id", "s.*")] if whole else []
+    parts = [rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")), found(F.col("text"), whole, whitelist), "doc_id")] if whole else []
     if grouped:
         parts.append(_grouped(docs, grouped, whitelist))
     return functools.reduce(DataFrame.unionByName, parts)

@@ -114,7 +114,7 @@ def mixed(t) -> DataFrame:
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.label", "s.value", "s.source")
+    return spans.rows(df, F.col("spans"), "doc_id").select("doc_id", "start", "end", "label", "value", "source")
 
 
 _MIXED_SQL = f"""SELECT doc_id, "start", "end", label, value, 'regex' AS source, 1.0 AS score FROM ({TRUE_SQL}) UNION ALL SELECT doc_id, "start", "end", label, value, 'ai', 0.9 FROM ({ROUGH_SQL})"""
@@ -197,8 +197,7 @@ def flags(t) -> tuple[DataFrame, DataFrame]:
     """Flags of true and rough spans, found where the texts are."""
     docs = spanned(t)
     g, p = metrics.flagged(F.col("g"), F.col("p"))
-    rows = lambda c: docs.select("doc_id", F.explode(c).alias("s")).select("doc_id", "s.*")
-    return rows(g), rows(p)
+    return spans.rows(docs, g, "doc_id"), spans.rows(docs, p, "doc_id")
 
 
 for _key, _by in {"eval_spans_micro": [], "label_metrics": ["label"], "eval_spans_by_doc": ["doc_id"]}.items():
