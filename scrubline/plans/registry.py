@@ -38,6 +38,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable
         return f
 
     return add
-
-
-from scrubline.plans import corpus_queries, detection_queries, diversity_queries, generator_queries, matching_queries, ordered_queries, profile_queries, reid_queries, report_queries, risk_queries, span_queries, text_queries  # noqa: E402, F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions import patterns
 from scrubline.operators import anonymise, detection, diversity, providers, reports, settings
-from scrubline.plans import registry
+from scrubline.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,10 +35,10 @@ def plain(x):
         return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
-    got = registry.QUERIES[name](spark, DATA)
-    found = duck.execute(registry.ORACLE_SQL[name])
+    got = catalogue.QUERIES[name](spark, DATA)
+    found = duck.execute(catalogue.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(got.columns)
     want = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
