@@ -3,10 +3,11 @@ are made in parallel, in any order, and come out the same each time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scrubline.functions.draws import choose, draw
 from scrubline.plans.registry import query
 
 # Shares of difficulties, sizes of candidate pools, levels of what an attacker knows.
@@ -15,28 +16,11 @@ POOLS = {"easy": 30, "medium": 15, "hard": 8}
 LEVELS = ("low", "medium", "high")
 
 
-def draw(seed: int, purpose: str, *index: Column) -> Column:
-    """Uniform in [0, 1): 32 bits of a digest of seed, purpose and index."""
-    name = F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *[i.cast("string") for i in index])
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
 def draw_sql(seed: int, purpose: str, *index: str) -> str:
     name = " || ':' || ".join([f"'{seed}:{purpose}'", *index])
     return f"(('0x' || substr(md5({name}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def choose(at: Column, shares: dict[str, float]) -> Column:
-    """The value whose share of the total the draw falls in."""
-    total, upto, out = sum(shares.values()), 0.0, None
-    for value, share in list(shares.items())[:-1]:
-        upto += share
-        test = at < upto / total
-        out = F.when(test, value) if out is None else out.when(test, value)
-    last = F.lit(list(shares)[-1])
-    return last if out is None else out.otherwise(last)
-
-
 def choose_sql(at: str, shares: dict[str, float]) -> str:
     total, upto, out = sum(shares.values()), 0.0, ""
     for value, share in list(shares.items())[:-1]:
@@ -80,6 +64,21 @@ def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, lim
     return every.select(F.concat_ws("_", F.col("doc_id").cast("string"), "level").alias("pair_id"), F.col("person_id").alias("target"), F.posexplode(chosen).alias("place", "candidate"))
 
 
+def split_of_group(people: DataFrame, group: str, in_range: int = 1 << 20) -> DataFrame:
+    """person_id and split: of each group the first 60 % by person_id train, up to 80 % dev, the rest test.
+
+    People are counted within ranges of their (integer) ids and the counts of a group's ranges added up, so that no task
+    orders a whole group."""
+    rows = people.select("person_id", group, F.floor(F.col("person_id") / in_range).alias("_range"))
+    counts = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(group)
+    before = counts.select(group, "_range", (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    own = F.row_number().over(W.partitionBy(group, "_range").orderBy("person_id"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (group, "_range")]
+    placed = rows.withColumn("_own", own).alias("a").join(before.alias("b"), same).withColumn("_r", F.col("_before") + F.col("_own"))
+    return placed.select("person_id", F.when(F.col("_r") <= F.floor(F.col("_all") * 0.6), "train").when(F.col("_r") <= F.floor(F.col("_all") * 0.8), "dev").otherwise("test").alias("split"))
+
+
 KINDS = ("office", "clinic", "school")
 _KIND = f"list_element(['{KINDS[0]}', '{KINDS[1]}', '{KINDS[2]}'], (floor({draw_sql(13, 'kind', 'id')} * 3) + 1)::INT)"
 
@@ -104,8 +103,7 @@ def difficulty_schedule(t):
 
 @query("SELECT person_id, CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.8) THEN 'dev' ELSE 'test' END AS split FROM (SELECT c_custkey AS person_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)")
 def author_split_by_group(t):
-    r, n = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")), F.count("*").over(W.partitionBy("c_nationkey"))
-    return t("customer").select(F.col("c_custkey").alias("person_id"), r.alias("r"), n.alias("n")).select("person_id", F.when(F.col("r") <= F.floor(F.col("n") * 0.6), "train").when(F.col("r") <= F.floor(F.col("n") * 0.8), "dev").otherwise("test").alias("split"))
+    return split_of_group(t("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey"), "c_nationkey")
 
 
 _POINT = draw_sql(53, "ring", "c_custkey")
