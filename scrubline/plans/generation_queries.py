@@ -36,7 +36,7 @@ def _mode_sql(label: str, cued: str) -> str:
 
 _PRIVATE = f"x || ':' || CASE WHEN x IN {tuple(G.IMPLICIT_CAPABLE)} AND list_contains(cues, x) AND {draw_sql(41, 'sensitive_mode', 'i', 'x')} < 0.7::DOUBLE THEN 'implicit' ELSE 'explicit_easy' END"
 _SCENARIOS = f"""
-WITH a AS (SELECT c_custkey - 1 AS place, c_custkey AS person_id, c_mktsegment AS s, c_nationkey % 2 = 0 AS degree, c_nationkey % 3 = 0 AS cert, c_nationkey % 5 = 0 AS rare, CASE WHEN c_nationkey % 2 = 1 THEN ['FAMILY_STATUS', 'HEALTH'] ELSE [] END AS sensitive, ['AGE_RANGE', 'FAMILY_STATUS'] AS cues, count(*) OVER () AS n FROM customer),
+WITH a AS (SELECT c_custkey AS place, c_custkey AS person_id, c_mktsegment AS s, c_nationkey % 2 = 0 AS degree, c_nationkey % 3 = 0 AS cert, c_nationkey % 5 = 0 AS rare, CASE WHEN c_nationkey % 2 = 1 THEN ['FAMILY_STATUS', 'HEALTH'] ELSE [] END AS sensitive, ['AGE_RANGE', 'FAMILY_STATUS'] AS cues, count(*) OVER () AS n FROM customer),
 r AS (SELECT i, a.*, CASE WHEN i % 2 = 0 THEN '{G.SUPPORT}' ELSE '{G.EMAIL}' END AS domain, {choose_sql(_d('difficulty'), G.DIFFICULTY)} AS difficulty,
   CASE WHEN place < floor(n * 0.6::DOUBLE) THEN 'train' WHEN place < floor(n * 0.8::DOUBLE) THEN 'dev' ELSE 'test' END AS part,
   CASE s WHEN 'BUILDING' THEN 'familier' WHEN 'MACHINERY' THEN 'soutenu' ELSE 'courant' END AS own, CASE WHEN s IN ('BUILDING', 'MACHINERY') THEN 'tu' ELSE '' END AS form
@@ -58,7 +58,7 @@ def generate_scenarios(t):
     nation, segment, none = F.col("c_nationkey"), F.col("c_mktsegment"), F.array().cast("array<string>")
     labels = lambda *xs: F.array(*[F.lit(x) for x in xs])
     authors = t("customer").select(
-        (F.col("c_custkey") - 1).alias("place"), F.col("c_custkey").alias("person_id"), F.when(segment == "BUILDING", "familier").when(segment == "MACHINERY", "soutenu").otherwise("courant").alias("register"), F.when(segment.isin("BUILDING", "MACHINERY"), "tu").otherwise("").alias("address_form"),
+        F.col("c_custkey").alias("place"), F.col("c_custkey").alias("person_id"), F.when(segment == "BUILDING", "familier").when(segment == "MACHINERY", "soutenu").otherwise("courant").alias("register"), F.when(segment.isin("BUILDING", "MACHINERY"), "tu").otherwise("").alias("address_form"),
         (nation % 2 == 0).alias("degree"), (nation % 3 == 0).alias("certificate"), (nation % 5 == 0).alias("rare"), F.when(nation % 2 == 1, labels("FAMILY_STATUS", "HEALTH")).otherwise(none).alias("sensitive"), labels("AGE_RANGE", "FAMILY_STATUS").alias("cues"),
     )
     rows = G.scenarios(authors, N)

@@ -43,18 +43,30 @@ def people(worlds: DataFrame, per_world: int, marginals: dict[str, dict[str, flo
     return rows.select(F.concat_ws("_", "world_id", F.format_string("p%03d", F.col("k") + 1)).alias("person_id"), "world_id", *[c.alias(n) for n, c in own.items()])
 
 
-def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, limits: dict[str, int] = POOLS) -> DataFrame:
+def neighbours(people: DataFrame, group: str, seed: int, most: int, in_arc: int = 100_000) -> DataFrame:
+    """person_id with the people before and following it on its group's ring, most at each side.
+
+    A ring is cut into arcs of in_arc people or so, each with copies of those next to it, so that no task orders a whole
+    group. Points are hashes: an arc with fewer than most people is out of the question while in_arc is many times most."""
+    counts = people.groupBy(group).agg(F.count("*").alias("_n"))
+    ring = people.select("person_id", group).withColumn("point", draw(seed, "ring", F.col("person_id"))).alias("a").join(counts.alias("b"), F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")))
+    arcs = F.greatest(F.floor(F.col("_n") / in_arc), F.lit(1))
+    own = W.partitionBy("g", "_arc")
+    ring = ring.select("person_id", F.col(f"a.{group}").alias("g"), "point", arcs.alias("_arcs"), F.floor(F.col("point") * arcs).alias("_arc"))
+    ring = ring.select("*", F.row_number().over(own.orderBy("point", "person_id")).alias("_r"), F.count("*").over(own).alias("_in"))
+    copies = F.array_compact(F.array(F.col("_arc"), F.when((F.col("_r") <= most) & (F.col("_arc") > 0), F.col("_arc") - 1), F.when((F.col("_r") > F.col("_in") - most) & (F.col("_arc") < F.col("_arcs") - 1), F.col("_arc") + 1)))
+    w = W.partitionBy("g", "_to").orderBy("point", "person_id")
+    after, before = F.collect_list("person_id").over(w.rowsBetween(1, most)), F.collect_list("person_id").over(w.rowsBetween(-most, -1))
+    return ring.withColumn("_to", F.explode(copies)).select("person_id", "_arc", "_to", after.alias("following"), before.alias("before")).where("_arc = _to").drop("_arc", "_to")
+
+
+def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, limits: dict[str, int] = POOLS, in_arc: int = 100_000) -> DataFrame:
     """candidate pools: pair_id, target, place (0: the target) and candidate.
 
     A target's pool is drawn from the people of its own group in the order of a hash ring: those that follow the target's
     point on the ring. So a pool needs the pool's size of people, never all pairs of a group. targets: doc_id, person_id,
     difficulty."""
-    ring = people.select("person_id", group).withColumn("point", draw(seed, "ring", F.col("person_id")))
-    most = max(limits.values())
-    w = W.partitionBy(group).orderBy("point", "person_id")
-    near = F.collect_list("person_id").over(w.rowsBetween(1, most - 1))
-    begin = F.collect_list("person_id").over(w.rowsBetween(-(most - 1), -1))
-    after = ring.select("person_id", near.alias("following"), begin.alias("before"))
+    after = neighbours(people, group, seed, max(limits.values()) - 1, in_arc)
     size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("difficulty")), F.lit(limits["medium"]))
     levels = F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level")
     every = targets.join(after, "person_id").select("doc_id", "person_id", "difficulty", size.alias("size"), "following", "before", levels)

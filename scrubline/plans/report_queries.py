@@ -166,3 +166,13 @@ def rendered_spans(t):
     pred = F.array(F.struct(F.lit(4), n + 2, F.lit("X")), F.struct(n + 13, n + 16, F.lit("ORG"))).cast(kind)
     text = F.concat(F.lit("ab "), F.col("s_name"), F.lit(" here and now."))
     return t("supplier").select("s_suppkey", reports.rendered(text, reports.span_categories(gold, pred)).alias("html"))
+
+
+_KEYS = {"documents": ("doc_id",), "labels": ("doc_id",), "lineitem": ("l_orderkey",), "nation": ("n_regionkey",), "region": ()}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, " + (f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {n}))" if k else "0::BIGINT") + f" AS duplicates FROM {n}" for n, k in _KEYS.items()))
+def table_coverage(t):
+    from scrubline.operators.experiments import coverage
+
+    return coverage({n: (t(n), k) for n, k in _KEYS.items()})

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scrubline.operators import generation as G
-from scrubline.plans.generator_queries import split_of_group
+from scrubline.plans.generator_queries import neighbours, split_of_group
 
 PART = "array<struct<text: string, label: string, canonical_value: string>>"
 PLAN = "array<struct<label: string, mode: string>>"
@@ -67,3 +67,9 @@ def test_split_of_group_over_many_ranges(spark):
         mine = [k for k, x in rows if x == g]
         n = len(mine)
         assert [got[k] for k in mine] == ["train"] * int(n * 0.6) + ["dev"] * (int(n * 0.8) - int(n * 0.6)) + ["test"] * (n - int(n * 0.8))
+
+
+def test_rings_in_arcs_equal_whole_rings(spark):
+    people = spark.createDataFrame([(k, k % 2 if k % 11 else None) for k in range(3000)], "person_id long, g int")
+    rows = lambda arc: sorted((r["person_id"], tuple(r["following"]), tuple(r["before"])) for r in neighbours(people, "g", 53, 9, arc).collect())
+    assert rows(100) == rows(10**6) and len(rows(100)) == 3000
