@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, digest, jaccard, media, mixing, oracles, packing, quality, sharding, substring, tokencount
-from .tables import table
+from . import credentials, digest, jaccard, media, mixing, oracles, packing, quality, sharding, substring, tokencount, tokenfile
+from .tables import shared_folder, table
 
-BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_BPE, PIECE_BPE, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenfile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    tokenfile.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), folder, end=2)
+    ids = tokenfile.read_ids(spark, folder)
+    return ids.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing_query,
     "op2_substring_dedup": substring_query,
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": secrets_query,
     "op9_mixing": mixing_query,
     "op10_quality": quality_query,
+    "op13_token_files": tokenfile_query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_jaccard_join": oracles.JACCARD}
