@@ -78,10 +78,10 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and each row's first word (one more entry than rows)."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and each row's first word (one more entry than rows). apart: bytes that are in no word."""
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~apart[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.zeros(n, bool)

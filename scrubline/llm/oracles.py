@@ -34,3 +34,21 @@ reach AS (SELECT rep, rep AS far FROM reps UNION SELECT r.rep, e.b FROM reach r
 roots AS (SELECT rep, min(far) AS root FROM reach GROUP BY rep)
 SELECT d.doc_id, d.n AS n_shingles, coalesce(root, d.doc_id) AS component_id FROM named d LEFT JOIN reps p ON p.h = d.h AND d.n > 0 LEFT JOIN roots o ON o.rep = p.rep
 """
+
+# Every group has every kept term of its language, with a count of 0 where it doesn't hold it.
+DIVERGENCE = r"""
+WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+words AS (SELECT lang, source, d, unnest(t) AS w FROM texts),
+often AS (SELECT lang, w, count(*) AS n FROM words GROUP BY lang, w HAVING count(DISTINCT d) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS n FROM often GROUP BY lang),
+pools AS (SELECT DISTINCT lang, source FROM texts),
+held AS (SELECT lang, source, w, count(*) AS c FROM words SEMI JOIN often USING (lang, w) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(c) AS n FROM held GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, o.w, coalesce(h.c, 0) AS c, 1 + (1000000000 * (coalesce(h.c, 0) + 5)::HUGEINT) // (coalesce(t.n, 0) + 5 * s.v)::HUGEINT AS p, 1 + (1000000000 * (o.n + 5)::HUGEINT) // (s.n + 5 * s.v)::HUGEINT AS q
+  FROM pools g JOIN often o ON o.lang = g.lang JOIN sizes s ON s.lang = g.lang LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.w = o.w),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM pools a JOIN pools b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, (p - q)::BIGINT FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

@@ -37,3 +37,10 @@ def keep(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
     return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
