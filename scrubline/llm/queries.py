@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, digest, divergence, jaccard, media, mixing, oracles, packing, quality, sharding, substring, tokencount, tokenfile
+from . import collocation, credentials, digest, divergence, jaccard, media, mixing, oracles, packing, quality, sharding, substring, tokencount, tokenfile
 from .tables import shared_folder, table
 
 BYTE_BPE, PIECE_BPE, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=30, add=5, scale=10**9, top=50)
 
 
+def collocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
 def tokenfile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     tokenfile.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), folder, end=2)
@@ -79,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing_query,
     "op10_quality": quality_query,
     "op11_divergence": divergence_query,
+    "op12_collocations": collocation_query,
     "op13_token_files": tokenfile_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_jaccard_join": oracles.JACCARD, "op11_divergence": oracles.DIVERGENCE}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_jaccard_join": oracles.JACCARD, "op11_divergence": oracles.DIVERGENCE, "op12_collocations": oracles.COLLOCATIONS}
