@@ -109,9 +109,9 @@ def kept_terms(counted: DataFrame, least: int) -> DataFrame:
             run_ = np.repeat(of, np.diff(cuts) // _PACKED.itemsize)
             wanted = done[run_]
             run_, gid, n = run_[wanted], here["gid"][wanted], here["n"][wanted]
-            if head:
+            if head and done[0]:
                 run_, gid, n = np.append(np.zeros(len(open_[3]), np.int64), run_), np.append(open_[3], gid), np.append(open_[4], n)
-            elif open_ is not None and open_[2] >= least:
+            elif open_ is not None and not head and open_[2] >= least:
                 yield _summed(pa.array([open_[0]]), pa.array([open_[1]]), np.zeros(len(open_[3]), np.int64), open_[3], open_[4])
             sums = _totals({"run": run_, "gid": gid, "n": n}, ["n"]).sort_by([("run", "ascending"), ("gid", "ascending")])
             run_, gid, n = (sums[c].combine_chunks().to_numpy() for c in ("run", "gid", "n_sum"))
