@@ -95,7 +95,7 @@ def frequent_words(docs: DataFrame, least: int, salt: int) -> tuple[DataFrame, D
 
 def bitmap(words_: DataFrame, bits: int) -> np.ndarray:
     """One bit for each of 2**bits slots, set where a word has its hash."""
-    slot = F.col("h").bitwiseAND((1 << bits) - 1)
+    slot = F.col("h").bitwiseAND((1 << bits) - 1) + 1  # buckets hold 1 to 32768, and so on
     out = np.zeros(1 << bits - 3, np.uint8)
     for r in words_.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():  # as many bytes as out
         at = (r["bucket"] - 1) * 4096

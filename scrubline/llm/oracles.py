@@ -57,14 +57,14 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 COLLOCATIONS = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS t FROM pieces),
-grams AS (SELECT lang, m, unnest(list_transform(range(1, len(t) - m + 2), lambda i: t[i:i + m - 1])) AS w FROM split, (VALUES (1), (2), (3)) v(m)),
-often AS (SELECT lang, m, w, count(*) AS f FROM grams GROUP BY ALL),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(t) - m + 2), lambda i: array_to_string(t[i:i + m - 1], ' '))) AS p FROM split, (VALUES (1), (2), (3)) v(m)),
+often AS MATERIALIZED (SELECT lang, p, m, count(*) AS f FROM grams GROUP BY ALL),
 sizes AS (SELECT lang, sum(f) AS n FROM often WHERE m = 1 GROUP BY lang),
-good AS (SELECT lang, m, w, f AS a FROM often WHERE m > 1 AND f >= 10),
-cuts AS (SELECT g.lang, g.m, g.w, g.a, k, x.f AS l, y.f AS r, ((1000000 * g.a::HUGEINT * g.a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM good g JOIN (VALUES (1), (2)) c(k) ON k < g.m
-  JOIN often x ON x.lang = g.lang AND x.w = g.w[1:k] JOIN often y ON y.lang = g.lang AND y.w = g.w[k + 1:]),
-lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
-longer AS (SELECT lang, w, max(a) AS most FROM (SELECT lang, a, unnest([w[1:2], w[2:3]]) AS w FROM good WHERE m = 3) GROUP BY ALL),
-left_ AS (SELECT c.lang, array_to_string(c.w, ' ') AS phrase, a, l, r, score FROM lowest c LEFT JOIN longer o ON o.lang = c.lang AND o.w = c.w WHERE most IS NULL OR 100 * most < 50 * a)
+good AS MATERIALIZED (SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM often WHERE m > 1 AND f >= 10),
+parts AS MATERIALIZED (SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM good, (VALUES (1), (2)) c(k) WHERE k < m),
+cuts AS (SELECT g.lang, g.p, a, k, x.f AS l, y.f AS r, ((1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM parts g JOIN often x ON x.lang = g.lang AND x.p = g.head JOIN often y ON y.lang = g.lang AND y.p = g.tail),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, p, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM good WHERE m = 3) GROUP BY ALL),
+left_ AS (SELECT c.lang, c.p AS phrase, a, l, r, score FROM lowest c LEFT JOIN longer o ON o.lang = c.lang AND o.p = c.p WHERE most IS NULL OR 100 * most < 50 * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM left_ JOIN sizes USING (lang) QUALIFY rank <= 2000
 """
