@@ -12,8 +12,9 @@ the text); a commit whose ranges overlap fails.
 
 Texts are dealt by ranges of (doc_id, hash), so that many rows of one id, or without one, take several tasks; then encoded
 and written as a stream: a task holds a frame, a batch and 17 bytes for each of its documents. Encoding cuts texts at spaces
-and line feeds, which no token of this vocabulary crosses, and asks the tokenizers library once for each distinct chunk in
-a bounded cache: its BPE model where the chunk is of Latin letters, digits and ASCII marks, its whole pipeline otherwise.
+and line feeds, which no token of this vocabulary crosses, and asks the tokenizers library once for what isn't in
+bounded caches: its BPE model for the pre-tokens of chunks of Latin letters, digits and ASCII marks, its whole pipeline for
+other chunks.
 
 Null and empty texts are the end id alone; texts of any length are read whole; an empty table gives no file and no row.
 Null ids come first. Repeated rows are written once each, in an order of their own; rows of one id go by their texts'
@@ -54,47 +55,54 @@ _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 class Chunks:
     """Ids of texts as unsigned 32-bit bytes, by a word-level BPE file of the tokenizers library whose pre-tokens hold no white space."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
         self.model, self.most = self.all.model, most
-        self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def _part(self, part: str) -> list[int]:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.shown)
-        return [t.id for t in self.model.tokenize(part)]
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token in lower case."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.cache) + len(chunks) > self.most:
-            self.cache = dict(islice(self.cache.items(), self.most // 2))  # common chunks came first
+        """Common chunks and parts came first, so the later half of a full cache goes."""
+        if len(self.chunks) + len(chunks) > self.most:
+            self.chunks = dict(islice(self.chunks.items(), self.most // 2))
+        if len(self.parts) > self.most:
+            self.parts = dict(islice(self.parts.items(), self.most // 2))
         other = []
         for c in chunks:
             if _PLAIN.fullmatch(c) and "<|" not in c:
                 low = c.lower()
-                self.cache[c] = np.array(self._part(low) if low.isalpha() else [i for p in _PARTS.findall(low) for i in self._part(p)], "<u4").tobytes()
+                self.chunks[c] = self._part(low) if low.isalpha() else b"".join([self._part(p) for p in _PARTS.findall(low)])
             else:
                 other.append(c)
         for k in range(0, len(other), 5000):
             some = other[k : k + 5000]
             for c, e in zip(some, self.all.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
+                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.cache.get, p)) for p in split]
+        found = [list(map(self.chunks.get, p)) for p in split]
         fresh = {w for p, v in zip(split, found, strict=True) if None in v for w, x in zip(p, v, strict=True) if x is None}
         if fresh:
             self.learn(fresh)
-            found = [[self.cache[w] if x is None else x for w, x in zip(p, v, strict=True)] if None in v else v for p, v in zip(split, found, strict=True)]
+            found = [[self.chunks[w] if x is None else x for w, x in zip(p, v, strict=True)] if None in v else v for p, v in zip(split, found, strict=True)]
         return [b"".join(v) + end for v in found]
 
 
-def encoder(path: str, most: int = 800_000) -> Chunks:
+def encoder(path: str, most: int = 300_000) -> Chunks:
     """One for each Python worker."""
     if (path, most) not in _ENCODERS:
         _ENCODERS[path, most] = Chunks(path, most)
