@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType
 
 
 def jaro(a: str, b: str) -> float:
-    """Jaro likeness: characters that agree within half the longer length, less half the share that is out of order."""
+    """Jaro likeness: characters that agree within half the longer length, less half the share that is out of order; an odd one counts half as well."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -25,7 +25,7 @@ def jaro(a: str, b: str) -> float:
         return 0.0
     right = [c for c, unused in zip(b, free, strict=True) if not unused]
     m = len(left)
-    moved = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    moved = sum(x != y for x, y in zip(left, right, strict=True)) / 2
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 

@@ -1,4 +1,4 @@
-"""Baselines, profiles and loops of anonymisation over documents that hold their spans."""
+"""Baselines, profiles and loops of de-identification over documents that hold their spans."""
 
 from __future__ import annotations
 
@@ -93,18 +93,27 @@ def again(score: Column, iteration: Column, threshold: int = 15, most: int = 3)
 
 def adversarial_loop(docs: DataFrame, audit: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], threshold: int = 15, most: int = 3) -> DataFrame:
     """docs (doc_id, text) with privacy_score and iteration: audited, and rewritten while the score is above the threshold, at
-    most ``most`` times. audit adds privacy_score to doc_id and text; rewrite gives doc_id and text. Each round writes its
-    documents to the checkpoint folder, so that models aren't asked again for the rounds before."""
-    state = audit(docs.select("doc_id", "text")).select("doc_id", "text", "privacy_score", F.lit(0).alias("iteration")).checkpoint()
+    most ``most`` times. audit adds privacy_score to what it is given, rewrite gives new texts; both are given doc_id, text and
+    row, a number of each row, and keep row. So null and repeated ids are rows of their own, and rows that a model leaves out
+    stay as they are. Each round writes its documents to the checkpoint folder, so that models aren't asked again for the
+    rounds before."""
+    once = F.coalesce(again(F.col("privacy_score"), F.col("iteration"), threshold, most), F.lit(False))
+    given = ["doc_id", "text", "row"]
+
+    def judged(rows: DataFrame) -> DataFrame:
+        score = audit(rows.select(*given)).select("row", "privacy_score")
+        return rows.join(score, "row", "left").select(*given, "privacy_score", "iteration")
+
+    start = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.lit(0).alias("iteration")).checkpoint()
+    state = judged(start).checkpoint()
     for _ in range(most or 3):
-        open_ = state.where(again(F.col("privacy_score"), F.col("iteration"), threshold, most))
+        open_ = state.where(once)
         if open_.isEmpty():
             break
-        new = rewrite(open_).select("doc_id", F.col("text").alias("_new"))
-        changed = open_.join(new, "doc_id", "left").select("doc_id", F.coalesce("_new", "text").alias("text"), (F.col("iteration") + 1).alias("iteration"))
-        judged = audit(changed.select("doc_id", "text")).select("doc_id", "text", "privacy_score").join(changed.select("doc_id", "iteration"), "doc_id")
-        state = state.where(~again(F.col("privacy_score"), F.col("iteration"), threshold, most)).unionByName(judged).checkpoint()
-    return state
+        new = rewrite(open_.select(*given)).select("row", F.col("text").alias("_new"))
+        changed = open_.join(new, "row", "left").select("doc_id", F.coalesce("_new", "text").alias("text"), "row", (F.col("iteration") + 1).alias("iteration")).checkpoint()
+        state = state.where(~once).unionByName(judged(changed)).checkpoint()
+    return state.drop("row")
 
 
 def acceptable(original: Column, rewritten: Column, least: float = 0.4) -> Column:

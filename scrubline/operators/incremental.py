@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -56,23 +59,71 @@ def through_cache(requests: DataFrame, answer: Callable[[DataFrame], DataFrame],
     return keyed.join(now, "cache_key", "left").join(before.select("cache_key", F.lit(True).alias("_hit")), "cache_key", "left").withColumn("cache_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def map_isolated(docs: DataFrame, work: Callable[[dict], dict], result: StructType) -> DataFrame:
-    """docs with the fields of result and error. A row whose work raises has null fields and the error's text; the others
-    go on."""
-    kept = docs.schema.fields
-    names = result.fieldNames()
-    columns = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                try:
-                    found, error = work(row), None
-                except Exception as e:  # noqa: BLE001 - any failure of one row is that row's result
-                    found, error = {}, f"{type(e).__name__}: {e}"
-                rows.append([*[found.get(n) for n in names], error])
-            more = pd.DataFrame(rows, columns=[*names, "error"], index=batch.index, dtype=object)
-            yield pd.concat([batch[columns], more], axis=1)
-
-    return docs.mapInPandas(run, StructType([*kept, *result.fields, StructField("error", StringType())]))
+class _Guard:
+    """A child process that does one row's work at a time, and is replaced when a row takes too long."""
+
+    def __init__(self, work: Callable[[dict], dict]):
+        self.work, self.child = work, None
+
+    def _serve(self, pipe: Connection) -> None:
+        while (row := pipe.recv()) is not None:
+            pipe.send(_tried(self.work, row))
+
+    def stop(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.child = None
+
+    def __call__(self, row: dict, limit: float) -> tuple[dict, str | None]:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, other = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(other,), daemon=True)
+            self.child.start()
+            other.close()
+        try:
+            self.pipe.send(row)
+            if self.pipe.poll(limit):
+                return self.pipe.recv()
+            self.stop()
+            return {}, f"timeout: no result after {limit:g} s"
+        except (EOFError, BrokenPipeError) as e:  # the work ended its process
+            self.stop()
+            return {}, f"{type(e).__name__}: the row's process ended"
+
+
+def _tried(work: Callable[[dict], dict], row: dict) -> tuple[dict, str | None]:
+    try:
+        return work(row), None
+    except Exception as e:  # noqa: BLE001 - any failure of one row is that row's result
+        return {}, f"{type(e).__name__}: {e}"
+
+
+def map_isolated(docs: DataFrame, work: Callable[[dict], dict], result: StructType, limit: float | None = None, progress: Observation | None = None) -> DataFrame:
+    """docs with the fields of result and error. A row whose work raises, gives values of another type or takes longer than
+    limit seconds has null fields and says why in error; the others go on. The columns of docs pass through as they are. With a
+    limit a task does its rows' work in a process of its own, which a row that takes too long loses. progress is told rows,
+    failed and timeouts when the result has been computed."""
+    names, kinds = result.fieldNames(), to_arrow_schema(result)
+
+    def typed(found: dict, error: str | None) -> tuple[dict, str | None]:
+        try:
+            return {n: pa.scalar(found.get(n), kinds.field(n).type).as_py() for n in names}, error
+        except (pa.ArrowException, TypeError, AttributeError, ValueError) as e:
+            return {}, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guard = _Guard(work)
+        try:
+            for batch in batches:
+                rows = [typed(*(_tried(work, row) if limit is None else guard(row, limit))) for row in batch.to_pylist()]
+                more = [pa.array([f.get(n) for f, _ in rows], kinds.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array([e for _, e in rows], pa.string())], names=[*batch.schema.names, *names, "error"])
+        finally:
+            guard.stop()
+
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields, *result.fields, StructField("error", StringType())]))
+    if progress is None:
+        return out
+    return out.observe(progress, F.count("*").alias("rows"), F.count("error").alias("failed"), F.count(F.when(F.startswith("error", F.lit("timeout:")), 1)).alias("timeouts"))

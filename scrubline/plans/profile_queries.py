@@ -35,7 +35,16 @@ def minhash_signature(t):
 _PREFIX = " + ".join(f"CASE WHEN length(a) >= {k} AND length(b) >= {k} AND a[:{k}] = b[:{k}] THEN 1 ELSE 0 END" for k in range(1, 5))
 
 
-@query(f"SELECT p_partkey, round(j + ({_PREFIX}) * 0.1 * (1 - j), 6) AS likeness FROM (SELECT p.p_partkey, lower(p.p_name) AS a, lower(q.p_name) AS b, jaro_similarity(lower(p.p_name), lower(q.p_name)) AS j FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1)", "jaro_winkler")
+def jaro_sql(pairs: str, key: str) -> str:
+    """key, a, b and j, the Jaro likeness, of a table with key, a and b: each character of a takes the first free one in reach."""
+    return f"""(WITH RECURSIVE _m AS (SELECT {key}, a, b, 0 AS i, []::BIGINT[] AS ii, []::BIGINT[] AS jj, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM ({pairs})
+ UNION ALL SELECT {key}, a, b, i + 1, CASE WHEN j IS NULL THEN ii ELSE list_append(ii, i + 1) END, CASE WHEN j IS NULL THEN jj ELSE list_append(jj, j) END, reach
+  FROM (SELECT *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda x: b[x] = a[i + 1] AND NOT list_contains(jj, x))[1] AS j FROM _m WHERE i < length(a))),
+ _t AS (SELECT {key}, a, b, len(ii) AS m, len(list_filter(range(1, len(ii) + 1), lambda k: a[ii[k]] <> b[list_sort(jj)[k]])) AS t FROM _m WHERE i = length(a))
+ SELECT {key}, a, b, CASE WHEN a = b THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - t::DOUBLE / 2) / m) / 3 END AS j FROM _t)"""
+
+
+@query(f"SELECT p_partkey, round(j + ({_PREFIX}) * 0.1 * (1 - j), 6) AS likeness FROM {jaro_sql('SELECT p.p_partkey, lower(p.p_name) AS a, lower(q.p_name) AS b FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1', 'p_partkey')}", "jaro_winkler")
 def name_likeness(t):
     p = t("part").select("p_partkey", F.lower("p_name").alias("a"))
     q = t("part").select((F.col("p_partkey") - 1).alias("p_partkey"), F.lower("p_name").alias("b"))

@@ -8,7 +8,7 @@ from scrubline.functions.labels import DIRECT_ATTRIBUTES
 from scrubline.operators import metrics, risk
 from scrubline.plans import span_queries as sq
 from scrubline.plans.generator_queries import attack_pairs
-from scrubline.plans.profile_queries import _PREFIX
+from scrubline.plans.profile_queries import _PREFIX, jaro_sql
 from scrubline.plans.registry import ORACLE_SQL, query
 
 _JW = f"(j + ({_PREFIX}) * 0.1 * (1 - j))"
@@ -16,7 +16,7 @@ _JW = f"(j + ({_PREFIX}) * 0.1 * (1 - j))"
 
 @query(f"""SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN {_JW} >= 0.8 THEN 1.0 ELSE 0.0 END::DOUBLE AS occupation, CASE WHEN a = b OR {_JW} >= 1 THEN 1.0 WHEN {_JW} >= 0.75 THEN 0.75 ELSE 0.0 END::DOUBLE AS education,
  CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS state, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ssn, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 / 3 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS dob, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS sex
- FROM (SELECT p.p_partkey, trim(lower(p.p_name)) AS a, trim(lower(q.p_name)) AS b, jaro_similarity(trim(lower(p.p_name)), trim(lower(q.p_name))) AS j FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1)""")
+ FROM {jaro_sql('SELECT p.p_partkey, trim(lower(p.p_name)) AS a, trim(lower(q.p_name)) AS b FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1', 'p_partkey')}""")
 def attribute_correctness(t):
     p = t("part").select("p_partkey", F.concat(F.lit(" "), F.col("p_name")).alias("a"))
     d = p.join(t("part").select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")

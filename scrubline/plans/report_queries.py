@@ -1,4 +1,4 @@
-"""Anonymisation profiles, annotations and report tables."""
+"""De-identification profiles, annotations and report tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions import labels
 from scrubline.functions.patterns import BY_NAME
-from scrubline.operators import annotation, anonymise, reports, spans
+from scrubline.operators import annotation, deidentify, reports, spans
 from scrubline.plans import span_queries as sq
 from scrubline.plans.registry import query
 
@@ -26,19 +26,19 @@ def _swap(mail: str, phone: str) -> str:
 
 @query(f"SELECT doc_id, masked AS masking, g.masked_g AS generalization FROM ({_swap('<EMAIL>', '<PHONE>')}) JOIN (SELECT doc_id, masked AS masked_g FROM ({_swap('une adresse email interne', 'un numero professionnel')})) g USING (doc_id)")
 def baselines(t):
-    return _spanned(t).select("doc_id", *[anonymise.baseline(F.col("text"), F.col("spans"), s).alias(s) for s in ("masking", "generalization")])
+    return _spanned(t).select("doc_id", *[deidentify.baseline(F.col("text"), F.col("spans"), s).alias(s) for s in ("masking", "generalization")])
 
 
 @query(f"""SELECT doc_id, 'batch_redact' AS strategy, masked AS anonymized_text, array_to_string(list_filter([CASE WHEN contains(masked, '[PHONE]') THEN 'batch:generalize:PHONE' END, CASE WHEN contains(masked, '[EMAIL_REDACTED]') THEN 'batch:redact:EMAIL' END], lambda x: x IS NOT NULL), ',') AS actions, {_LOSS} AS utility_loss FROM ({_swap('[EMAIL_REDACTED]', '[PHONE]')})""")
 def batch_profile(t):
-    d = anonymise.run_profile(_spanned(t), "redact", {"phone": "generalize"})
+    d = deidentify.run_profile(_spanned(t), "redact", {"phone": "generalize"})
     return d.select("doc_id", "strategy", "anonymized_text", F.array_join("actions_performed", ",").alias("actions"), "utility_loss")
 
 
 @query("""SELECT o_custkey AS doc_id, greatest(0, least(100, max(s)))::INT AS privacy_score, array_to_string(list(a ORDER BY o_orderkey), ' | ') AS assessment, count(DISTINCT o_orderpriority) AS n_leaked FROM (SELECT *, (o_orderkey % 300 - 100)::INT AS s, 'seen ' || o_orderkey AS a FROM orders) GROUP BY 1""")
 def audit_scores(t):
     answers = t("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("chunk"), (F.col("o_orderkey") % 300 - 100).cast("int").alias("score"), F.array(F.struct(F.lit("t").alias("type"), F.col("o_orderpriority").alias("evidence"))).alias("leaked"), F.concat(F.lit(" seen "), F.col("o_orderkey").cast("string")).alias("assessment"))
-    d = anonymise.audited(answers)
+    d = deidentify.audited(answers)
     return d.select("doc_id", "privacy_score", "assessment", F.size("leaked").cast("bigint").alias("n_leaked"))
 
 

@@ -1,9 +1,12 @@
 """Resume, cache, isolation, patches, runs and census files, against results written out by hand."""
 
 import difflib
+import os
 import re
+import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -51,6 +54,29 @@ def test_one_failing_row_leaves_the_others(spark):
     assert found[3]["error"].startswith("TypeError")
 
 
+def test_slow_rows_time_out_and_kept_columns_stay(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a", [1]), (None, "sleep", None), (big + 2, "b", []), (1, "leave", [3]), (2, "bad", [4]), (3, "c", [5])], "doc_id bigint, text string, more array<int>").coalesce(1)
+
+    def work(row):
+        if row["text"] == "sleep":
+            time.sleep(60)
+        if row["text"] == "leave":
+            os._exit(3)
+        return {"n": "x" if row["text"] == "bad" else len(row["text"])}
+
+    told = Observation()
+    began = time.time()
+    out = incremental.map_isolated(docs, work, StructType([StructField("n", IntegerType())]), limit=1.5, progress=told)
+    assert out.drop("error").schema[:3] == docs.schema[:3]
+    found = {(r["doc_id"], r["text"]): r for r in out.collect()}
+    assert time.time() - began < 40
+    assert {k: r["n"] for k, r in found.items()} == {(big, "a"): 1, (None, "sleep"): None, (big + 2, "b"): 1, (1, "leave"): None, (2, "bad"): None, (3, "c"): 1}
+    assert found[None, "sleep"]["error"].startswith("timeout:") and "process ended" in found[1, "leave"]["error"] and found[2, "bad"]["error"].startswith("Arrow")
+    assert [found[k]["more"] for k in ((big, "a"), (None, "sleep"), (big + 2, "b"))] == [[1], None, []]
+    assert told.get == {"rows": 6, "failed": 3, "timeouts": 1}
+
+
 def normal_diff(a, b):
     """A patch in normal format, by difflib."""
     span = lambda i, j: str(i + 1) if j - i == 1 else f"{i + 1},{j}"

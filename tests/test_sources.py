@@ -80,5 +80,6 @@ def test_hydrate(spark):
 
 def test_jaro_and_minhash(spark):
     assert round(jaro("martha", "marhta"), 4) == 0.9444 and round(jaro("dixon", "dicksonx"), 4) == 0.7667 and jaro("", "a") == 0 and jaro("", "") == 1
+    assert round(jaro("abcdefgh", "bcadefgh"), 4) == 0.9375  # three characters out of order: one and a half transpositions
     got = [r["s"] for r in spark.createDataFrame([("a b c d",), ("a b",), ("",)], "t string").select(minhash(F.col("t"), 4).alias("s")).collect()]
     assert len(got[0]) == 4 and got[2] == ["1" + "0" * 16] * 4 and got[0] != got[1]
