@@ -293,6 +293,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
             longer = reduce(DataFrame.unionByName, inner).groupBy(*own).agg(F.max("a").alias("longer"))
             here = here.join(longer, own, "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
         kept.append(here.select("lang", "phrase", "a", "best.l", "best.r", "best.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = reduce(DataFrame.unionByName, kept).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each slice of a language first, about as many slices as tasks meet in one of them.
+    slices_ = max(1, int(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best(best(reduce(DataFrame.unionByName, kept).withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(slices_))), "lang", "slice"), "lang")
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
