@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from scrubline.functions.arrays import let
+from scrubline.functions.arrays import let, sums
 from scrubline.functions.draws import choose, draw
 from scrubline.operators.spans import occurrences
 
@@ -119,11 +119,12 @@ def persona(values: Column, fields: Mapping[str, tuple[str, ...]], allowed: Colu
 
 
 def compose(parts: Column, plan: Column, forms: Column) -> Column:
-    """struct<text, grounding> of ordered parts. parts: array<struct<text, label, canonical_value>>, a null label for plain
+    """struct<text, grounding, spans> of ordered parts. parts: array<struct<text, label, canonical_value>>, a null label for plain
     text; plan: array<struct<label, mode>>; forms: array<struct<label, mode, snippet, cue_type>>, other ways to say a label.
 
     A mention that is planned hard or implicit takes its form; where there is none it stays as it is, and easy. grounding
-    numbers equal snippets from 1. Empty parts say nothing; the text is without white space at its ends."""
+    numbers equal snippets from 1; spans (start, end, label) are the mentions' places in the text. Empty parts say nothing; the
+    text is without white space at its ends."""
     told = F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != "")
 
     def said(p: Column) -> Column:
@@ -134,9 +135,17 @@ def compose(parts: Column, plan: Column, forms: Column) -> Column:
         return F.struct(p["label"].alias("label"), p["canonical_value"].alias("canonical_value"), pick(form["snippet"], p["text"]).alias("snippet"), pick(mode, F.lit(MODES[0])).alias("difficulty_mode"), pick(form["cue_type"], F.lit("")).alias("cue_type"))
 
     def whole(all_: Column) -> Column:
-        text = F.regexp_replace(F.array_join(F.transform(all_, lambda x: x["snippet"]), ""), r"^\s+|\s+$", "")
+        raw = F.array_join(F.transform(all_, lambda x: x["snippet"]), "")
         number = lambda m: F.transform(m, lambda x, i: F.struct(x["label"].alias("label"), x["canonical_value"].alias("canonical_value"), x["snippet"].alias("snippet"), F.size(F.filter(F.slice(m, 1, i + 1), lambda y: y["snippet"] == x["snippet"])).alias("occurrence_hint"), x["difficulty_mode"].alias("difficulty_mode"), x["cue_type"].alias("cue_type")))
-        return F.struct(text.alias("text"), let(F.filter(all_, lambda x: x["label"].isNotNull()), number).alias("grounding"))
+
+        def placed(t: Column) -> Column:
+            text = F.regexp_replace(t, r"^\s+|\s+$", "")
+            cut = F.length(t) - F.length(F.regexp_replace(t, r"^\s+", ""))
+            inside = lambda at: F.least(F.greatest(at - cut, F.lit(0)), F.length(text))
+            ends = F.zip_with(all_, sums(F.transform(all_, lambda x: F.length(x["snippet"]))), lambda x, end: F.struct(inside(end - F.length(x["snippet"])).alias("start"), inside(end).alias("end"), x["label"].alias("label")))
+            return F.struct(text.alias("text"), let(F.filter(all_, lambda x: x["label"].isNotNull()), number).alias("grounding"), F.filter(ends, lambda x: x["label"].isNotNull()).alias("spans"))
+
+        return let(raw, placed)
 
     return let(F.transform(told, said), whole)
 

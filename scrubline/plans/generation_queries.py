@@ -8,7 +8,7 @@ from scrubline.operators import generation as G
 from scrubline.plans.generator_queries import choose_sql, draw_sql
 from scrubline.plans.registry import query
 
-N = 20_000
+EACH = 10  # scenarios for each author
 
 
 def _d(purpose: str) -> str:
@@ -35,12 +35,12 @@ def _mode_sql(label: str, cued: str) -> str:
 
 
 _PRIVATE = f"x || ':' || CASE WHEN x IN {tuple(G.IMPLICIT_CAPABLE)} AND list_contains(cues, x) AND {draw_sql(41, 'sensitive_mode', 'i', 'x')} < 0.7::DOUBLE THEN 'implicit' ELSE 'explicit_easy' END"
-_SCENARIOS = f"""
+SCENARIOS_SQL = f"""
 WITH a AS (SELECT c_custkey AS place, c_custkey AS person_id, c_mktsegment AS s, c_nationkey % 2 = 0 AS degree, c_nationkey % 3 = 0 AS cert, c_nationkey % 5 = 0 AS rare, CASE WHEN c_nationkey % 2 = 1 THEN ['FAMILY_STATUS', 'HEALTH'] ELSE [] END AS sensitive, ['AGE_RANGE', 'FAMILY_STATUS'] AS cues, count(*) OVER () AS n FROM customer),
 r AS (SELECT i, a.*, CASE WHEN i % 2 = 0 THEN '{G.SUPPORT}' ELSE '{G.EMAIL}' END AS domain, {choose_sql(_d('difficulty'), G.DIFFICULTY)} AS difficulty,
   CASE WHEN place < floor(n * 0.6::DOUBLE) THEN 'train' WHEN place < floor(n * 0.8::DOUBLE) THEN 'dev' ELSE 'test' END AS part,
   CASE s WHEN 'BUILDING' THEN 'familier' WHEN 'MACHINERY' THEN 'soutenu' ELSE 'courant' END AS own, CASE WHEN s IN ('BUILDING', 'MACHINERY') THEN 'tu' ELSE '' END AS form
-  FROM range({N}) t(i), (SELECT count(*) AS c FROM customer), a WHERE place = i % c),
+  FROM range((SELECT {EACH} * count(*) FROM customer)) t(i), (SELECT count(*) AS c FROM customer), a WHERE place = i % c),
 u AS (SELECT *, CASE WHEN {_d('outside')} < CASE WHEN i % 2 = 0 THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END THEN {_pick_sql(_d('recipient'), _by_domain(G.EXTERNAL))} ELSE {_pick_sql(_d('recipient'), _by_domain(G.INTERNAL))} END AS recipient_role,
   {_d('direct')} < CASE difficulty WHEN 'easy' THEN 0.75::DOUBLE WHEN 'medium' THEN 0.35::DOUBLE ELSE 0.1::DOUBLE END AS direct, len(sensitive) > 0 AND {_d('private')} < 0.6::DOUBLE AS private,
   list_concat(['ROLE', 'TEAM'], list_concat(CASE WHEN difficulty <> 'easy' THEN ['AGE_RANGE', 'TENURE'] ELSE [] END, list_concat(CASE WHEN difficulty = 'hard' AND degree THEN ['DEGREE'] ELSE [] END, list_concat(CASE WHEN difficulty = 'hard' AND cert THEN ['CERTIFICATION'] ELSE [] END, CASE WHEN rare THEN ['RARE_RESPONSIBILITY'] ELSE [] END)))) AS required FROM r),
@@ -53,15 +53,19 @@ SELECT format('scenario_{{:06d}}', i + 1) AS scenario_id, person_id AS author_id
   CASE WHEN outside THEN 'courant' ELSE own END AS register, CASE WHEN outside OR own = 'soutenu' OR form = '' THEN 'vous' ELSE form END AS address_form FROM v"""
 
 
-@query(_SCENARIOS)
-def generate_scenarios(t):
+def authors(t):
+    """Customers as authors, their nations and segments saying what they are like."""
     nation, segment, none = F.col("c_nationkey"), F.col("c_mktsegment"), F.array().cast("array<string>")
     labels = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    authors = t("customer").select(
+    return t("customer").select(
         F.col("c_custkey").alias("place"), F.col("c_custkey").alias("person_id"), F.when(segment == "BUILDING", "familier").when(segment == "MACHINERY", "soutenu").otherwise("courant").alias("register"), F.when(segment.isin("BUILDING", "MACHINERY"), "tu").otherwise("").alias("address_form"),
         (nation % 2 == 0).alias("degree"), (nation % 3 == 0).alias("certificate"), (nation % 5 == 0).alias("rare"), F.when(nation % 2 == 1, labels("FAMILY_STATUS", "HEALTH")).otherwise(none).alias("sensitive"), labels("AGE_RANGE", "FAMILY_STATUS").alias("cues"),
     )
-    rows = G.scenarios(authors, N)
+
+
+@query(SCENARIOS_SQL)
+def generate_scenarios(t):
+    rows = G.scenarios(authors(t), EACH * t("customer").count())
     return rows.select("scenario_id", "author_id", "domain", "unit_type", "difficulty", "split", "recipient_role", "goal", F.array_join(F.transform("mention_plan", lambda m: F.concat_ws(":", m["label"], m["mode"])), ",").alias("plan"), "urgency", "noise_level", "register", "address_form")
 
 

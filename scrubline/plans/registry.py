@@ -27,6 +27,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(df) if table in TEXTS else df
 
 
+def checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir where the context has none yet; a local session without
+    that setting has one in its warehouse."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable], Callable]:
     """Register f(t), where t(name) reads a table."""
 
