@@ -11,10 +11,10 @@ one line for each file, so what lost or repeated tasks wrote is never read. File
 the text); a commit whose ranges overlap fails.
 
 Texts are dealt by ranges of (doc_id, hash), so that many rows of one id, or without one, take several tasks; then encoded
-and written as a stream: a task holds a frame, a batch and 17 bytes for each of its documents. Encoding cuts texts at spaces
-and line feeds, which no token of this vocabulary crosses, and asks the tokenizers library once for what isn't in
-bounded caches: its BPE model for the pre-tokens of chunks of Latin letters, digits and ASCII marks, its whole pipeline for
-other chunks.
+and written as a stream: a task holds a frame, a batch and 17 bytes for each of its documents. Encoding cuts
+texts of Latin letters, digits and ASCII marks into pre-tokens and asks the BPE model of the tokenizers library once for each
+that isn't in a bounded cache; other texts are cut at spaces and line feeds, which no token of this vocabulary crosses, and
+the library's whole pipeline is asked for the chunks that aren't of such characters.
 
 Null and empty texts are the end id alone; texts of any length are read whole; an empty table gives no file and no row.
 Null ids come first. Repeated rows are written once each, in an order of their own; rows of one id go by their texts'
@@ -34,6 +34,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .bytetext import utf8
+from .bytetext import LOWER, slices, utf8
 
 FORMAT = "seekable_ids"
 # Fixed values of the published formats: skippable frames, seek table, its flag for checksums and its footer.
@@ -50,12 +51,21 @@ LIST = "_files.json"
 _ENCODERS: dict[tuple[str, int], Chunks] = {}
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_KIND = np.full(256, 3, np.uint8)  # of bytes in lower case: white space, letters, digits, marks
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_LOOK = np.zeros(256, bool)  # bytes that may be in no plain text: control characters, others than ASCII, apostrophes, <
+_LOOK[:32] = _LOOK[127:] = _LOOK[[0x27, 0x3C]] = True
+_LOOK[[9, 10, 11, 12, 13]] = False
+_SHORT = np.zeros(256, bool)  # first letters of what follows an apostrophe in a pre-token of its own
+_SHORT[np.frombuffer(b"strvmldSTRVMLD", np.uint8)] = True
 
 
 class Chunks:
     """Ids of texts as unsigned 32-bit bytes, by a word-level BPE file of the tokenizers library whose pre-tokens hold no white space."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
@@ -71,15 +81,14 @@ class Chunks:
         ids = self.parts.get(part)
         if ids is None:
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = [t.id for t in self.model.tokenize(shown)]
+            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def learn(self, chunks: set[str]) -> None:
         """Common chunks and parts came first, so the later half of a full cache goes."""
         if len(self.chunks) + len(chunks) > self.most:
             self.chunks = dict(islice(self.chunks.items(), self.most // 2))
-        if len(self.parts) > self.most:
-            self.parts = dict(islice(self.parts.items(), self.most // 2))
         other = []
         for c in chunks:
             if _PLAIN.fullmatch(c) and "<|" not in c:
@@ -92,17 +101,86 @@ class Chunks:
             for c, e in zip(some, self.all.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.chunks[c] = np.array(e.ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.chunks.get, p)) for p in split]
-        fresh = {w for p, v in zip(split, found, strict=True) if None in v for w, x in zip(p, v, strict=True) if x is None}
+    def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and how many each has."""
+        ok = plain(*utf8(texts))
+        if ok.all():
+            ids, lengths = self.by_parts(texts)
+        else:
+            (a, n), (b, m) = self.by_parts(texts.filter(pa.array(ok))), self.by_chunks(texts.filter(pa.array(~ok)))
+            ids, lengths = np.concatenate([a, b]), np.concatenate([n, m])
+            order = np.argsort(np.concatenate([np.flatnonzero(ok), np.flatnonzero(~ok)]))
+            ids, lengths = ids[ragged((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
+        return np.insert(ids, np.cumsum(lengths), end).astype("<u4"), lengths + 1
+
+    def by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of plain characters: cut into pre-tokens in numpy and told apart in Arrow, so that Python sees the distinct
+        ones of a batch only."""
+        data, offsets = utf8(texts)
+        low = LOWER[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        low[second[data[second] < 0x9F]] += 32
+        kind = _KIND[low]
+        solid = kind > 0
+        head = solid.copy()
+        head[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        head[firsts] = solid[firsts]
+        starts = np.flatnonzero(head)
+        before = np.cumsum(solid, dtype=np.int32)
+        cuts = np.append(before[starts] - 1, before[-1:]).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(low[solid])).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        if len(self.parts) + len(names) > self.most:
+            self.parts = dict(islice(self.parts.items(), self.most // 2))  # common parts came first
+        ids = [self._part(n) if x is None else x for n, x in zip(names, map(self.parts.get, names), strict=True)]
+        return spelled(found.indices.to_numpy(), ids, np.diff(np.searchsorted(starts, offsets)))
+
+    def by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Any texts: chunks between spaces and line feeds."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = split.flatten().dictionary_encode()
+        names = found.dictionary.to_pylist()
+        ids = list(map(self.chunks.get, names))
+        fresh = {n for n, x in zip(names, ids, strict=True) if x is None}
         if fresh:
             self.learn(fresh)
-            found = [[self.chunks[w] if x is None else x for w, x in zip(p, v, strict=True)] if None in v else v for p, v in zip(split, found, strict=True)]
-        return [b"".join(v) + end for v in found]
+            ids = [self.chunks[n] if x is None else x for n, x in zip(names, ids, strict=True)]
+        return spelled(found.indices.to_numpy(), ids, pc.list_value_length(split).to_numpy())
 
 
-def encoder(path: str, most: int = 300_000) -> Chunks:
+def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have only white space, ASCII marks, digits and Latin letters up to U+00FF, no word with an apostrophe that is a
+    pre-token of its own, and no special token."""
+    at = np.flatnonzero(_LOOK[data])
+    own, before, after = data[at], np.where(at > 0, data[at - 1], 0), data[np.minimum(at + 1, len(data) - 1)]
+    latin = (own == 0xC3) | (own >= 0x80) & (before == 0xC3) & (own != 0x97) & (own != 0xB7)
+    fine = np.where(own >= 0x80, latin, (own == 0x27) & ~_SHORT[after] | (own == 0x3C) & (after != 0x7C))
+    ok = np.ones(len(offsets) - 1, bool)
+    ok[np.searchsorted(offsets, at[~fine], "right") - 1] = False
+    return ok
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of rows of a flat array, one after another."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def spelled(code: np.ndarray, ids: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all codes, and how many of them each row of so many codes has."""
+    flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    upto = np.append(0, np.cumsum(sizes[code]))
+    return flat[ragged((np.cumsum(sizes) - sizes)[code], sizes[code])], np.diff(upto[np.cumsum(lengths)], prepend=0)
+
+
+def blobs(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of so many ids each, without a copy."""
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int64) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def encoder(path: str, most: int = 600_000) -> Chunks:
     """One for each Python worker."""
     if (path, most) not in _ENCODERS:
         _ENCODERS[path, most] = Chunks(path, most)
@@ -111,18 +189,14 @@ def encoder(path: str, most: int = 300_000) -> Chunks:
 
 def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id, key and ids (little-endian unsigned 32-bit, with the end id) of every document, in ranges of (doc_id, key)."""
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             _, offsets = utf8(batch.column(2))
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 21))) - 1)
+            for i, j in slices(offsets, 1 << 23):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.batch(part.column(2).to_pylist(), last), pa.binary())], names=["doc_id", "key", "ids"])
-                i = j
+                ids, lengths = own.batch(part.column(2), end)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blobs(ids, lengths)], names=["doc_id", "key", "ids"])
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     dealt = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
@@ -215,9 +289,8 @@ class Seekable:
         """Documents at these places of the list, ascending."""
         runs = np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1) if len(rows) else []
         ids = [self.ids(int(self.start[r[0]]), int(self.start[r[-1] + 1])) for r in runs]
-        ends = np.append(0, np.cumsum(self.length[rows])) * 4
-        raw = pa.py_buffer(np.concatenate(ids).tobytes() if ids else b"")
-        return pa.RecordBatch.from_arrays([pa.array(self.doc_id[rows], mask=~self.given[rows]), pa.array(self.start[rows] + base), pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), raw]).cast(pa.binary())], names=["doc_id", "start", "ids"])
+        joined = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        return pa.RecordBatch.from_arrays([pa.array(self.doc_id[rows], mask=~self.given[rows]), pa.array(self.start[rows] + base), blobs(joined, self.length[rows])], names=["doc_id", "start", "ids"])
 
     def batches(self, rows: np.ndarray, base: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
         """The same in batches of some most ids; a longer document stands alone."""
