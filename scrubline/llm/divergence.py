@@ -221,8 +221,9 @@ def common(low: pd.Series, high: pd.Series) -> pd.Series:
 
 def select_top(rows: DataFrame, groups: int, top: int, bits: int = 11, high: int = 33, few: int = 1000) -> DataFrame:
     """gid, term, value of at least the first top rows of each group by descending value and ascending term: no more than top
-    rows and few ties. rows: gid, term and value (0 to 2**high - 1), a term at most once in a group."""
-    rows = rows.select("gid", F.col("value"), F.col("term").cast("binary").alias("term"))
+    rows and few ties. rows: gid, term (without byte 0) and value (0 to 2**high - 1), a term at most once in a group."""
+    # A byte 0 ends each term, so that none is the beginning of another.
+    rows = rows.select("gid", F.col("value"), F.concat(F.col("term").cast("binary"), F.lit(b"\0")).alias("term"))
     border = None  # gid, bits known of the top-th value, and how many are to be taken there
     for shift in range(high - bits, -1, -bits):
         own = F.shiftright("value", shift)
@@ -251,7 +252,7 @@ def select_top(rows: DataFrame, groups: int, top: int, bits: int = 11, high: int
         border = keep(border.join(cut, "gid", "left").select("gid", "known", F.coalesce("rest_", "rest").alias("rest"), F.coalesce("head_", "head").alias("head")))
     whole = rows.join(F.broadcast(border) if groups <= SMALL else border, "gid", "left")
     taken = whole.where(F.col("known").isNull() | (F.col("value") > F.col("known")) | ((F.col("value") == F.col("known")) & (short <= F.col("head"))))
-    return taken.select("gid", F.col("term").cast("string").alias("term"), "value")
+    return taken.select("gid", F.left("term", F.length("term") - 1).cast("string").alias("term"), "value")
 
 
 def audit(docs: DataFrame, least: int = 30, add: int = 5, scale: int = 10**9, top: int = 50) -> DataFrame:

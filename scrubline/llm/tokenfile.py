@@ -375,7 +375,9 @@ class IdReader(DataSourceReader):
             base += f["tokens"]
         return out
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         store, path = _open(self.folder)
         with store.open_input_file(f"{path}/{partition.name}") as file:
             own = Seekable(file)
