@@ -150,3 +150,12 @@ def uniqueness_conflicts(people: DataFrame, fields: list[str], group: str = "wor
     both = each.select("k", F.col("id").alias("a"), F.col("p").alias("x")).join(each.select("k", F.col("id").alias("b"), F.col("p").alias("y")), "k").where("a < b")
     shared = sum((F.when(F.col("x").getField(f) == F.col("y").getField(f), 1).otherwise(0) for f in fields), F.lit(0))
     return both.where((F.col("x").getField(group) == F.col("y").getField(group)) & (shared >= least)).select("a", "b").distinct()
+
+
+def conflict_groups(people: DataFrame, fields: list[str], group: str = "world_id", key: str = "person_id") -> DataFrame:
+    """The same conflicts without pairs: for each two fields the people of a group who agree in both, each with the first of
+    them and their number. A crowd of people who agree is as many rows as it has people."""
+    named = F.array(*[F.struct(F.lit(f"{x},{y}").alias("fields"), F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")) for i, x in enumerate(fields) for y in fields[i + 1 :]])
+    each = people.select(F.col(key).alias("id"), F.col(group).alias("g"), F.explode(named).alias("f")).select("id", "g", "f.*").where("x is not null and y is not null")
+    crowds = each.groupBy("g", "fields", "x", "y").agg(F.min("id").alias("first"), F.count("*").alias("people")).where("people > 1")
+    return each.join(crowds, ["g", "fields", "x", "y"]).select(F.col("g").alias(group), "fields", "id", "first", "people")

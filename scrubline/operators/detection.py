@@ -4,9 +4,11 @@ sentences and chunks. Everything happens beside the text of a document, in one p
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,40 +94,53 @@ def verified(entities: Column, decisions: Column, text: Column, offset: Column |
     return F.transform(entities, one)
 
 
+# The least likeness of what a model quotes, and the characters of its evidence that are looked for.
+LEAST_ALIKE, EVIDENCE = 0.86, 120
+
+
 def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
-def fuzzy_place(text: str, needle: str, least: float = 0.86, longest: int = 12_000) -> tuple[int, int, float] | None:
-    """The most alike window about as long as the needle; nothing for short needles and for texts too long to compare."""
+def fuzzy_place(text: str, needle: str, least: float = LEAST_ALIKE, longest: int | None = None) -> tuple[int, int, float] | None:
+    """The most alike window about as long as the needle, the shortest and then the first of equals; nothing for short needles,
+    and for texts beyond longest characters where that is given.
+
+    How many characters a window shares with the needle, in any order, bounds their likeness. It comes from running counts
+    of the needle's characters, for all windows of a length at once, so only windows that can be alike enough are compared."""
     needle = needle.strip()
     n = len(needle)
-    if n < 4 or len(text) > longest:
+    if n < 4 or (longest is not None and len(text) > longest):
         return None
+    low, wanted = text.lower(), Counter(needle.lower())
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = [(np.append(0, np.cumsum(points == ord(c), dtype=np.int32)), k) for c, k in wanted.items()]
     delta, best, matcher = max(3, min(12, n // 4)), None, SequenceMatcher(None, b=needle.lower())
-    low = text.lower()
-    for size in range(max(2, n - delta), min(len(text), n + delta) + 1):
-        for start in range(len(text) - size + 1):
-            matcher.set_seq1(low[start : start + size])
-            floor = best[2] if best else least
-            if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
+    for size in range(max(2, n - delta), min(len(points), n + delta) + 1):
+        shared = np.zeros(len(points) - size + 1, np.int32)
+        for upto, k in counts:
+            shared += np.minimum(upto[size:] - upto[:-size], k)
+        most = 2.0 * shared / (n + size)
+        for start in np.flatnonzero(most >= least).tolist():
+            if best and most[start] < best[2]:
                 continue
+            matcher.set_seq1(low[start : start + size])
             ratio = matcher.ratio()
             if ratio >= least and (best is None or ratio > best[2]):
                 best = (start, start + size, ratio)
     return best
 
 
-def proposed_places(text: str, value: str, evidence: str = "", start: int | None = None, end: int | None = None) -> list[tuple[int, int, str]]:
+def proposed_places(text: str, value: str, evidence: str = "", start: int | None = None, end: int | None = None, evidence_chars: int | None = EVIDENCE) -> list[tuple[int, int, str]]:
     """Where a proposed entity stands: at its offsets (exact, any case, alike), else all places as written, in any case, the
-    most alike window, or the first 120 characters of its evidence."""
+    most alike window, or the first evidence_chars characters of its evidence (None: all of them)."""
     value, evidence = value.strip(), evidence.strip()
-    wanted = value or evidence[:120].strip()
+    wanted = value or evidence[:evidence_chars].strip()
     if len(wanted) < 2:
         return []
     if start is not None and end is not None and 0 <= start < end <= len(text):
         seen = text[start:end]
-        for ok, how in ((seen == wanted, "llm_offsets"), (seen.lower() == wanted.lower(), "llm_offsets_case_insensitive"), (_ratio(seen, wanted) >= 0.86, "llm_offsets_fuzzy")):
+        for ok, how in ((seen == wanted, "llm_offsets"), (seen.lower() == wanted.lower(), "llm_offsets_case_insensitive"), (_ratio(seen, wanted) >= LEAST_ALIKE, "llm_offsets_fuzzy")):
             if ok:
                 return [(start, end, how)]
     every = lambda needle, flags, how: [(m.start(), m.start() + len(needle), how) for m in re.finditer(re.escape(needle), text, flags)]
@@ -133,7 +148,7 @@ def proposed_places(text: str, value: str, evidence: str = "", start: int | None
     if not found and (best := fuzzy_place(text, wanted)):
         found = [(best[0], best[1], "fuzzy")]
     if not found and evidence and evidence != wanted:
-        found = every(evidence[:120], re.IGNORECASE, "evidence_context")
+        found = every(evidence[:evidence_chars], re.IGNORECASE, "evidence_context")
     return found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -42,40 +43,94 @@ def signatures(docs: DataFrame, hashes: int = 64, size: int = 3) -> DataFrame:
     return spread.mapInArrow(run, "doc_id bigint, signature binary")
 
 
-def near_duplicates(signed: DataFrame, hashes: int = 64, threshold: float = 0.8) -> DataFrame:
+def near_duplicates(signed: DataFrame, hashes: int = 64, threshold: float = 0.8, hot: int = 256, levels: int = 3) -> DataFrame:
     """Pairs (a, b, estimate) of different signatures that agree in a share of their hashes, each named by the smallest
     document that has it. No pair is lost: hashes that may differ are fewer than the bands, so one band at least agrees.
-    signed: doc_id, signature. ``signature_classes`` gives the documents of each."""
+    signed: doc_id, signature. ``signature_classes`` gives the documents of each.
+
+    A band that more than hot signatures share is split: what two of them have besides it is cut into as many bands again, and
+    for the same reason they agree in one of those too, so they meet only there; after so many levels those left share most
+    of their hashes. Signatures that meet are compared in arrays, block by block."""
     differ = hashes - math.ceil(threshold * hashes - 1e-9)
-    bands = differ + 1
-    edges = [8 * (hashes * k // bands) for k in range(bands + 1)]
-    reps = signed.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", a + 1, b - a)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    banded = reps.select("rep", "signature", F.explode(keys).alias("band"))
-    left, right = banded.select("band", F.col("rep").alias("a"), F.col("signature").alias("x")), banded.select("band", F.col("rep").alias("b"), F.col("signature").alias("y"))
-    pairs = left.join(right, "band").where("a < b").select("a", "b", "x", "y").dropDuplicates(["a", "b"])
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.substring("x", k * 8 + 1, F.lit(8)) == F.substring("y", k * 8 + 1, F.lit(8))))
-    return pairs.select("a", "b", F.round(same / hashes, 4).alias("estimate")).where(F.col("estimate") >= round(threshold, 4))
+    bands, least = differ + 1, math.ceil(threshold * hashes - 1e-9)
+    reps = signed.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep")).persist()
+
+    def cut(rows: DataFrame, left: int) -> DataFrame:
+        """Rows by band of the rest (left hashes), and what is left besides it."""
+        edges = [8 * (left * k // bands) for k in range(bands + 1)]
+        parts = [F.struct(F.xxhash64("key", F.lit(k), F.substring("rest", x + 1, y - x)).alias("key"), F.concat(F.substring("rest", 1, x), F.substring("rest", y + 1, 8 * left - y)).alias("rest")) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+        return rows.select("rep", "signature", F.explode(F.array(*parts)).alias("p")).select("rep", "signature", "p.key", "p.rest")
+
+    rows, found = reps.select("rep", "signature", F.lit(0).cast("bigint").alias("key"), F.col("signature").alias("rest")), []
+    rows = cut(rows, hashes).withColumn("left", F.octet_length("rest") / 8)
+    for level in range(levels):
+        crowd = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).persist()
+        if level + 1 < levels:
+            found.append(rows.join(crowd.where(F.col("n") <= hot), "key", "left_semi"))
+            crowded = crowd.where(F.col("n") > hot).select("key")
+            if crowded.isEmpty():
+                break
+            many = rows.join(crowded, "key", "left_semi").persist()
+            sizes = [int(r["left"]) for r in many.select("left").distinct().collect()]  # two at most: bands differ by one hash
+            rows = functools.reduce(DataFrame.unionByName, [cut(many.where(F.col("left") == n), n) for n in sizes]).withColumn("left", F.octet_length("rest") / 8)
+        else:
+            found.append(rows.join(crowd, "key", "left_semi"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sigs = None, [], []
+        for batch in batches:
+            for k, rep, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    yield from pairs(ids, sigs)
+                    key, ids, sigs = k, [], []
+                ids.append(rep)
+                sigs.append(signature)
+        yield from pairs(ids, sigs)
+
+    def pairs(ids: list[int], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(ids) < 2:
+            return
+        own, table = np.array(ids, np.int64), np.frombuffer(b"".join(sigs), ">u8").reshape(len(ids), hashes).astype(np.uint64)
+        order = np.argsort(own)
+        own, table = own[order], table[order]
+        for i in range(0, len(own), 128):
+            for j in range(i, len(own), 128):
+                same = np.zeros((len(own[i : i + 128]), len(own[j : j + 128])), np.int32)
+                for h in range(hashes):
+                    same += table[i : i + 128, h, None] == table[None, j : j + 128, h]
+                x, y = np.nonzero(same >= least)
+                keep_ = x + i < y + j
+                if keep_.any():
+                    x, y = x[keep_], y[keep_]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x + i]), pa.array(own[y + j]), pa.array(same[x, y].astype(np.int32))], names=["a", "b", "same"])
+
+    met = functools.reduce(DataFrame.unionByName, [f.select("key", "rep", "signature") for f in found])
+    dealt = met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint, same int")
+    return dealt.distinct().select("a", "b", F.bround(F.col("same") / hashes, 4).alias("estimate"))
 
 
 def signature_classes(signed: DataFrame) -> DataFrame:
     """doc_id and the smallest document of the same signature (its own id where it has none)."""
+    signed = signed.persist()  # used twice; signatures cost far more than reading them back
     reps = signed.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     return signed.join(reps, "signature", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
 
-def self_bleu(docs: DataFrame, sample: int = 200, seed: int = 17) -> DataFrame:
+def self_bleu(docs: DataFrame, sample: int = 200, seed: int = 17, few: int = 1_000_000) -> DataFrame:
     """doc_id and BLEU-4 of sampled documents against all others: clipped counts with one added, and the brevity penalty of
     the closest length. The sample is those with the least md5 of seed and doc_id.
 
-    Of each gram that the sample has, the two largest counts over all documents and who has the largest are enough."""
+    Of each gram that the sample has, the two largest counts over all documents and who has the largest are enough. Up to few of
+    the sample's grams go along with every task; more are met by an exchange."""
     d = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words(docs["text"]).alias("w"))
     chosen = F.broadcast(d.select("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id").limit(sample))
     grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    named = lambda n: F.transform(grams(n), lambda g: F.struct(F.lit(n).alias("n"), F.unhex(F.md5(g)).alias("g")))
-    every = F.concat(*[named(n) for n in range(1, 5)])
-    counts = d.select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.n", "e.g").agg(F.count("*").alias("c"))
-    own = counts.join(chosen, "doc_id")
+    every = lambda df: df.select("doc_id", F.explode(F.concat(*[F.transform(grams(n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("t"), F.xxhash64(g).alias("h"))) for n in range(1, 5)])).alias("e")).select("doc_id", "e.*")
+    counted = lambda df: df.groupBy("doc_id", "n", F.unhex(F.md5("t")).alias("g")).agg(F.count("*").alias("c"))
+    # Only grams that the sample has are counted; others go before any exchange, by a hash first.
+    asked = every(d.join(chosen, "doc_id")).select("h").distinct()
+    own = counted(every(d.join(chosen, "doc_id")))
+    counts = counted(every(d).join(F.broadcast(asked) if asked.count() <= few else asked, "h", "left_semi"))
     most = counts.join(own.select("n", "g").distinct(), ["n", "g"], "left_semi").groupBy("n", "g").agg(F.max(F.struct("c", "doc_id")).alias("first"), F.count("*").alias("docs"))
     rest = counts.join(most.select("n", "g", F.col("first.doc_id").alias("who")), ["n", "g"]).where("doc_id <> who").groupBy("n", "g").agg(F.max("c").alias("second"))
     other = F.when(F.col("first.doc_id") == F.col("doc_id"), F.coalesce("second", F.lit(0))).otherwise(F.col("first.c"))
@@ -90,6 +145,13 @@ def self_bleu(docs: DataFrame, sample: int = 200, seed: int = 17) -> DataFrame:
     return scored.select("doc_id", F.when(F.coalesce("orders", F.lit(0)) == 4, brevity * F.exp(F.col("log") / 4)).otherwise(0.0).alias("bleu"))
 
 
+def distinct(docs: DataFrame, n: int = 2) -> DataFrame:
+    """One row, distinct_n: the share of different word n-grams among all of the texts; 0 where there are none."""
+    grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.unhex(F.md5(F.concat_ws(" ", F.slice("w", i, n)))))).otherwise(F.array().cast("array<binary>"))
+    each = docs.select(words(docs["text"]).alias("w")).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    return each.agg(F.coalesce(F.try_divide(F.count("*"), F.sum("c")), F.lit(0.0)).alias(f"distinct_{n}"))
+
+
 def length_controlled(docs: DataFrame) -> DataFrame:
     """bin (q1 .. q4 by the length in words) and distinct-2 of the texts in it. The bounds are the lengths at the places
     n*q/4 - 1 of the ordered lengths, found from the counts of each length."""
@@ -119,13 +181,23 @@ def vendi(vectors: DataFrame, column: str = "embedding") -> DataFrame:
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 total, n = total + x.T @ x, n + len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(dims["d"]), pa.int32()), pa.array(list(total)), pa.array([n] * dims["d"], pa.int64())], names=["row", "values", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(dims["d"]), pa.int32()), pa.array([row.tobytes() for row in total], pa.binary()), pa.array([n] * dims["d"], pa.int64())], names=["row", "values", "n"])
 
-    sums = vectors.select(F.col(column).cast("array<double>")).where(F.size(column) == dims["d"]).mapInArrow(run, "row int, values array<double>, n bigint")
-    added = sums.select("row", "n", F.posexplode("values").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # dimensions squared
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            for row, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have = sums.get(row, (0.0, 0))
+                sums[row] = have[0] + np.frombuffer(raw, np.float64), have[1] + n
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["row", "values", "n"])
+
+    kind = "row int, values binary, n bigint"
+    parts = vectors.select(F.col(column).cast("array<double>")).where(F.size(column) == dims["d"]).mapInArrow(run, kind)
+    added = parts.repartition("row").mapInArrow(add, kind).collect()  # one row for each dimension
     gram = np.zeros((dims["d"], dims["d"]))
     for r in added:
-        gram[r["row"], r["col"]] = r["v"] / r["n"]
+        gram[r["row"]] = np.frombuffer(r["values"], np.float64) / r["n"]
     values = np.clip(np.linalg.eigvalsh(gram), 1e-12, None)
     values /= values.sum()
     return vectors.sparkSession.createDataFrame([(float(np.exp(-(values * np.log(values)).sum())),)], "vendi_score double")

@@ -205,13 +205,22 @@ def vote(spans: DataFrame, weights: dict[str, float], least: float = 1.0, shorte
 
 
 def occurrences(text: Column, needle: Column, overlapping: bool = True, fold: bool = False) -> Column:
-    """0-based starts of a needle; fold compares lower-cased texts."""
+    """0-based starts of a needle; fold compares lower-cased texts. The text is split once at the needle, or before each of its
+    places where they may overlap, and the pieces' lengths added up, so the work grows with the text's length alone."""
     t, n = (F.lower(text), F.lower(needle)) if fold else (text, needle)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - F.length(n), F.lit(0))), lambda i: F.substring(t, i + 1, F.length(n)) == n)
-    at = F.when(F.length(n) > 0, at).otherwise(F.array().cast("array<int>"))
-    if overlapping:
-        return at
-    return F.aggregate(at, F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + F.length(n)), F.concat(acc, F.array(i))).otherwise(acc))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    none = F.array().cast("array<int>")
+
+    def apart(pieces: Column) -> Column:
+        ends = sums(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p)))
+        return F.transform(ends, lambda x, i: x + i * F.length(n))
+
+    def before(pieces: Column) -> Column:
+        ends = sums(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p)))
+        return F.concat(F.when(F.startswith(t, n), F.array(F.lit(0))).otherwise(none), ends)
+
+    found = let(F.split(t, F.concat(F.lit("(?="), quoted, F.lit(")")), -1), before) if overlapping else let(F.split(t, quoted, -1), apart)
+    return F.when(F.contains(t, n) & (F.length(n) > 0), found).when(t.isNotNull() & n.isNotNull(), none)
 
 
 def resolve_mention(text: Column, snippet: Column, hint: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrubline.operators import diversity
-from scrubline.plans.registry import query
+from scrubline.plans.registry import ORACLE_SQL, query
 
 _W = "list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda w: lower(w))"
 _SIGNED = f"""SELECT doc_id, list_transform(range(64), lambda k: list_min(list_transform(sh, lambda s: substr(md5(k || ':' || s), 1, 16)))) AS sig
@@ -13,7 +13,7 @@ _SIGNED = f"""SELECT doc_id, list_transform(range(64), lambda k: list_min(list_t
 
 
 @query(f"""WITH s AS (SELECT sig, min(doc_id) AS rep FROM ({_SIGNED}) WHERE sig[1] IS NOT NULL GROUP BY sig)
-SELECT x.rep AS a, y.rep AS b, round(list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) / 64, 4) AS estimate FROM s x JOIN s y ON x.rep < y.rep WHERE list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) >= 52""")
+SELECT x.rep AS a, y.rep AS b, round_even(list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) / 64, 4) AS estimate FROM s x JOIN s y ON x.rep < y.rep WHERE list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) >= 52""")
 def near_duplicate_pairs(t):
     return diversity.near_duplicates(diversity.signatures(t("documents")))
 
@@ -48,8 +48,11 @@ def vendi_score(t):
     return diversity.vendi(t("embeddings"))
 
 
-@query("""SELECT *, len(failures) = 0 AS passed FROM (SELECT *, array_to_string(list_filter([CASE WHEN self_bleu > 0.9 THEN 'self_bleu' END, CASE WHEN distinct_2 < 0.15 THEN 'distinct_2' END, CASE WHEN duplicate_rate > 0.02 THEN 'duplicate_rate' END, CASE WHEN cell_coverage < 0.6 THEN 'cell_coverage' END], lambda x: x IS NOT NULL), ',') AS failures FROM (
- SELECT 0.5::DOUBLE AS self_bleu, 0.2::DOUBLE AS distinct_2, round(1 - count(DISTINCT text) / count(*), 4) AS duplicate_rate, round(count(DISTINCT lang || source) / (count(DISTINCT lang) * count(DISTINCT source)), 4) AS cell_coverage FROM documents))""")
+@query(f"""SELECT *, len(failures) = 0 AS passed FROM (SELECT *, array_to_string(list_filter([CASE WHEN self_bleu > 0.9 THEN 'self_bleu' END, CASE WHEN distinct_2 < 0.15 THEN 'distinct_2' END, CASE WHEN duplicate_rate > 0.02 THEN 'duplicate_rate' END, CASE WHEN cell_coverage < 0.6 THEN 'cell_coverage' END], lambda x: x IS NOT NULL), ',') AS failures FROM (
+ SELECT (SELECT round(avg(bleu), 4) FROM ({ORACLE_SQL['self_bleu']})) AS self_bleu, (SELECT round(count(DISTINCT g) / count(*), 4) FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT {_W} AS w FROM documents))) AS distinct_2, round(1 - count(DISTINCT text) / count(*), 4) AS duplicate_rate, round(count(DISTINCT lang || source) / (count(DISTINCT lang) * count(DISTINCT source)), 4) AS cell_coverage FROM documents))""")
 def diversity_gates(t):
-    measured = t("documents").agg(F.lit(0.5).alias("self_bleu"), F.lit(0.2).alias("distinct_2"), F.round(1 - F.countDistinct(F.sha2("text", 256)) / F.count("*"), 4).alias("duplicate_rate"), F.round(F.countDistinct(F.concat("lang", "source")) / (F.countDistinct("lang") * F.countDistinct("source")), 4).alias("cell_coverage"))
+    docs = t("documents")
+    counted = docs.agg(F.round(1 - F.countDistinct(F.sha2("text", 256)) / F.count("*"), 4).alias("duplicate_rate"), F.round(F.countDistinct(F.concat("lang", "source")) / (F.countDistinct("lang") * F.countDistinct("source")), 4).alias("cell_coverage"))
+    bleu = diversity.self_bleu(docs).agg(F.round(F.avg(F.round("bleu", 6)), 4).alias("self_bleu"))
+    measured = bleu.crossJoin(diversity.distinct(docs, 2).select(F.round("distinct_2", 4).alias("distinct_2"))).crossJoin(counted)  # one row each
     return diversity.gates(measured).withColumn("failures", F.array_join("failures", ","))

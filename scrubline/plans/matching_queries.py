@@ -89,3 +89,33 @@ def profile_leaks(t):
     masked = F.concat(F.lit("the NURSE "), F.when(k == 0, F.lower("c_name")).when(k == 1, F.concat(F.upper("c_name"), F.lit(" of elfs"))).otherwise(""))
     found = matching.leaks(masked, direct, indirect)
     return t("customer").select("c_custkey", matching.leak_rates(found).alias("r")).select("c_custkey", "r.*")
+
+
+_OPENINGS = r"regexp_extract(text, '^[A-Za-zÀ-ÿ]+ [a-zß-ÿ]+ [a-zß-ÿ]+')"
+
+
+@query(f"""WITH lexicon AS (SELECT DISTINCT {_OPENINGS} AS value FROM documents WHERE {_OPENINGS} <> ''),
+places AS (SELECT doc_id, value, unnest(list_filter(range(0, length(text) - length(value) + 1), lambda i: text[i + 1:i + length(value)] = value)) AS start FROM documents JOIN lexicon ON contains(text, value))
+SELECT doc_id, start::INT AS start, (start + length(value))::INT AS "end", value FROM places""")
+def gazetteer_places(t):
+    """All places of all openings of documents, three words each, in all documents."""
+    from scrubline.operators import gazetteer
+
+    opening = F.regexp_extract("text", "^[A-Za-zÀ-ÿ]+ [a-zß-ÿ]+ [a-zß-ÿ]+", 0)
+    return gazetteer.find(t("documents"), t("documents").select(opening.alias("value")))
+
+
+# Needles that can't overlap themselves: both ways give the same places, which are summed up from the pieces between them.
+_SUM = "list_sum(list_transform(range(1, len({p})), lambda j: length({p}[j]) * (len({p}) - j))) + length(n) * (len({p}) - 1) * (len({p}) - 2) // 2"
+
+
+@query(f"""SELECT doc_id, n AS needle, (len(p) - 1)::BIGINT AS places, coalesce({_SUM.format(p='p')}, 0)::BIGINT AS sum_of_starts, (len(p) - 1)::BIGINT AS apart, coalesce({_SUM.format(p='q')}, 0)::BIGINT AS any_case
+ FROM (SELECT doc_id, n, string_split(text, n) AS p, string_split(lower(text), n) AS q FROM documents, (VALUES ('tion'), ('en'), ('.'), ('é')) v(n))""")
+def needle_places(t):
+    """Overlapping and other places of short needles in all texts."""
+    from scrubline.operators.spans import occurrences
+
+    n, text = F.col("needle"), F.col("text")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    d = t("documents").select("doc_id", "text", F.explode(F.array(*[F.lit(x) for x in ("tion", "en", ".", "é")])).alias("needle")).withColumn("a", occurrences(text, n))
+    return d.select("doc_id", "needle", F.size("a").cast("bigint").alias("places"), total(F.col("a")).alias("sum_of_starts"), F.size(occurrences(text, n, overlapping=False)).cast("bigint").alias("apart"), total(occurrences(text, n, fold=True)).alias("any_case"))

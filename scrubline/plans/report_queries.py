@@ -104,6 +104,14 @@ def uniqueness_conflicts(t):
     return annotation.uniqueness_conflicts(p, ["role", "age", "tenure"])
 
 
+@query("""WITH p AS (SELECT c_custkey AS id, c_nationkey AS world_id, c_mktsegment AS role, (c_custkey % 50)::VARCHAR AS age, (c_acctbal::INT % 20)::VARCHAR AS tenure FROM customer),
+ e AS (SELECT id, world_id, 'role,age' AS fields, role || '|' || age AS v FROM p UNION ALL SELECT id, world_id, 'role,tenure', role || '|' || tenure FROM p UNION ALL SELECT id, world_id, 'age,tenure', age || '|' || tenure FROM p)
+ SELECT world_id, fields, id, min(id) OVER w AS first, count(*) OVER w AS people FROM e WINDOW w AS (PARTITION BY world_id, fields, v) QUALIFY count(*) OVER w > 1""")
+def conflict_groups(t):
+    p = t("customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("world_id"), F.col("c_mktsegment").alias("role"), (F.col("c_custkey") % 50).alias("age"), (F.bround("c_acctbal", 0).cast("int") % 20).alias("tenure"))
+    return annotation.conflict_groups(p, ["role", "age", "tenure"])
+
+
 _ERR = "CASE o_orderkey % 7 WHEN 0 THEN 'Timeout: 300 s' WHEN 1 THEN 'bad' WHEN 2 THEN '' END"
 
 
