@@ -65,7 +65,7 @@ _SHORT[np.frombuffer(b"strvmldSTRVMLD", np.uint8)] = True
 class Chunks:
     """Ids of texts as unsigned 32-bit bytes, by a word-level BPE file of the tokenizers library whose pre-tokens hold no white space."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
@@ -180,7 +180,7 @@ def blobs(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
 
 
-def encoder(path: str, most: int = 600_000) -> Chunks:
+def encoder(path: str, most: int = 300_000) -> Chunks:
     """One for each Python worker."""
     if (path, most) not in _ENCODERS:
         _ENCODERS[path, most] = Chunks(path, most)
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
         own = encoder(path)
         for batch in batches:
             _, offsets = utf8(batch.column(2))
-            for i, j in slices(offsets, 1 << 23):
+            for i, j in slices(offsets, 1 << 22):
                 part = batch.slice(i, j - i)
                 ids, lengths = own.batch(part.column(2), end)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blobs(ids, lengths)], names=["doc_id", "key", "ids"])
