@@ -10,10 +10,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from scrubline.operators.matching import profile_values, value_spans
+
 SPANS = "array<struct<start:int,end:int,label:string>>"
 SPAN_TYPE = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("label", StringType()))
 
@@ -51,6 +54,21 @@ def read_sample(spark: SparkSession, path: str, schema: StructType | str, limit:
     return read_jsonl(spark, path, schema, "DROPMALFORMED").limit(limit)
 
 
+def numbered_lines(spark: SparkSession, path: str, flag: Column | None = None) -> DataFrame:
+    """file, k (from 0 within the file), line, and before: the flag (of line) of the line before, null for a file's first.
+
+    Files are split as Spark likes: lines are numbered within their blocks and the blocks' counts added up, so one large file
+    is many tasks. A line belongs to the block that it begins in, whose start is part of the file's metadata."""
+    flag = F.lit(False) if flag is None else flag
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    own = W.partitionBy("file", "block").orderBy("at")
+    lines = raw.select("*", flag.alias("flag")).withColumns({"k": F.row_number().over(own) - 1, "before": F.lag("flag").over(own)})
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.max_by("flag", "k").alias("last"))  # one row a block
+    order = W.partitionBy("file").orderBy("block")
+    offsets = blocks.select("file", "block", (F.sum("n").over(order) - F.col("n")).alias("upto"), F.lag("last").over(order).alias("last"))
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("upto") + F.col("k")).alias("k"), "line", F.coalesce("before", "last").alias("before"), "block", "at")
+
+
 def _ranges(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
     """All places of a pattern, overlapping ones too."""
     out, at = [], 0
@@ -123,9 +141,8 @@ def load_biographies(spark: SparkSession, path: str, limit: int | None = None) -
 def load_profiles(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """response and personality (a map of attributes): doc_id is personalreddit_<line>; malformed and empty rows are left out.
 
-    Lines are numbered from 0 within the file, so a file is read as one split: this is for benchmark files, not corpora.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line")).where(F.trim("line") != "")
+    Lines are numbered from 0 within the file."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
     df = lines.withColumn("r", F.from_json("line", "response string, personality map<string,string>")).where("r.response <> ''")
     label = F.create_map(*[F.lit(x) for kv in ATTRIBUTE_LABELS.items() for x in kv])
     stated = F.filter(F.map_entries("r.personality"), lambda e: (F.trim(e["value"]) != "") & ~F.lower(F.trim(e["value"])).isin(*NOT_STATED))
@@ -142,34 +159,41 @@ def load_examples(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 
 def load_levelled_profiles(spark: SparkSession, path: str, level: int | None = None, limit: int | None = None) -> DataFrame:
-    """A JSON array of profiles: those of a difficulty, the first limit of them, then without blank texts."""
+    """A JSON array of profiles: those of a difficulty, the first limit of them, then without blank texts. spans are the places
+    of the profile's stated values, direct and indirect, found by the cascade of ``matching``."""
     df = spark.read.schema("id int, difficulty int, scenario string, text string, features array<string>, direct_identifiers map<string,string>, indirect_identifiers map<string,string>").option("multiLine", True).json(path)
     df = df if level is None else df.where(F.col("difficulty") == level)
     df = df if limit is None else df.limit(limit)
-    return df.where(F.trim("text") != "").withColumn("doc_id", F.concat(F.lit("ratbench_"), "id", F.lit("_L"), "difficulty"))
+    found = value_spans(F.col("text"), profile_values(F.col("direct_identifiers"), F.col("indirect_identifiers")))
+    return df.where(F.trim("text") != "").withColumns({"doc_id": F.concat(F.lit("ratbench_"), "id", F.lit("_L"), "difficulty"), "spans": found})
 
 
 def load_columns(spark: SparkSession, path: str, tag_column: int = 3, limit: int | None = None) -> DataFrame:
-    """Token columns with BIO tags; a blank line or -DOCSTART- ends a sentence. Rows: doc_id (number of the sentence), text
-    (tokens joined by a space), spans. A line with too few columns raises. Each file is one split."""
-
-    @F.udtf(returnType=f"doc_id string, text string, spans {SPANS}")
-    class Sentences:
-        def eval(self, whole: str):
-            number, tokens, tags = 0, [], []
-            for line in [*whole.split("\n"), ""]:
-                parts = line.split("\t") if "\t" in line else line.split()
-                if line.strip() and parts[0] != "-DOCSTART-":
-                    if len(parts) <= tag_column:
-                        raise ValueError(f"expected at least {tag_column + 1} columns: {line!r}")
-                    tokens.append(parts[0])
-                    tags.append(parts[tag_column].strip())
-                elif tokens:
-                    yield str(number), " ".join(tokens), islands(tokens, tags)
-                    number, tokens, tags = number + 1, [], []
-
-    out = spark.read.text(path, wholetext=True).lateralJoin(Sentences(F.col("value").outer())).select("doc_id", "text", "spans")
-    return out if limit is None else out.limit(limit)
+    """Token columns with BIO tags; a blank line or -DOCSTART- ends a sentence. Rows: doc_id (number of the sentence in its file),
+    text (tokens joined by a space), spans. A line with too few columns raises.
+
+    A sentence begins at a token's line behind an end; the beginnings of a file's lines are counted block by block and the
+    blocks' counts added up, so one large file is many tasks."""
+    parts = F.when(F.contains("line", F.lit("\t")), F.split("line", "\t")).otherwise(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+"))
+    ends = F.regexp_like("line", F.lit(r"^\s*$")) | (F.get(parts, F.lit(0)) == "-DOCSTART-")
+    lines = numbered_lines(spark, path, ends).withColumn("parts", parts).withColumn("ends", ends)
+    begins = ~F.col("ends") & F.coalesce("before", F.lit(True))
+    own = W.partitionBy("file", "block")
+    counted = lines.withColumn("own", F.sum(begins.cast("int")).over(own.orderBy("k")))
+    blocks = lines.groupBy("file", "block").agg(F.sum(begins.cast("int")).alias("n"))  # one row a block
+    offsets = blocks.select("file", "block", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("upto"))
+    wide = F.when(F.size("parts") > tag_column, F.struct("k", F.col("parts")[0].alias("token"), F.regexp_replace(F.get("parts", F.lit(tag_column)), r"^\s+|\s+$", "").alias("tag")))
+    told = F.coalesce(wide, F.raise_error(F.concat(F.lit(f"expected at least {tag_column + 1} columns: "), "line")).cast("struct<k:bigint,token:string,tag:string>"))
+    tokens = counted.where(~F.col("ends")).join(offsets, ["file", "block"]).select("file", (F.col("upto") + F.col("own") - 1).alias("sentence"), told.alias("t"))
+    rows = tokens.groupBy("file", "sentence").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["token"]), " ")
+    out = rows.select(F.col("sentence").cast("string").alias("doc_id"), text.alias("text"), _islands(F.transform("t", lambda x: x["token"]), F.transform("t", lambda x: x["tag"])).alias("spans"))
+    return out if limit is None else out.orderBy(F.col("doc_id").cast("bigint")).limit(limit)
+
+
+@F.pandas_udf(SPAN_TYPE)
+def _islands(tokens: pd.Series, tags: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b, "label": k} for a, b, k in islands(list(x), list(y))] for x, y in zip(tokens, tags, strict=True)])
 
 
 def islands(tokens: list[str], tags: list[str]) -> list[tuple[int, int, str]]:

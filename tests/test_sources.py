@@ -1,6 +1,7 @@
 """Readers, writers and profiles on small files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,43 @@ def test_jaro_and_minhash(spark):
     assert round(jaro("abcdefgh", "bcadefgh"), 4) == 0.9375  # three characters out of order: one and a half transpositions
     got = [r["s"] for r in spark.createDataFrame([("a b c d",), ("a b",), ("",)], "t string").select(minhash(F.col("t"), 4).alias("s")).collect()]
     assert len(got[0]) == 4 and got[2] == ["1" + "0" * 16] * 4 and got[0] != got[1]
+
+
+@pytest.mark.parametrize("size", ["128m", "200"])
+def test_one_file_in_many_splits(spark, tmp_path, size):
+    """Numbers of lines, sentences across the bounds of splits and empty lines are those of the whole file."""
+    rnd = random.Random(8)
+    lines = []
+    for _ in range(120):
+        lines += ["" if rnd.random() < 0.1 else " "] * rnd.randint(1, 3) + [rnd.choice(["-DOCSTART- -X- O O", ""])] if rnd.random() < 0.5 else [""]
+        lines += [f"{rnd.choice(['Anna', 'é', 'x' * rnd.randint(1, 90)])} NN I-NP {rnd.choice(['O', 'B-PER', 'I-PER', 'I-LOC'])}" for _ in range(rnd.randint(0, 6))]
+    (tmp_path / "c.txt").write_text("\n".join(lines))
+    want, tokens, tags = [], [], []
+    for line in [*lines, ""]:
+        parts = line.split()
+        if parts and parts[0] != "-DOCSTART-":
+            tokens.append(parts[0])
+            tags.append(parts[3])
+        elif tokens:
+            want.append((str(len(want)), " ".join(tokens), loaders.islands(tokens, tags)))
+            tokens, tags = [], []
+    records = [json.dumps({"response": f"I am {k}, a nurse", "personality": {"age": str(k), "occupation": "nurse"}}) if k % 7 else rnd.choice(["", "broken", "{}"]) for k in range(60)]
+    (tmp_path / "p.jsonl").write_text("\n".join(records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert (spark.read.text(str(tmp_path / "c.txt")).rdd.getNumPartitions() > 8) == (size == "200")
+        got = loaders.load_columns(spark, str(tmp_path / "c.txt")).collect()
+        people = loaders.load_profiles(spark, str(tmp_path / "p.jsonl")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["doc_id"], r["text"], [tuple(x) for x in r["spans"]]) for r in got) == sorted(want)
+    assert sorted(r["doc_id"] for r in people) == sorted(f"personalreddit_{k}" for k in range(60) if k % 7)
+
+
+def test_levelled_profiles_have_their_spans(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps([{"id": 1, "difficulty": 2, "scenario": "s", "text": "Anna Lee, a Nurse in Ohio.", "features": [], "direct_identifiers": {"name": "Anna Lee", "email": "none"}, "indirect_identifiers": {"occupation": "nurse", "state of residence": "Ohio"}}]))
+    got = loaders.load_levelled_profiles(spark, str(tmp_path / "r.json")).first()
+    assert [tuple(s) for s in got["spans"]] == [(0, 8, "PERSON"), (12, 17, "DEMOGRAPHIC"), (21, 25, "LOCATION")]
