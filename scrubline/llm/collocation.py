@@ -79,17 +79,23 @@ def count_words(docs: DataFrame, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in by_language(batches, salt):
             n = np.bincount(own.code, minlength=len(own.names))
-            yield pa.RecordBatch.from_arrays([pa.array(i64(own.hash)), pa.array([lang] * len(n)), own.names.cast(pa.string()), pa.array(n)], names=["h", "lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(i64(own.hash)), pa.array([lang] * len(n), pa.string()), own.names.cast(pa.string()), pa.array(n, pa.int64())], names=["h", "lang", "word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([lang]), pa.array([None], pa.string()), pa.array([len(own.code)])], names=["h", "lang", "word", "n"])
 
     return docs.mapInArrow(run, "h bigint, lang string, word string, n bigint")
 
 
+def told_apart(summed: DataFrame, least: int) -> DataFrame:
+    """Of words (h, lang, word, n) the frequent ones and those of a frequent one's hash, with how many have the hash; and rows
+    without a word."""
+    same = Window.partitionBy("h")
+    return summed.withColumns({"most": F.max("n").over(same), "others": F.count("word").over(same)}).where(F.col("word").isNull() | (F.col("most") >= least))
+
+
 def frequent_words(docs: DataFrame, least: int, salt: int) -> tuple[DataFrame, DataFrame]:
     """(h, lang, word, n) of frequent words, also of words that share a hash with one, and (lang, n) of all words together."""
     summed = count_words(docs, salt).repartition("h").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
-    same = Window.partitionBy("h")
-    found = stored(summed.withColumns({"most": F.max("n").over(same), "others": F.count("word").over(same)}).where(F.col("word").isNull() | (F.col("most") >= least)))
+    found = stored(told_apart(summed, least))
     return found.where("word is not null"), found.where("word is null").select("lang", "n")
 
 
