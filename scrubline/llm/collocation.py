@@ -64,12 +64,12 @@ class Words:
 
 
 def by_language(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[tuple[str, Words]]:
-    """lang and text, some 8 MB of one language's texts at a time."""
+    """lang and text, some 4 MB of one language's texts at a time."""
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             data, offsets = utf8(batch.column(1).take(pa.array(np.flatnonzero(langs.indices.to_numpy() == k))))
-            for i, j in slices(offsets, 1 << 23):
+            for i, j in slices(offsets, 1 << 22):
                 yield lang, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lang, salt)
 
 
@@ -262,7 +262,7 @@ def unpack(raw: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return known[code], np.frombuffer(raw, f"<u{deep}", n, 32 + 8 * words_ + wide * longest * n).astype(np.int64)
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, scale: int = 10**6, load: int = 500_000, hot: float = 1e-5, buffer: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, scale: int = 10**6, load: int = 500_000, hot: float = 1e-5, buffer: int = 500_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score. load: pointers that a group of prefixes is meant for; buffer: those that a task
     holds before it sends them."""
     plain = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
