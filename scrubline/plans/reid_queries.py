@@ -78,8 +78,8 @@ def direct_detection(t):
 
 
 def _pairs(t):
-    """The low level of each order's pool, with a text that names some of the target's values."""
-    pool = attack_pairs(t).where(F.col("pair_id").endswith("_low"))
+    """Each order's pools at all levels, with a text that names some of the target's values."""
+    pool = attack_pairs(t)
     known = t("customer").select(F.col("c_custkey").alias("candidate"), F.struct(F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("role"), F.array(F.lit(""), F.lit("zzz")).alias("rare_traits")).alias("who"))
     texts = t("customer").select(F.col("c_custkey").alias("target"), F.concat_ws(" ", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")), F.col("c_mktsegment")).alias("text"))
     return pool.join(known, "candidate").join(texts, "target").select("pair_id", "target", "text", F.col("candidate").alias("candidate_id"), F.col("who").alias("candidate"))
@@ -87,7 +87,7 @@ def _pairs(t):
 
 _WEIGHTS = {"full_name": 8.0, "role": 3.0, "rare_traits": 4.0}
 _ATTACK = f"""WITH c AS (SELECT a.pair_id, a.target, a.candidate, CASE WHEN a.target % 3 = 0 AND contains(y.c_name || ' ' || y.c_mktsegment, x.c_name) THEN 8.0 ELSE 0.0 END + CASE WHEN x.c_mktsegment = y.c_mktsegment THEN 3.0 ELSE 0.0 END AS score
-  FROM ({ORACLE_SQL['attack_pairs']}) a JOIN customer x ON x.c_custkey = a.candidate JOIN customer y ON y.c_custkey = a.target WHERE a.pair_id LIKE '%\\_low' ESCAPE '\\'),
+  FROM ({ORACLE_SQL['attack_pairs']}) a JOIN customer x ON x.c_custkey = a.candidate JOIN customer y ON y.c_custkey = a.target),
  r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, candidate) AS k, sum(score) OVER (PARTITION BY pair_id) AS total, count(*) OVER (PARTITION BY pair_id) AS pool FROM c)"""
 
 
