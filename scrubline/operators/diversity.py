@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scrubline.functions.digests import md5_heads
+
 WORD = r"(?U)\w+"
 
 
@@ -20,27 +21,43 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def signatures(docs: DataFrame, hashes: int = 64, size: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, hashes: int = 64, size: int = 3, own: Callable[[Column], Column] = words, most: int = 65_536) -> DataFrame:
     """doc_id and signature (hashes unsigned 64-bit numbers as one binary, big-endian): of each salt the least of the first
-    eight bytes of md5(salt:shingle) over the shingles of size words; texts without words have null. Each distinct shingle of
-    a batch is digested once."""
+    eight bytes of md5(salt:shingle) over the shingles of size words; texts without words have null. own: the words of a text.
+    Texts go together until they have most shingles; of those each distinct one is digested once, salt after salt."""
+    salts = [f"{k}:".encode() for k in range(hashes)]
+
+    def signed(ids: list[int], sets: list[list[int]], known: dict[str, int]) -> pa.RecordBatch:
+        full = [k for k, s in enumerate(sets) if s]
+        table = np.empty((len(full), hashes), ">u8")
+        if full:
+            members, starts = np.concatenate([np.array(sets[k], np.int64) for k in full]), np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
+            for h, heads in enumerate(md5_heads(salts, [s.encode() for s in known])):
+                table[:, h] = np.minimum.reduceat(heads[members], starts)
+        found: list[bytes | None] = [None] * len(ids)
+        for k, row in zip(full, table, strict=True):
+            found[k] = row.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "signature"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = [f"{k}:".encode() for k in range(hashes)]
+        ids: list[int] = []
+        sets: list[list[int]] = []
+        known: dict[str, int] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                known: dict[str, int] = {}
-                sets = []
-                for own in part.column(1).to_pylist():
-                    shingles = {" ".join(own[k : k + size]) for k in range(len(own) - size + 1)} if len(own) >= size else {" ".join(own)} if own else set()
-                    sets.append(np.array(sorted(known.setdefault(s, len(known)) for s in shingles), np.int64))
-                raw = b"".join(hashlib.md5(salt + s.encode()).digest()[:8] for s in known for salt in salts)
-                table = np.frombuffer(raw, ">u8").reshape(-1, hashes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([table[s].min(axis=0).astype(">u8").tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "signature"])
-
-    spread = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words(docs["text"]).alias("words")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(run, "doc_id bigint, signature binary")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = text.as_py()
+                shingles = set(map(" ".join, zip(*(w[k:] for k in range(size)), strict=False))) if len(w) >= size else {" ".join(w)} if w else set()
+                ids.append(doc_id)
+                sets.append([known.setdefault(s, len(known)) for s in shingles])
+                if len(known) >= most or len(ids) >= most:
+                    yield signed(ids, sets, known)
+                    ids, sets, known = [], [], {}
+        if ids:
+            yield signed(ids, sets, known)
+
+    # Digests cost far more than moving the texts, which may lie in a single row group: they are dealt first.
+    dealt = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("doc_id", own(F.col("text")).alias("words")).mapInArrow(run, "doc_id bigint, signature binary")
 
 
 def near_duplicates(signed: DataFrame, hashes: int = 64, threshold: float = 0.8, hot: int = 256, levels: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions.similarity import jaro_winkler
+from scrubline.operators import diversity
 from scrubline.plans.corpus_queries import _TOKENS, ngrams, tokens
 from scrubline.plans.registry import query
 
@@ -27,9 +28,9 @@ def minhash(text, hashes: int = HASHES, size: int = SIZE):
 FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {SIZE} + 2), lambda i: array_to_string(w[i:i+{SIZE - 1}], ' '))) END AS sh
       FROM (SELECT doc_id, {_TOKENS.replace("lower(text)", "lower(coalesce(text, ''))")} AS w FROM documents))""")
 def minhash_signature(t):
-    # Digests cost far more than moving the texts, so these are spread over all tasks first.
-    docs = t("documents")
-    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", F.array_join(minhash(F.coalesce("text", F.lit(""))), ",").alias("signature"))
+    signed = diversity.signatures(t("documents"), HASHES, SIZE, lambda text: tokens(F.coalesce(text, F.lit(""))))
+    none = ",".join(["1" + "0" * 16] * HASHES)
+    return signed.select("doc_id", F.coalesce(F.regexp_replace(F.lower(F.hex("signature")), "(.{16})(?=.)", "$1,"), F.lit(none)).alias("signature"))
 
 
 _PREFIX = " + ".join(f"CASE WHEN length(a) >= {k} AND length(b) >= {k} AND a[:{k}] = b[:{k}] THEN 1 ELSE 0 END" for k in range(1, 5))

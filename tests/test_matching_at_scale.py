@@ -1,5 +1,6 @@
 """Occurrences, approximate places, lexicons, near duplicates in crowded bands and self-BLEU, against brute force."""
 
+import hashlib
 import random
 import time
 from difflib import SequenceMatcher
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scrubline.functions.digests import md5_heads
 from scrubline.operators import detection, diversity, gazetteer, matching, spans
 
 
@@ -122,6 +124,39 @@ def brute_pairs(rows):
     return out
 
 
+def test_heads_of_md5():
+    rnd = random.Random(2)
+    texts = [bytes(rnd.randrange(1, 256) for _ in range(n)) for n in [*range(60), 64, 119, 120, 500]] + [b"one two three", b""]
+    salts = [b"", b"0:", b"9:", b"10:", b"63:", b"999:", b"10000:"]
+    for salt, heads in zip(salts, md5_heads(salts, texts, block=7), strict=True):
+        assert heads.tolist() == [int.from_bytes(hashlib.md5(salt + t).digest()[:8], "big") for t in texts]
+    assert [len(h) for h in md5_heads(salts, [])] == [0] * len(salts)
+
+
+def test_signatures_cost_less_than_a_digest_each():
+    texts = [f"word{k} of words{k % 977}".encode() for k in range(20_000)]
+    salts = [f"{k}:".encode() for k in range(10, 42)]
+    began = time.process_time()
+    one = [hashlib.md5(salt + t).digest()[:8] for salt in salts[:8] for t in texts]
+    middle = time.process_time()
+    many = [h for h in md5_heads(salts, texts)]
+    assert len(one) == 8 * len(texts) and len(many) == 32 and time.process_time() - middle < 0.7 * 4 * (middle - began)
+
+
+@pytest.mark.parametrize("most", [1, 5, 65_536])
+def test_signatures_in_parts(spark, most):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["à", "b", "longer-word", "x" * 60]) for _ in range(rnd.randint(0, 12))) for _ in range(40)] + [None, "", "?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = diversity.signatures(docs, 12, 3, lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), " "), lambda w: w != ""), most).collect()
+    for r in rows:
+        w = [x for x in (texts[r["doc_id"]] or "").split(" ") if x]
+        shingles = {" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        want = [min(int(hashlib.md5(f"{h}:{s}".encode()).hexdigest()[:16], 16) for s in shingles) for h in range(12)] if shingles else None
+        assert (r["signature"] and np.frombuffer(r["signature"], ">u8").tolist()) == want
+    assert len(rows) == len(texts)
+
+
 @pytest.mark.parametrize("count, shared, hot, levels", [(400, 5, 8, 3), (300, 20, 4, 3), (200, 5, 8, 1)])
 def test_near_duplicates_of_crowded_bands(spark, count, shared, hot, levels):
     rows = signature_rows(random.Random(count), count, shared)
