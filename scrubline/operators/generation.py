@@ -127,21 +127,28 @@ def compose(parts: Column, plan: Column, forms: Column) -> Column:
     text is without white space at its ends."""
     told = F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != "")
 
+    def mention(p: Column, snippet: Column, mode: Column, cue: Column) -> Column:
+        return F.struct(p["label"].alias("label"), p["canonical_value"].alias("canonical_value"), snippet.alias("snippet"), mode.alias("difficulty_mode"), cue.alias("cue_type"))
+
     def said(p: Column) -> Column:
-        mode = F.get(F.filter(plan, lambda e: e["label"] == p["label"]), F.lit(0))["mode"]
-        form = F.get(F.filter(forms, lambda f: (f["label"] == p["label"]) & (f["mode"] == mode)), F.lit(0))
-        other = p["label"].isNotNull() & F.coalesce(mode != MODES[0], F.lit(False)) & form["snippet"].isNotNull()
-        pick = lambda a, b: F.when(other, a).otherwise(b)
-        return F.struct(p["label"].alias("label"), p["canonical_value"].alias("canonical_value"), pick(form["snippet"], p["text"]).alias("snippet"), pick(mode, F.lit(MODES[0])).alias("difficulty_mode"), pick(form["cue_type"], F.lit("")).alias("cue_type"))
+        # Plan and forms are searched once, and for mentions only.
+        plain = mention(p, p["text"], F.lit(MODES[0]), F.lit(""))
+        planned = F.get(F.filter(plan, lambda e: e["label"] == p["label"]), F.lit(0))["mode"]
+        form = lambda mode: F.get(F.filter(forms, lambda f: (f["label"] == p["label"]) & (f["mode"] == mode)), F.lit(0))
+        told_as = lambda mode: let(form(mode), lambda f: F.when(f["snippet"].isNotNull(), mention(p, f["snippet"], mode, f["cue_type"])).otherwise(plain))
+        return F.when(p["label"].isNull(), plain).otherwise(let(planned, lambda mode: F.when(mode != MODES[0], told_as(mode)).otherwise(plain)))
 
     def whole(all_: Column) -> Column:
         raw = F.array_join(F.transform(all_, lambda x: x["snippet"]), "")
         number = lambda m: F.transform(m, lambda x, i: F.struct(x["label"].alias("label"), x["canonical_value"].alias("canonical_value"), x["snippet"].alias("snippet"), F.size(F.filter(F.slice(m, 1, i + 1), lambda y: y["snippet"] == x["snippet"])).alias("occurrence_hint"), x["difficulty_mode"].alias("difficulty_mode"), x["cue_type"].alias("cue_type")))
 
         def placed(t: Column) -> Column:
-            text = F.regexp_replace(t, r"^\s+|\s+$", "")
-            cut = F.length(t) - F.length(F.regexp_replace(t, r"^\s+", ""))
-            inside = lambda at: F.least(F.greatest(at - cut, F.lit(0)), F.length(text))
+            # What a place needs of the text is found once, not for each place.
+            return let(F.regexp_replace(t, r"^\s+", ""), lambda left: let(F.struct(F.regexp_replace(left, r"\s+$", "").alias("text"), (F.length(t) - F.length(left)).alias("cut")), lambda x: let(x.withField("most", F.length(x["text"])), spanned)))
+
+        def spanned(found: Column) -> Column:
+            text = found["text"]
+            inside = lambda at: F.least(F.greatest(at - found["cut"], F.lit(0)), found["most"])
             ends = F.zip_with(all_, sums(F.transform(all_, lambda x: F.length(x["snippet"]))), lambda x, end: F.struct(inside(end - F.length(x["snippet"])).alias("start"), inside(end).alias("end"), x["label"].alias("label")))
             return F.struct(text.alias("text"), let(F.filter(all_, lambda x: x["label"].isNotNull()), number).alias("grounding"), F.filter(ends, lambda x: x["label"].isNotNull()).alias("spans"))
 

@@ -97,7 +97,9 @@ def expand(scenarios: DataFrame, grammar: DataFrame, flags: Column, values: Colu
         return F.struct(F.coalesce(p["text"], value).alias("text"), p["label"].alias("label"), F.when(p["label"].isNotNull(), value).alias("canonical_value"))
 
     def chosen(slot: Column) -> Column:
-        fits = F.filter(slot["options"], lambda o: (F.size(F.array_except(o["needs"], flags)) == 0) & ~F.arrays_overlap(o["unless"], flags))
+        # Few flags are asked of each phrase: looking these up costs far less than a set of all flags for each.
+        met = lambda f: F.array_contains(flags, f)
+        fits = F.filter(slot["options"], lambda o: F.forall(o["needs"], met) & ~F.exists(o["unless"], met))
         return let(fits, lambda ok: F.when(F.size(ok) > 0, F.transform(F.get(ok, ((seed + slot["add"]) % F.size(ok)).cast("int"))["parts"], said)).otherwise(none))
 
     joined = scenarios.join(F.broadcast(own), "domain", "left")
@@ -112,7 +114,7 @@ def documents(scenarios: DataFrame, grammar: DataFrame, values: Column, forms: C
     seed = code_sum(F.concat_ws("|", "scenario_id", "recipient_role", "goal", "urgency", "noise_level"))
     # Direct identifiers are said only where the scenario plans them.
     direct = F.transform(F.filter("mention_plan", lambda m: m["label"].isNotNull()), lambda m: m["label"])
-    told = F.map_filter(known, lambda k, _: ~k.isin("PERSON_NAME", "EMAIL", "PHONE", "USERNAME", "ACCOUNT_ID") | F.array_contains(direct, k))
+    told = let(direct, lambda d: F.map_filter(known, lambda k, _: ~k.isin("PERSON_NAME", "EMAIL", "PHONE", "USERNAME", "ACCOUNT_ID") | F.array_contains(d, k)))
     rows = scenarios.withColumns({"_values": told, "_seed": seed, "_forms": forms})
     rows = rows.withColumn("_flags", flags_of(fields, F.col("mention_plan"), F.col("_values"), F.col("include_direct"), F.col("include_sensitive")))
     rows = expand(rows, grammar, F.col("_flags"), F.col("_values"), F.col("_seed"), "_parts")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 from bisect import bisect_right
 from itertools import accumulate, combinations
 
@@ -119,3 +120,18 @@ def test_documents_of_the_library(spark):
         assert ("Bien à vous" in d["text"] or "Cordialement" in d["text"] or "distinguées" in d["text"]) == (d["address_form"] == "vous")
     with pytest.raises(ValueError, match="phrases"):
         templates.expand(scenarios, templates.library(spark).crossJoin(spark.range(1000)), F.array(), values, F.lit(1))
+
+
+def test_long_texts_are_composed_in_linear_time(spark):
+    def took(size):
+        part = lambda text, label: F.struct(text.alias("text"), F.lit(label).cast("string").alias("label"), text.alias("canonical_value"))
+        rows = spark.range(2).coalesce(1).select(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.array(part(F.concat(F.lit("  word "), k.cast("string")), None), part(F.when(k % 50 == 0, " x "), "X")))).alias("parts"))
+        plan, forms = F.array(F.struct(F.lit("X").alias("label"), F.lit("implicit").alias("mode"))), F.array(F.struct(F.lit("X").alias("label"), F.lit("implicit").alias("mode"), F.lit("the y ").alias("snippet"), F.lit("cue").alias("cue_type")))
+        began = time.time()
+        for r in rows.select(generation.compose(F.col("parts"), plan, forms).alias("d")).collect():
+            assert len(r["d"]["spans"]) == size // 50 and all(r["d"]["text"][s["start"] : s["end"]] in ("the y ", "the y") for s in r["d"]["spans"])
+            assert [(g["snippet"], g["difficulty_mode"], g["cue_type"], g["occurrence_hint"]) for g in r["d"]["grounding"]] == [("the y ", "implicit", "cue", k + 1) for k in range(size // 50)]
+        return time.time() - began
+
+    took(50)
+    assert took(2000) < 10
