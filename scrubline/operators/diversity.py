@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions.digests import md5_heads
+from scrubline.functions.grams import counted_grams, distinct_grams, largest_counts
 
 WORD = r"(?U)\w+"
 
@@ -135,27 +136,35 @@ def signature_classes(signed: DataFrame) -> DataFrame:
 
 def self_bleu(docs: DataFrame, sample: int = 200, seed: int = 17, few: int = 1_000_000) -> DataFrame:
     """doc_id and BLEU-4 of sampled documents against all others: clipped counts with one added, and the brevity penalty of
-    the closest length. The sample is those with the least md5 of seed and doc_id.
+    the closest length. The sample is those with the least md5 of seed and doc_id; a doc_id is one document's.
 
     Of each gram that the sample has, the two largest counts over all documents and who has the largest are enough. Up to few of
-    the sample's grams go along with every task; more are met by an exchange."""
-    d = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), words(docs["text"]).alias("w"))
-    chosen = F.broadcast(d.select("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id").limit(sample))
-    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    every = lambda df: df.select("doc_id", F.explode(F.concat(*[F.transform(grams(n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("t"), F.xxhash64(g).alias("h"))) for n in range(1, 5)])).alias("e")).select("doc_id", "e.*")
-    counted = lambda df: df.groupBy("doc_id", "n", F.unhex(F.md5("t")).alias("g")).agg(F.count("*").alias("c"))
-    # Only grams that the sample has are counted; others go before any exchange, by a hash first.
-    asked = every(d.join(chosen, "doc_id")).select("h").distinct()
-    own = counted(every(d.join(chosen, "doc_id")))
-    counts = counted(every(d).join(F.broadcast(asked) if asked.count() <= few else asked, "h", "left_semi"))
-    most = counts.join(own.select("n", "g").distinct(), ["n", "g"], "left_semi").groupBy("n", "g").agg(F.max(F.struct("c", "doc_id")).alias("first"), F.count("*").alias("docs"))
-    rest = counts.join(most.select("n", "g", F.col("first.doc_id").alias("who")), ["n", "g"]).where("doc_id <> who").groupBy("n", "g").agg(F.max("c").alias("second"))
-    other = F.when(F.col("first.doc_id") == F.col("doc_id"), F.coalesce("second", F.lit(0))).otherwise(F.col("first.c"))
-    hits = own.join(most, ["n", "g"]).join(rest, ["n", "g"], "left").groupBy("doc_id", "n").agg(F.sum(F.least("c", other)).alias("hit"), F.sum("c").alias("total"))
+    the sample's grams go along with every task, which then hands on a row for each; more are met by an exchange."""
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
+    chosen = texts.select("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id").limit(sample)
+    worded = lambda df: df.select("doc_id", words(F.col("text")).alias("w"))
+    mine = worded(texts.join(F.broadcast(chosen), "doc_id")).persist()  # a row for each of the sample
+    d, own = worded(texts), counted_grams(mine).persist()
+    keys = own.select("n", "a", "b").distinct().persist()
+    one = keys.count() <= few
+    asked = [np.empty((0, 2), np.uint64)] * 4
+    if one:
+        table = keys.toArrow()  # few at most
+        of, both = table["n"].to_numpy(), np.stack([table[c].to_numpy().view(np.uint64) for c in "ab"], axis=1)
+        asked = [both[of == n][np.lexsort((both[of == n][:, 1], both[of == n][:, 0]))] for n in range(1, 5)]
+    parts = largest_counts(d, asked).persist()
+    met = parts.where("n > 0").groupBy("n", "a", "b").agg(F.max(F.struct("first", "who")).alias("first"), F.sort_array(F.flatten(F.collect_list(F.array("first", "second"))), False)[1].alias("second"))  # two counts a task
+    if not one:
+        counts = counted_grams(d).join(keys, ["n", "a", "b"], "left_semi")
+        most = counts.groupBy("n", "a", "b").agg(F.max(F.struct(F.col("c").alias("first"), F.col("doc_id").alias("who"))).alias("first"))
+        rest = counts.join(most, ["n", "a", "b"]).where("doc_id <> first.who").groupBy("n", "a", "b").agg(F.max("c").alias("second"))
+        met = most.join(rest, ["n", "a", "b"], "left")
+    other = F.when(F.col("first.who") == F.col("doc_id"), F.coalesce("second", F.lit(0))).otherwise(F.col("first.first"))
+    hits = own.join(met, ["n", "a", "b"]).groupBy("doc_id", "n").agg(F.sum(F.least("c", other)).alias("hit"), F.sum("c").alias("total"))
     precision = hits.groupBy("doc_id").agg(F.sum(F.ln((F.col("hit") + 1) / (F.col("total") + 1))).alias("log"), F.count("*").alias("orders"))
     # Lengths of the others, by how many have them.
-    lengths = d.groupBy(F.size("w").alias("len")).agg(F.count("*").alias("many"))
-    near = d.select("doc_id", F.size("w").alias("own")).join(chosen, "doc_id").join(lengths).where((F.col("len") != F.col("own")) | (F.col("many") > 1))
+    lengths = parts.where("n = 0").groupBy(F.col("a").alias("len")).agg(F.sum("first").alias("many"))
+    near = mine.select("doc_id", F.size("w").alias("own")).join(lengths).where((F.col("len") != F.col("own")) | (F.col("many") > 1))
     closest = near.groupBy("doc_id", "own").agg(F.min(F.struct(F.abs(F.col("len") - F.col("own")).alias("far"), "len"))["len"].alias("ref"))
     brevity = F.when(F.col("own") > F.col("ref"), 1.0).otherwise(F.exp(1 - F.col("ref") / F.greatest("own", F.lit(1))))
     scored = closest.join(precision, "doc_id", "left")
@@ -164,9 +173,8 @@ def self_bleu(docs: DataFrame, sample: int = 200, seed: int = 17, few: int = 1_0
 
 def distinct(docs: DataFrame, n: int = 2) -> DataFrame:
     """One row, distinct_n: the share of different word n-grams among all of the texts; 0 where there are none."""
-    grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.unhex(F.md5(F.concat_ws(" ", F.slice("w", i, n)))))).otherwise(F.array().cast("array<binary>"))
-    each = docs.select(words(docs["text"]).alias("w")).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
-    return each.agg(F.coalesce(F.try_divide(F.count("*"), F.sum("c")), F.lit(0.0)).alias(f"distinct_{n}"))
+    counted = distinct_grams(docs.select(F.lit(0).alias("group"), words(docs["text"]).alias("w")), n)
+    return counted.agg(F.coalesce(F.try_divide(F.sum("uniques"), F.sum("total")), F.lit(0.0)).alias(f"distinct_{n}"))
 
 
 def length_controlled(docs: DataFrame) -> DataFrame:
@@ -177,10 +185,8 @@ def length_controlled(docs: DataFrame) -> DataFrame:
     upto = counts.select("n", F.sum("c").over(W.orderBy("n")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("all"))  # one row a length
     bound = lambda q: F.min(F.when(F.col("upto") > F.greatest(F.lit(0), F.floor(F.col("all") * q / 4) - 1), F.col("n"))).alias(f"b{q}")
     bounds = upto.agg(*[bound(q) for q in (1, 2, 3)])
-    binned = d.crossJoin(F.broadcast(bounds)).select("w", F.when(F.col("n") <= F.col("b1"), "q1").when(F.col("n") <= F.col("b2"), "q2").when(F.col("n") <= F.col("b3"), "q3").otherwise("q4").alias("bin"))  # one row of bounds
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.unhex(F.md5(F.concat_ws(" ", F.slice("w", i, 2)))))).otherwise(F.array().cast("array<binary>"))
-    each = binned.select("bin", F.explode_outer(pairs).alias("g")).groupBy("bin", "g").agg(F.count("g").alias("c"))
-    return each.groupBy("bin").agg(F.coalesce(F.try_divide(F.count("g"), F.sum("c")), F.lit(0.0)).alias("distinct_2"))
+    binned = d.crossJoin(F.broadcast(bounds)).select(F.when(F.col("n") <= F.col("b1"), 1).when(F.col("n") <= F.col("b2"), 2).when(F.col("n") <= F.col("b3"), 3).otherwise(4).alias("group"), "w")  # one row of bounds
+    return distinct_grams(binned, 2).select(F.concat(F.lit("q"), F.col("group").cast("string")).alias("bin"), F.coalesce(F.try_divide("uniques", "total"), F.lit(0.0)).alias("distinct_2"))
 
 
 def vendi(vectors: DataFrame, column: str = "embedding") -> DataFrame:

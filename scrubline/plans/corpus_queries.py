@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scrubline.functions.grams import distinct_grams
 from scrubline.plans.registry import query
 
 _TOKENS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
@@ -24,7 +25,7 @@ def ngrams(words, n):
 
 for _n in (1, 2, 3):
     query(f"""SELECT {_n} AS n, count(*) AS total, count(DISTINCT g) AS uniques, round(count(DISTINCT g) / count(*), 4) AS ratio FROM (SELECT unnest(list_transform(range(1, len(t) - {_n} + 2), lambda i: array_to_string(t[i:i+{_n - 1}], ' '))) AS g FROM (SELECT {_TOKENS} AS t FROM documents))""", f"distinct_{_n}")(
-        lambda t, n=_n: t("documents").select(F.explode(ngrams(tokens(F.col("text")), n)).alias("g")).select(F.unhex(F.md5("g")).alias("g")).groupBy("g").agg(F.count("*").alias("c")).agg(F.lit(n).alias("n"), F.sum("c").alias("total"), F.count("*").alias("uniques")).withColumn("ratio", F.round(F.col("uniques") / F.col("total"), 4))
+        lambda t, n=_n: distinct_grams(t("documents").select(F.lit(0).alias("group"), tokens(F.col("text")).alias("w")), n).agg(F.lit(n).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("uniques"), F.lit(0)).alias("uniques")).withColumn("ratio", F.round(F.try_divide("uniques", "total"), 4))
     )
 
 

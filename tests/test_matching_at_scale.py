@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scrubline.functions import grams as grams_
 from scrubline.functions.digests import md5_heads
 from scrubline.operators import detection, diversity, gazetteer, matching, spans
 
@@ -181,6 +182,43 @@ def test_self_bleu_by_both_ways(spark):
     assert score(10**6) == score(0) and len(score(0)) == 20
 
 
+@pytest.mark.parametrize("most", [1, 50, 1_000_000])
+def test_distinct_grams_by_group(spark, most):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(3), [rnd.choice(["a", "b", "é c", ""]) for _ in range(rnd.randint(0, 6))]) for _ in range(300)] + [(7, []), (8, None), (9, ["a"])]
+    df = spark.createDataFrame(rows, "group int, w array<string>").repartition(3)
+    for n in (1, 2, 3):
+        grams = {g: [tuple(w[k : k + n]) for h, w in rows if h == g and w for k in range(len(w) - n + 1)] for g, _ in rows}
+        assert {r["group"]: (r["total"], r["uniques"]) for r in grams_.distinct_grams(df, n, most).collect()} == {g: (len(x), len(set(x))) for g, x in grams.items()}
+
+
+def test_distinct_grams_move_few_bytes(spark):
+    df = spark.range(40).selectExpr("0 AS group", "transform(sequence(1, 3000), k -> cast(k % 97 * (id + 1) AS string)) AS w").repartition(4)
+    got = grams_.distinct_grams(df, 3)
+    assert got.first()["total"] == 40 * 2998
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower() and "md5" not in plan.lower()  # keys go packed, not a row for each gram
+
+
+def test_largest_counts(spark):
+    rnd = random.Random(9)
+    docs = [(k, [rnd.choice("abc") for _ in range(rnd.randint(0, 9))]) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, w array<string>").repartition(4)
+    rows = grams_.counted_grams(df).collect()
+    asked = [np.array(sorted({(r["a"] % 2**64, r["b"] % 2**64) for r in rows if r["n"] == n and r["doc_id"] < 9}), np.uint64).reshape(-1, 2) for n in range(1, 5)]
+    got: dict[tuple, list[tuple[int, int]]] = {}
+    for r in grams_.largest_counts(df, asked).where("n > 0").collect():
+        got.setdefault((r["n"], r["a"], r["b"]), []).extend([(r["first"], r["who"]), (r["second"], -1)])
+    want: dict[tuple, list[tuple[int, int]]] = {}
+    for r in rows:
+        want.setdefault((r["n"], r["a"], r["b"]), []).append((r["c"], r["doc_id"]))
+    of = {r["doc_id"] for r in rows}
+    assert len(of) and len(got) == sum(map(len, asked))
+    for key, pairs in got.items():
+        counts = sorted((c for c, _ in want[key]), reverse=True) + [0]
+        assert sorted((c for c, _ in pairs), reverse=True)[:2] == counts[:2] and max(pairs)[:2] in want[key]
+
+
 def test_vendi_equals_the_whole_matrix(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 7))
