@@ -69,7 +69,9 @@ def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, lim
     after = neighbours(people, group, seed, max(limits.values()) - 1, in_arc)
     size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("difficulty")), F.lit(limits["medium"]))
     levels = F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level")
-    every = targets.join(after, "person_id").select("doc_id", "person_id", "difficulty", size.alias("size"), "following", "before", levels)
+    # A target becomes up to 90 rows: targets are dealt to a fixed number of tasks, which adaptive execution leaves as they are.
+    known = targets.join(after, "person_id").repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = known.select("doc_id", "person_id", "difficulty", size.alias("size"), "following", "before", levels)
     # At the ring's end a pool goes on with those just before the target.
     others = F.array_distinct(F.concat("following", F.reverse("before")))
     chosen = F.concat(F.array("person_id"), F.slice(others, 1, F.col("size") - 1))
