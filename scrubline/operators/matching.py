@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from scrubline.functions.arrays import let
 from scrubline.functions.dates import MONTHS
 
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("label", StringType()))
@@ -44,12 +45,24 @@ def name_places(text: str, name: str, gap: int = 80) -> Ranges:
     return [m.span() for m in re.finditer(rf"{first}.{{0,{gap}}}?{last}", text, re.IGNORECASE)]
 
 
+_DIGITS = re.compile(r"\d(?:[\s\-]?\d)*")
+
+
 def number_places(text: str, value: str, least: int = 6) -> Ranges:
     """The digits of a value with one space or dash, or none, between them."""
     digits = re.sub(r"\D", "", value)
     if len(digits) < least or digits not in re.sub(r"[\s\-]", "", text):
         return []
-    return [m.span() for m in re.finditer(r"[\s\-]?".join(digits), text)]
+    # Runs of digits with such a sign or none between them, by one pattern for all values: places of the digits are looked up in them.
+    out = []
+    for run in _DIGITS.finditer(text):
+        at = [run.start() + k for k, c in enumerate(run[0]) if c.isdecimal()]
+        plain = "".join(text[k] for k in at)
+        found = plain.find(digits)
+        while found >= 0:
+            out.append((at[found], at[found + len(digits) - 1] + 1))
+            found = plain.find(digits, found + len(digits))
+    return out
 
 
 _NAMES = "|".join(MONTHS)
@@ -136,11 +149,11 @@ def repaired(text: Column, notes: Column) -> Column:
     def one(a: Column) -> Column:
         given = a["text"].isNotNull() & (a["text"] != "")
         holds = (a["start"] >= 0) & (a["start"] <= a["end"]) & (a["end"] <= F.length(text)) & (F.substring(text, a["start"] + 1, a["end"] - a["start"]) == a["text"])
-        exact = occurrences(text, a["text"])
-        found = F.when(F.size(exact) > 0, exact).otherwise(occurrences(text, a["text"], fold=True))
-        near = F.array_min(F.transform(found, lambda s: F.struct(F.abs(s - a["start"]).alias("far"), s.alias("s"))))["s"]
-        start = F.when(given & ~F.coalesce(holds, F.lit(False)) & (F.size(found) > 0), F.when(a["start"].isNull(), found[0]).otherwise(near))
-        return F.struct(F.coalesce(start, a["start"]).alias("start"), F.coalesce(start + F.length(a["text"]), a["end"]).alias("end"), F.coalesce(a["type"], F.lit("SENSITIVE")).alias("label"))
+        nearest = lambda found: F.when(F.size(found) > 0, F.when(a["start"].isNull(), F.get(found, F.lit(0))).otherwise(F.array_min(F.transform(found, lambda s: F.struct(F.abs(s - a["start"]).alias("far"), s.alias("s"))))["s"]))
+        # Places are searched once, and in any case only where there is no exact one.
+        searched = let(occurrences(text, a["text"]), lambda exact: F.when(F.size(exact) > 0, nearest(exact)).otherwise(let(occurrences(text, a["text"], fold=True), nearest)))
+        moved = F.when(given & ~F.coalesce(holds, F.lit(False)), searched)
+        return let(moved, lambda start: F.struct(F.coalesce(start, a["start"]).alias("start"), F.coalesce(start + F.length(a["text"]), a["end"]).alias("end"), F.coalesce(a["type"], F.lit("SENSITIVE")).alias("label")))
 
     ok = lambda s: F.coalesce((s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)), F.lit(False))
     return F.array_sort(F.array_distinct(F.filter(F.transform(notes, one), ok)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubline.operators import generation as G
 from scrubline.plans.generator_queries import choose_sql, draw_sql
-from scrubline.plans.registry import query
+from scrubline.plans.registry import query, spread
 
 EACH = 10  # scenarios for each author
 
@@ -77,7 +77,7 @@ def _composed(t):
     plan = F.array(F.struct(F.lit("PERSON_NAME").alias("label"), F.lit("explicit_hard").alias("mode")), F.struct(F.lit("TEAM").alias("label"), F.lit("implicit").alias("mode")))
     form = F.struct(F.lit("PERSON_NAME").alias("label"), F.lit("explicit_hard").alias("mode"), F.concat(F.lit("client n°"), F.col("c_custkey").cast("string")).alias("snippet"), F.lit("").alias("cue_type"))
     forms = F.filter(F.array(form), lambda f: F.col("c_nationkey") % 2 == 0)
-    return t("customer").withColumn("d", G.compose(parts, plan, forms))
+    return spread(t("customer")).withColumn("d", G.compose(parts, plan, forms))
 
 
 _SHOWN = "CASE WHEN c_nationkey % 2 = 0 THEN 'client n°' || c_custkey ELSE c_name END"

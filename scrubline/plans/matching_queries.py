@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.dates import birth_date
 from scrubline.operators import matching
-from scrubline.plans.registry import query
+from scrubline.plans.registry import query, spread
 
 _DAY, _MONTH_DAY, _FIGURES = "strftime(o_orderdate, '%-d %B %Y')", "strftime(o_orderdate, '%B %-d, %Y')", "strftime(o_orderdate, '%m/%d/%Y')"
 _FORM = f"CASE o_orderkey % 4 WHEN 0 THEN {_MONTH_DAY} WHEN 1 THEN {_DAY} WHEN 2 THEN {_FIGURES} ELSE 'never' END"
@@ -17,7 +17,7 @@ def dated(t):
     form = lambda f: F.date_format("o_orderdate", f)
     k = F.col("o_orderkey") % 4
     written = F.when(k == 0, form("MMMM d, yyyy")).when(k == 1, form("d MMMM yyyy")).when(k == 2, form("MM/dd/yyyy")).otherwise("never")
-    return t("orders").select("o_orderkey", F.concat(F.lit("Paid on "), written, F.lit(" twice")).alias("text"), form("d MMMM yyyy").alias("value"), written.alias("written"))
+    return spread(t("orders")).select("o_orderkey", F.concat(F.lit("Paid on "), written, F.lit(" twice")).alias("text"), form("d MMMM yyyy").alias("value"), written.alias("written"))
 
 
 def _values(*pairs):
@@ -25,7 +25,8 @@ def _values(*pairs):
 
 
 def _rows(d, key):
-    return d.select(key, F.explode("spans").alias("s")).select(key, "s.*")
+    # An inner explode would first ask for spans that aren't empty, and so find them all once more before rows are dealt.
+    return d.select(key, F.explode_outer("spans").alias("s")).where("s is not null").select(key, "s.*")
 
 
 @query(f"SELECT o_orderkey, 8::INT AS start, (8 + length({_FORM}))::INT AS \"end\", 'DATE' AS label FROM orders WHERE o_orderkey % 4 <> 3")
@@ -44,13 +45,13 @@ def number_matches(t):
     digits = F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
     spaced = F.concat(F.substring(digits, 1, 4), F.lit(" "), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2))
     text = F.concat(F.lit("code "), F.when(F.col("o_orderkey") % 2 == 0, spaced).otherwise(F.concat_ws("  ", F.split(digits, ""))), F.lit(" end"))
-    return _rows(t("orders").select("o_orderkey", matching.number_spans(text, _values(("SSN", digits))).alias("spans")), "o_orderkey")
+    return _rows(spread(t("orders")).select("o_orderkey", matching.number_spans(text, _values(("SSN", digits))).alias("spans")), "o_orderkey")
 
 
 @query("SELECT c_custkey, 5::INT AS start, (5 + 11 + length(c_name))::INT AS \"end\", 'PERSON' AS label FROM customer WHERE c_custkey % 2 = 1")
 def name_matches(t):
     text = F.concat(F.lit("then ANNA "), F.when(F.col("c_custkey") % 2 == 1, "maria").otherwise(F.repeat(F.lit("x"), F.lit(90))), F.lit(" "), F.col("c_name"), F.lit(" left"))
-    return _rows(t("customer").select("c_custkey", matching.name_spans(text, _values(("PERSON", F.concat(F.lit("Anna "), F.col("c_name"))))).alias("spans")), "c_custkey")
+    return _rows(spread(t("customer")).select("c_custkey", matching.name_spans(text, _values(("PERSON", F.concat(F.lit("Anna "), F.col("c_name"))))).alias("spans")), "c_custkey")
 
 
 @query("SELECT p_partkey, 4::INT AS start, (4 + length(p_type))::INT AS \"end\", 'OCCUPATION' AS label FROM part WHERE length(p_type) >= 3 UNION ALL SELECT p_partkey, 4::INT, (4 + length(p_type) + 1)::INT, 'OCCUPATION' FROM part WHERE p_partkey % 2 = 0 AND length(p_type) >= 3 UNION ALL SELECT p_partkey, 4::INT, (4 + length(p_type) - 1)::INT, 'OCCUPATION' FROM part WHERE p_type ILIKE '%e' AND length(p_type) >= 3")
@@ -77,7 +78,7 @@ def offset_repair(t):
     notes = F.array(of(20, 25, "PER", F.col("c_name")), of(None, None, None, F.upper("c_name")), of(0, 2, "X", F.lit(None)), of(5, 3, "Y", F.lit(None)), of(0, 4, "Z", F.lit("id C")), of(1, 99999, "W", F.lit(None)))
     text = F.concat(F.lit("id "), F.col("c_name"), F.lit(" and "), F.col("c_name"))
     fixed = F.filter(matching.repaired(text, notes), lambda s: s["label"] != "Z")
-    return _rows(t("customer").select("c_custkey", fixed.alias("spans")), "c_custkey")
+    return _rows(spread(t("customer")).select("c_custkey", fixed.alias("spans")), "c_custkey")
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 ELSE 0.25 END AS leak_rate, CASE c_custkey % 3 WHEN 2 THEN 0.0 ELSE 0.5 END AS direct_leak_rate,
@@ -88,7 +89,7 @@ def profile_leaks(t):
     indirect = F.create_map(F.lit("occupation"), F.lit("TYPE: X DESCRIPTION: nurse)"), F.lit("race"), F.lit("Elf"), F.lit("sex"), F.lit("M"))
     masked = F.concat(F.lit("the NURSE "), F.when(k == 0, F.lower("c_name")).when(k == 1, F.concat(F.upper("c_name"), F.lit(" of elfs"))).otherwise(""))
     found = matching.leaks(masked, direct, indirect)
-    return t("customer").select("c_custkey", matching.leak_rates(found).alias("r")).select("c_custkey", "r.*")
+    return spread(t("customer")).select("c_custkey", matching.leak_rates(found).alias("r")).select("c_custkey", "r.*")
 
 
 _OPENINGS = r"regexp_extract(text, '^[A-Za-zÀ-ÿ]+ [a-zß-ÿ]+ [a-zß-ÿ]+')"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 from difflib import SequenceMatcher
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from scrubline.functions import grams as grams_
 from scrubline.functions.digests import md5_heads
 from scrubline.operators import detection, diversity, gazetteer, matching, spans
+from scrubline.plans import catalogue
 
 
 def test_occurrences_equal_search(spark):
@@ -228,3 +230,24 @@ def test_vendi_equals_the_whole_matrix(spark):
     values = np.clip(np.linalg.eigvalsh(unit @ unit.T / len(x)), 1e-12, None)
     values /= values.sum()
     assert diversity.vendi(df).first()[0] == pytest.approx(float(np.exp(-(values * np.log(values)).sum())), rel=1e-6)
+
+
+def test_number_places_equal_a_pattern_of_the_value():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rnd.choice("1112 -\n٣x") for _ in range(rnd.randint(0, 40)))
+        value = "".join(rnd.choice("112-٣ ") for _ in range(rnd.randint(0, 6)))
+        digits = re.sub(r"\D", "", value)
+        want = [m.span() for m in re.finditer(r"[\s\-]?".join(digits), text)] if len(digits) >= 2 else []
+        assert matching.number_places(text, value, least=2) == want, (text, value)
+
+
+def test_number_places_compile_nothing_for_a_value(monkeypatch):
+    matching.number_places("1 2", "99", least=2)
+    monkeypatch.setattr(re._compiler, "compile", lambda *_: pytest.fail("compiled"))
+    assert matching.number_places("a 12 34-56 b", "123456") == [(2, 10)]
+
+
+@pytest.mark.parametrize("name", ["number_matches", "name_matches", "offset_repair", "profile_leaks", "draft_issues", "attack_pairs"])
+def test_small_tables_are_dealt_to_all_cores(spark, name):
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
