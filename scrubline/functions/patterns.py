@@ -1,4 +1,4 @@
-"""Detection rules: name, label, priority, pattern, group and validator."""
+"""Detection rules: name, label, priority, pattern, group, validator and what each match holds."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ class Rule(NamedTuple):
     validator: str | None = None
     group: int = 0
     enabled: bool = True
+    needs: str = ""  # a plain string or short pattern that lies in each match: texts without it aren't searched
 
 
 # The patterns that detection must agree on.
@@ -22,46 +23,46 @@ _EN = "January|February|March|April|May|June|July|August|September|October|Novem
 _FR = r"janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre"
 _NUMBER = r"(?:\d{1,3}(?:[.,\s ]\d{3})+|\d{1,9})(?:[.,]\d{2})?"
 RULES = (
-    Rule("stripe_secret", "API_KEY", 1, r"sk_(?:live|test|adm)_[0-9a-zA-Z]{24,}"),
-    Rule("aws_key_id", "AWS_KEY", 1, r"AKIA[0-9A-Z]{16}"),
-    Rule("google_api", "API_KEY", 1, r"AIza[0-9A-Za-z\-_]{35}"),
-    Rule("generic_secret", "SECRET", 1, r"sk_[0-9A-Za-z]{16,64}"),
-    Rule("iban", "IBAN", 2, r"(?i)\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}\b", "iban"),
+    Rule("stripe_secret", "API_KEY", 1, r"sk_(?:live|test|adm)_[0-9a-zA-Z]{24,}", needs="sk_"),
+    Rule("aws_key_id", "AWS_KEY", 1, r"AKIA[0-9A-Z]{16}", needs="AKIA"),
+    Rule("google_api", "API_KEY", 1, r"AIza[0-9A-Za-z\-_]{35}", needs="AIza"),
+    Rule("generic_secret", "SECRET", 1, r"sk_[0-9A-Za-z]{16,64}", needs="sk_"),
+    Rule("iban", "IBAN", 2, r"(?i)\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}\b", "iban", needs=r"\d"),
     Rule("bic", "BIC", 2, r"(?i)\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", "bic", enabled=False),
-    Rule("nir_ssn", "NIR", 2, r"(?i)\b[12](?:[ -]?)[0-9]{2}(?:[ -]?)(0[1-9]|1[0-2])(?:[ -]?)(2[AB]|[0-9]{2})(?:[ -]?)[0-9]{3}(?:[ -]?)[0-9]{3}(?:(?:[ -]?)([0-9]{2}))?\b", "nir"),
-    Rule("credit_card", "CARD", 2, r"\b(?:\d[ -]?){13,19}\b", "luhn"),
-    Rule("uuid", "UUID", 3, r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b"),
-    Rule("mac_address", "MAC", 3, r"\b[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}\b"),
-    Rule("ticket_id", "TICKET", 3, r"\b[A-Z][A-Z0-9]{1,9}-\d+\b"),
-    Rule("ipv4", "IP", 2, r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)"),
-    Rule("ipv6", "IP", 2, r"(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}"),
-    Rule("url_http", "URL", 2, r"(?i)\bhttps?://[\w\-._~:/?#\[\]@!$&'()*+,;=%]+"),
-    Rule("url_nonhttp", "URL", 2, r"(?i)(?:sftp|ssh|s3|gs|git\+ssh|scp)://\S+"),
+    Rule("nir_ssn", "NIR", 2, r"(?i)\b[12](?:[ -]?)[0-9]{2}(?:[ -]?)(0[1-9]|1[0-2])(?:[ -]?)(2[AB]|[0-9]{2})(?:[ -]?)[0-9]{3}(?:[ -]?)[0-9]{3}(?:(?:[ -]?)([0-9]{2}))?\b", "nir", needs=r"\d"),
+    Rule("credit_card", "CARD", 2, r"\b(?:\d[ -]?){13,19}\b", "luhn", needs=r"\d"),
+    Rule("uuid", "UUID", 3, r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b", needs=r"\d"),
+    Rule("mac_address", "MAC", 3, r"\b[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}\b", needs=":"),
+    Rule("ticket_id", "TICKET", 3, r"\b[A-Z][A-Z0-9]{1,9}-\d+\b", needs=r"\d"),
+    Rule("ipv4", "IP", 2, r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)", needs=r"\d"),
+    Rule("ipv6", "IP", 2, r"(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}", needs=":"),
+    Rule("url_http", "URL", 2, r"(?i)\bhttps?://[\w\-._~:/?#\[\]@!$&'()*+,;=%]+", needs="://"),
+    Rule("url_nonhttp", "URL", 2, r"(?i)(?:sftp|ssh|s3|gs|git\+ssh|scp)://\S+", needs="://"),
     Rule("hostname", "HOST", 3, r"\b(?:[a-zA-Z0-9-]{1,63}\.)+[a-zA-Z]{2,63}\b", enabled=False),
-    Rule("email_strict", "MAIL", 3, r"(?<![\w@])[a-zA-Z0-9._%+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}"),
-    Rule("phone_international", "TELEPHONE", 3, r"(?:\+|00)[1-9]\d{1,14}|(?:\+33|0)[1-9]\d{8}", "phone"),
-    Rule("phone_fr_loose", "TELEPHONE", 3, r"(?i)(?<!\w)(?:\+\d{1,3}|0{1,2}\s?-?\d{1,3}|0)[\s.-]?\d(?:[\s.-]?\d{2}){4}(?!\w)", "phone"),
-    Rule("phone_context_short", "TELEPHONE", 3, r"(?i)(?:\b(?:tel|tél|téléphone|telephone|phone|mobile|portable)\b\s*(?:is|=|:)?\s*)(\d{1,4}[\s.-]?\d{3}[\s.-]?\d{4})\b", "phone", 1),
-    Rule("path_unix", "PATH", 4, r"(?<!\w)/(?!/)[^\s]+"),
-    Rule("path_windows", "PATH", 4, r"\b[A-Za-z]:\\\\(?:[^\\\\\s]+\\\\)*[^\\\\\s]*"),
-    Rule("ssn_us", "SSN", 2, r"\b(?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", "ssn"),
-    Rule("phone_us", "TELEPHONE", 3, r"(?<!\d)\(\d{3}\)\s?\d{3}[-\s.]\d{4}\b", "phone"),
-    Rule("date_iso", "DATE", 3, r"\b\d{4}-\d{2}-\d{2}\b"),
-    Rule("date_en_full", "DATE", 3, rf"(?i)\b\d{{1,2}}\s+({_EN})\s+\d{{4}}\b"),
-    Rule("date_en_comma", "DATE", 3, rf"(?i)\b({_EN})\s+\d{{1,2}},\s*\d{{4}}\b"),
-    Rule("date_en_month_year", "DATE", 3, rf"(?i)\b({_EN})\s+\d{{4}}\b"),
-    Rule("date_fr_full", "DATE", 3, rf"(?i)\b(\d{{1,2}}|1er)\s+({_FR}|janv\.?,?|févr\.?,?|fevr\.?,?|avr\.?,?|juil\.?,?|sept\.?,?|oct\.?,?|nov\.?,?|déc\.?,?|dec\.?)\s+\d{{4}}\b"),
-    Rule("date_fr_month_year", "DATE", 3, rf"(?i)\b({_FR}|janv\.?|févr\.?|fevr\.?|avr\.?|juil\.?|sept\.?|oct\.?|nov\.?|déc\.?|dec\.?)\s+\d{{4}}\b"),
-    Rule("date_numeric", "DATE", 3, r"\b\d{1,2}[\/\-.]\d{1,2}[\/\-.]\d{2,4}\b"),
-    Rule("date_quarter_year", "DATE", 3, r"(?i)\bQ[1-4]\s*\d{4}\b"),
-    Rule("username_keyval", "USERNAME", 3, r"(?i)\b(?:user|username|login|utilisateur)\s*[:=]\s*([A-Za-z0-9._-]{3,64})", None, 1),
-    Rule("username_linux", "USERNAME", 3, r"\buid=\d+\(([^)]+)\)", None, 1),
-    Rule("amount_currency_prefix", "MONTANT", 3, rf"(?i)\b(?:EUR|USD|NOK|SEK|GBP|CHF|CAD|AUD|JPY|CNY)\s*{_NUMBER}\b"),
-    Rule("amount_symbol_prefix", "MONTANT", 3, rf"(?i)(?<![\w<])(?:€|\$|£)\s?{_NUMBER}\b"),
-    Rule("amount_suffix", "MONTANT", 3, rf"(?i)\b{_NUMBER}\s?(?:euros?|EUR|USD|NOK|dollars?|SEK|GBP|pounds?|livres|CHF|CAD|AUD|JPY|CNY)\b"),
-    Rule("amount_symbol_suffix", "MONTANT", 3, rf"(?i)\b{_NUMBER}\s?(?:€|\$|£)(?!\w)"),
-    Rule("code_legal", "CODE", 3, r"(?i)\b(?:Article|Art\.?)\s+\d+[A-Za-z]?\b", enabled=False),
-    Rule("code_law", "CODE", 3, r"(?i)\b(?:Law|Decree|Act)\s+no\.?\s*\d+[A-Za-z]?\b", enabled=False),
+    Rule("email_strict", "MAIL", 3, r"(?<![\w@])[a-zA-Z0-9._%+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}", needs="@"),
+    Rule("phone_international", "TELEPHONE", 3, r"(?:\+|00)[1-9]\d{1,14}|(?:\+33|0)[1-9]\d{8}", "phone", needs=r"\d"),
+    Rule("phone_fr_loose", "TELEPHONE", 3, r"(?i)(?<!\w)(?:\+\d{1,3}|0{1,2}\s?-?\d{1,3}|0)[\s.-]?\d(?:[\s.-]?\d{2}){4}(?!\w)", "phone", needs=r"\d"),
+    Rule("phone_context_short", "TELEPHONE", 3, r"(?i)(?:\b(?:tel|tél|téléphone|telephone|phone|mobile|portable)\b\s*(?:is|=|:)?\s*)(\d{1,4}[\s.-]?\d{3}[\s.-]?\d{4})\b", "phone", 1, needs=r"\d"),
+    Rule("path_unix", "PATH", 4, r"(?<!\w)/(?!/)[^\s]+", needs="/"),
+    Rule("path_windows", "PATH", 4, r"\b[A-Za-z]:\\\\(?:[^\\\\\s]+\\\\)*[^\\\\\s]*", needs=":"),
+    Rule("ssn_us", "SSN", 2, r"\b(?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", "ssn", needs=r"\d"),
+    Rule("phone_us", "TELEPHONE", 3, r"(?<!\d)\(\d{3}\)\s?\d{3}[-\s.]\d{4}\b", "phone", needs=r"\d"),
+    Rule("date_iso", "DATE", 3, r"\b\d{4}-\d{2}-\d{2}\b", needs=r"\d{4}"),
+    Rule("date_en_full", "DATE", 3, rf"(?i)\b\d{{1,2}}\s+({_EN})\s+\d{{4}}\b", needs=r"\d{4}"),
+    Rule("date_en_comma", "DATE", 3, rf"(?i)\b({_EN})\s+\d{{1,2}},\s*\d{{4}}\b", needs=r"\d{4}"),
+    Rule("date_en_month_year", "DATE", 3, rf"(?i)\b({_EN})\s+\d{{4}}\b", needs=r"\d{4}"),
+    Rule("date_fr_full", "DATE", 3, rf"(?i)\b(\d{{1,2}}|1er)\s+({_FR}|janv\.?,?|févr\.?,?|fevr\.?,?|avr\.?,?|juil\.?,?|sept\.?,?|oct\.?,?|nov\.?,?|déc\.?,?|dec\.?)\s+\d{{4}}\b", needs=r"\d{4}"),
+    Rule("date_fr_month_year", "DATE", 3, rf"(?i)\b({_FR}|janv\.?|févr\.?|fevr\.?|avr\.?|juil\.?|sept\.?|oct\.?|nov\.?|déc\.?|dec\.?)\s+\d{{4}}\b", needs=r"\d{4}"),
+    Rule("date_numeric", "DATE", 3, r"\b\d{1,2}[\/\-.]\d{1,2}[\/\-.]\d{2,4}\b", needs=r"\d"),
+    Rule("date_quarter_year", "DATE", 3, r"(?i)\bQ[1-4]\s*\d{4}\b", needs=r"\d{4}"),
+    Rule("username_keyval", "USERNAME", 3, r"(?i)\b(?:user|username|login|utilisateur)\s*[:=]\s*([A-Za-z0-9._-]{3,64})", None, 1, needs="[:=]"),
+    Rule("username_linux", "USERNAME", 3, r"\buid=\d+\(([^)]+)\)", None, 1, needs="uid="),
+    Rule("amount_currency_prefix", "MONTANT", 3, rf"(?i)\b(?:EUR|USD|NOK|SEK|GBP|CHF|CAD|AUD|JPY|CNY)\s*{_NUMBER}\b", needs=r"\d"),
+    Rule("amount_symbol_prefix", "MONTANT", 3, rf"(?i)(?<![\w<])(?:€|\$|£)\s?{_NUMBER}\b", needs=r"\d"),
+    Rule("amount_suffix", "MONTANT", 3, rf"(?i)\b{_NUMBER}\s?(?:euros?|EUR|USD|NOK|dollars?|SEK|GBP|pounds?|livres|CHF|CAD|AUD|JPY|CNY)\b", needs=r"\d"),
+    Rule("amount_symbol_suffix", "MONTANT", 3, rf"(?i)\b{_NUMBER}\s?(?:€|\$|£)(?!\w)", needs=r"\d"),
+    Rule("code_legal", "CODE", 3, r"(?i)\b(?:Article|Art\.?)\s+\d+[A-Za-z]?\b", enabled=False, needs=r"\d"),
+    Rule("code_law", "CODE", 3, r"(?i)\b(?:Law|Decree|Act)\s+no\.?\s*\d+[A-Za-z]?\b", enabled=False, needs=r"\d"),
 )
 FORBIDDEN = ("@", "sk_", "AKIA", "+33")
 BY_NAME = {r.name: r for r in RULES}

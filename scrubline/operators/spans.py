@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -36,9 +36,22 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def found(text: Column, rules: Sequence[Rule], whitelist: Sequence[str] = ()) -> Column:
-    """array<struct<start,end,label,value,rule,priority>> of the valid matches of rules that report whole matches."""
+def held(text: Column, needs: str) -> Column:
+    """Whether a text holds what each match of a rule does: a search for a plain string or a character costs a small part of
+    what a rule's pattern does."""
+    return F.regexp_like(text, F.lit("(?U)" + needs)) if re.search(r"[\\\[]", needs) else F.contains(text, F.lit(needs))
+
+
+def found(text: Column, rules: Sequence[Rule], whitelist: Sequence[str] = (), holds: Mapping[str, Column] | None = None) -> Column:
+    """array<struct<start,end,label,value,rule,priority>> of the valid matches of rules that report whole matches. holds: what
+    held gives for the rules' needs, where it is known."""
     skip = [w.strip().lower() for w in whitelist]
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def searched(r: Rule) -> Column:
+        if not r.needs:
+            return matches(text, java(r.pattern))
+        return F.when(holds[r.needs] if holds else held(text, r.needs), matches(text, java(r.pattern))).otherwise(none)
 
     def one(r: Rule) -> Column:
         check = r.validator or validators.BY_LABEL.get(r.label)
@@ -49,7 +62,7 @@ def found(text: Column, rules: Sequence[Rule], whitelist: Sequence[str] = ()) ->
             return test & ~F.lower(F.trim(m["value"])).isin(*skip) if skip else test
 
         fixed = {"label": r.label, "value": None, "rule": r.name, "priority": r.priority}
-        return F.transform(F.filter(matches(text, java(r.pattern)), ok), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[(m["value"] if v is None else F.lit(v)).alias(k) for k, v in fixed.items()]))
+        return F.transform(F.filter(searched(r), ok), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[(m["value"] if v is None else F.lit(v)).alias(k) for k, v in fixed.items()]))
 
     return F.concat(*[one(r) for r in rules])
 
@@ -75,13 +88,24 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = RULES, whitelist: Sequence[s
     and only for texts that have a match; the others stay in the JVM."""
     active = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
     whole, grouped = [r for r in active if not r.group], [r for r in active if r.group]
-    text = F.coalesce("text", F.lit(""))
-    parts = [rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")), found(F.col("text"), whole, whitelist), "doc_id")] if whole else []
+    parts = []
+    if whole:
+        some, holds = _holding(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), whole)
+        parts.append(rows(some, found(F.col("text"), whole, whitelist, holds), "doc_id"))
     if grouped:
         parts.append(_grouped(docs, grouped, whitelist))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _holding(docs: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, dict[str, Column]]:
+    """The texts that some rule may match, with what they hold: found once for all rules that need the same."""
+    names = {needs: f"_holds_{k}" for k, needs in enumerate(dict.fromkeys(r.needs for r in rules if r.needs))}
+    kept = docs.withColumns({c: held(F.col("text"), needs) for needs, c in names.items()})
+    if all(r.needs for r in rules):
+        kept = kept.where(functools.reduce(Column.__or__, [F.col(c) for c in names.values()]))
+    return kept, {needs: F.col(c) for needs, c in names.items()}
+
+
 def _grouped(docs: DataFrame, rules: Sequence[Rule], whitelist: Sequence[str]) -> DataFrame:
     skip = {w.strip().lower() for w in whitelist}
 
@@ -99,7 +123,8 @@ def _grouped(docs: DataFrame, rules: Sequence[Rule], whitelist: Sequence[str]) -
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "label", "value", "rule", "priority", "validator"])
 
-    some = functools.reduce(Column.__or__, [F.regexp_like("text", F.lit(java(r.pattern))) for r in rules])
+    docs, holds = _holding(docs, rules)
+    some = functools.reduce(Column.__or__, [holds.get(r.needs, F.lit(True)) & F.regexp_like("text", F.lit(java(r.pattern))) for r in rules])
     rows = docs.where(some).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start int, end int, label string, value string, rule string, priority int, validator string")
     ok = F.lit(True)
     for name in ("luhn", "iban", "bic", "nir", "ssn", "phone"):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import labels, validators
-from scrubline.functions.patterns import BY_NAME
+from scrubline.functions.patterns import BY_NAME, RULES
 from scrubline.operators import masking, metrics, spans
 
 SPANS = "doc_id bigint, start int, end int, label string, value string, source string, score double"
@@ -118,3 +118,20 @@ def test_long_texts_are_located_in_linear_time(spark):
     assert [(s["start"], s["end"]) for s in row["s"]] == [(9 * k, 9 * k + 6) for k in range(5000)]
     r = spark.range(1).select(arrays.sums(F.sequence(F.lit(1), F.lit(200))), arrays.maxima(F.array(F.lit(3), F.lit(1), F.lit(4))), arrays.sums(F.array().cast("array<int>"))).first()
     assert r[0] == [k * (k + 1) // 2 for k in range(1, 201)] and r[1] == [3, 3, 4] and r[2] == []
+
+
+def test_texts_without_what_a_rule_needs_are_not_searched(spark):
+    samples = [
+        "sk_live_" + "a" * 24, "sk_" + "b" * 20, "AKIA" + "A" * 16, "AIza" + "z" * 35, "FR14 2004 1010 0505 0001 3M02 606", "1 84 12 76 451 089", "4111 1111 1111 1111", "abcdefab-cdef-1abc-abcd-abcdefabcdef", "ab:cd:ef:ab:cd:ef", "AB-١",
+        "10.0.0.1", "fe80::1 a:b:c:d", "HTTPſ://x.y", "https://x", "git+ssh://h", "é bob@example.com", "0612345678", "06 12 34 56 78", "Téléphone: 555 123 4567", "a /usr/bin", "C:\\\\dir\\\\f", "123-45-6789", "(555) 555-1234", "2020-01-02", "12 march ٢٠٢٠", "May 3, 2020",
+        "Auguſt 2020", "1er août 2020", "déc. 2020", "1/2/20", "q4 2020", "user = alice", "uid=0(root)", "EUR 5", "$5", "5 euros", "5 €", "nothing here", "", None,
+    ]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(samples)] + [(100, "\n".join(x or "" for x in samples))], "doc_id bigint, text string")
+    every = lambda rules: spans.detect(docs, rules, ["root"])
+    got = every(RULES)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(tuple(r) for r in every([r._replace(needs="") for r in RULES]).collect())
+    assert {r.name for r in RULES if r.enabled} - {r[5] for r in rows} == {"username_linux"}
+    assert all(r.needs for r in RULES if r.enabled) and "Filter" in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+    kept = spans._holding(docs, [r for r in RULES if r.enabled])[0]
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(samples) - 3)) | {100}
