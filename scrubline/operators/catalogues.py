@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,7 +74,25 @@ def _found(upto: Column, at: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(upto) + 1)).cast("int")), start, step)["low"]
 
 
-def draw_from(rows: DataFrame, table: DataFrame, attribute: str, at: Column, given: Column | None = None, name: str | None = None, small: int = SMALL) -> DataFrame:
+class Prepared(NamedTuple):
+    """One attribute's distribution as draws need it: its rows by _given, and these as arrays of running sums if they are few."""
+
+    rows: DataFrame
+    arrays: DataFrame | None
+
+
+def prepared(table: DataFrame, attribute: str, given: bool, small: int = SMALL) -> Prepared:
+    # Values go by two digits of a digest, then by themselves: so their running sums never need one task for them all.
+    part = F.substring(F.md5("value"), 1, 2).alias("_part")
+    own = table.where(F.col("attribute") == attribute).select(F.col("given").alias("_given") if given else F.coalesce("given", F.lit("")).alias("_given"), "value", part, "weight").groupBy("_given", "_part", "value").agg(F.sum("weight").alias("weight"))
+    if own.count() > small:
+        return Prepared(own, None)
+    sorted_ = F.array_sort(F.collect_list(F.struct("_part", "value", "weight")))
+    sums = F.aggregate("_v", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["weight"])))
+    return Prepared(own, own.groupBy("_given").agg(sorted_.alias("_v")).select("_given", F.transform("_v", lambda x: x["value"]).alias("_values"), sums.alias("_upto")))
+
+
+def draw_from(rows: DataFrame, table: DataFrame | Prepared, attribute: str, at: Column, given: Column | None = None, name: str | None = None, small: int = SMALL) -> DataFrame:
     """rows with a column (named as the attribute, or name) drawn from the table's distribution for what it is given; null
     where the table has none. at: a point below 2**32.
 
@@ -81,13 +100,8 @@ def draw_from(rows: DataFrame, table: DataFrame, attribute: str, at: Column, giv
     buckets of its sum as it has values, each value to the buckets it touches, and met by given and bucket."""
     name = name or attribute
     keyed = rows.withColumns({"_at": at, "_given": F.lit("") if given is None else given.cast("string")})
-    # Values go by two digits of a digest, then by themselves: so their running sums never need one task for them all.
-    part = F.substring(F.md5("value"), 1, 2).alias("_part")
-    own = table.where(F.col("attribute") == attribute).select(F.coalesce("given", F.lit("")).alias("_given") if given is None else F.col("given").alias("_given"), "value", part, "weight").groupBy("_given", "_part", "value").agg(F.sum("weight").alias("weight"))
-    if own.count() <= small:
-        sorted_ = F.array_sort(F.collect_list(F.struct("_part", "value", "weight")))
-        sums = F.aggregate("_v", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["weight"])))
-        arrays = own.groupBy("_given").agg(sorted_.alias("_v")).select("_given", F.transform("_v", lambda x: x["value"]).alias("_values"), sums.alias("_upto"))
+    own, arrays = table if isinstance(table, Prepared) else prepared(table, attribute, given is not None, small)
+    if arrays is not None:
         place = _place(F.col("_at"), F.element_at("_upto", -1))
         return keyed.join(F.broadcast(arrays), "_given", "left").withColumn(name, F.get("_values", _found(F.col("_upto"), place))).drop("_at", "_given", "_values", "_upto")
     parts = own.groupBy("_given", "_part").agg(F.sum("weight").alias("_in"))
@@ -113,36 +127,59 @@ def people(worlds: DataFrame, per_world: int, table: DataFrame, fields: dict[str
 
     worlds: world_id. fields: what each is drawn from in the table and given which other field, in order. Round by round, of
     people who agree in two fields all but the first (by k) are drawn anew with the next derived seed, but for the fields in
-    fixed; whoever is settled stays so. A round looks only at those drawn anew and at the settled people's keys that they
-    have; it ends when none is left, or with an error after most rounds, where a world has no room for its people."""
+    fixed; whoever is settled stays so. A round looks only at those drawn anew and at the settled people of their worlds; it
+    ends when none is left, or with an error after most rounds, where a world has no room for its people. Distributions are
+    prepared once, and fields that neither are in apart nor lead to one that is are drawn at the end. Worlds are dealt to as many
+    tasks as there are shuffle partitions, or cores if these are more: a few ids become all the people."""
     spark = worlds.sparkSession
-    rows = worlds.where("world_id is not null").select("world_id").distinct().select("world_id", F.explode(F.sequence(F.lit(0), F.lit(per_world - 1))).alias("k"), F.lit(0).alias("attempt"))
-
-    def drawn(todo: DataFrame) -> DataFrame:
-        for name, given in fields.items():
+    table = table.where(F.col("attribute").isin(*fields)).groupBy("attribute", "given", "value").agg(F.sum("weight").alias("weight")).checkpoint()
+    known = {}
+    for name, given in fields.items():
+        own = prepared(table, name, given is not None, small)
+        known[name] = Prepared(own.rows.checkpoint(), None) if own.arrays is None else Prepared(own.rows, own.arrays.checkpoint())
+
+    def drawn(todo: DataFrame, names: list[str]) -> DataFrame:
+        for name in names:
             index = [F.col("world_id"), F.col("k"), *([] if name in fixed else [F.col("attempt")])]
-            todo = draw_from(todo, table, name, point(seed, name, *index), None if given is None else F.col(given), small=small)
+            todo = draw_from(todo, known[name], name, point(seed, name, *index), None if fields[name] is None else F.col(fields[name]))
         return todo
 
-    settled, open_ = None, rows
+    def finished(rows: DataFrame) -> DataFrame:
+        rows = drawn(rows, [f for f in fields if f not in compared])
+        return rows.select(F.concat_ws("_", F.col("world_id").cast("string"), F.format_string("p%03d", F.col("k") + 1)).alias("person_id"), "world_id", "k", "attempt", *fields)
+
+    compared: list[str] = []  # fields in apart and what they are drawn by
+    for name in reversed(fields):
+        if name in apart or any(fields[f] == name for f in compared):
+            compared.insert(0, name)
+    kept: list[str] = []  # of these, what another attempt doesn't change
+    for name in compared:
+        if name in fixed and (fields[name] is None or fields[name] in kept):
+            kept.append(name)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = worlds.where("world_id is not null").select("world_id").repartition(parts, "world_id").distinct()
+    open_ = drawn(rows.select("world_id", F.explode(F.sequence(F.lit(0), F.lit(per_world - 1))).alias("k"), F.lit(0).alias("attempt")), kept)
+    if len(apart) < 2:
+        return finished(drawn(open_, [f for f in compared if f not in kept]))
+    settled, many = None, None
     for _ in range(most):
-        new = drawn(open_).withColumn("_keys", keys(apart, "world_id")).checkpoint()
-        each = new.select("world_id", "k", F.explode("_keys").alias("_key"))
-        first = each.groupBy("_key").agg(F.min("k").alias("_first"))
-        lost = each.join(first, "_key").where("k > _first").select("world_id", "k")
+        new = drawn(open_, [f for f in compared if f not in kept])
+        each = new.select("world_id", "k", "attempt", *compared, F.explode(keys(apart, "world_id")).alias("_key"))
         if settled is not None:
-            wanted = each.select("_key").distinct()
-            wanted = F.broadcast(wanted) if new.count() * len(apart) ** 2 <= small else wanted
-            taken = settled.select(F.explode("_keys").alias("_key")).join(wanted, "_key", "left_semi").distinct()
-            lost = lost.unionByName(each.join(taken, "_key").select("world_id", "k"))
-        lost = lost.distinct().checkpoint()
-        good = new.join(lost, ["world_id", "k"], "left_anti")
+            again = open_.select("world_id").distinct()
+            again = F.broadcast(again) if many <= small else again
+            old = settled.join(again, "world_id", "left_semi").select("world_id", F.lit(-1).alias("k"), F.explode(keys(apart, "world_id")).alias("_key"))
+            each = each.unionByName(old, allowMissingColumns=True)
+        met = each.withColumn("_lost", F.min("k").over(Window.partitionBy("_key")) < F.col("k")).where("k >= 0")
+        judged = met.groupBy("world_id", "k").agg(F.max("_lost").alias("_lost"), *[F.first(c).alias(c) for c in ("attempt", *compared)]).checkpoint()
+        good = judged.where("not _lost").drop("_lost")
         settled = good if settled is None else settled.unionByName(good)
-        settled = settled.checkpoint()
-        open_ = lost.join(new.select("world_id", "k", "attempt"), ["world_id", "k"]).select("world_id", "k", (F.col("attempt") + 1).alias("attempt")).checkpoint()
-        if open_.isEmpty():
-            return settled.select(F.concat_ws("_", F.col("world_id").cast("string"), F.format_string("p%03d", F.col("k") + 1)).alias("person_id"), "world_id", "k", "attempt", *fields)
-    raise ValueError(f"after {most} rounds {open_.count()} people still agree with others of their worlds in more than one of {apart}; the first of them: {open_.first()}")
+        open_ = judged.where("_lost").select("world_id", "k", (F.col("attempt") + 1).alias("attempt"), *kept)
+        many = open_.count()
+        if not many:
+            return finished(settled)
+    raise ValueError(f"after {most} rounds {many} people still agree with others of their worlds in more than one of {apart}; the first of them: {open_.first()}")
 
 
 def marginals(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -98,6 +98,23 @@ def test_people_of_a_tight_world_equal_brute_force(spark, table):
         catalogues.people(worlds, 9, table, fields, ["city", "grade"], most=4).count()  # six pairs at most
 
 
+def test_rounds_of_people_take_few_jobs(spark, table):
+    fields, apart, worlds = {"years": None, "city": None, "role": "city", "grade": None}, ["city", "years", "grade"], [f"w{k}" for k in range(40)]
+    context = spark.sparkContext
+    context.setJobGroup("people", "people")
+    try:
+        made = catalogues.people(spark.createDataFrame([(w,) for w in worlds], "world_id string"), 5, table, fields, apart, seed=8)
+        jobs = len(context.statusTracker().getJobIdsForGroup("people"))
+    finally:
+        context._jsc.clearJobGroup()
+    got = {(r["world_id"], r["k"]): ({n: r[n] for n in fields}, r["attempt"]) for r in made.collect()}
+    rounds = 1 + max(attempt for _, attempt in got.values())
+    assert got == brute_people(worlds, 5, fields, apart, 8) and rounds > 2
+    assert jobs < 30 + 16 * rounds, (jobs, rounds)
+    one = catalogues.people(spark.createDataFrame([("a",)], "world_id string"), 3, table, {"city": None, "years": None}, ["city"], seed=8)
+    assert {r["k"]: r["city"] for r in one.collect()} == {k: picked("city", None, point(8, "city", "a", k, 0)) for k in range(3)}
+
+
 def test_phrases_are_read():
     assert templates.read_phrase("[goal=x !direct] Oui {TEAM}, {when}.\n") == (["goal=x", "value:TEAM", "value:when"], ["direct"], [("Oui ", None, None), (None, "TEAM", None), (", ", None, None), (None, None, "when"), (".\n", None, None)])
     assert templates.read_phrase("Non.") == ([], [], [("Non.", None, None)])
