@@ -227,7 +227,9 @@ def greedy_match(t):
 @query(f"SELECT lang, count(*) AS n, round(avg(length(masked) / length(text)), 4) AS kept_length, count(*) FILTER (masked <> text) AS n_changed FROM ({_MASKED_SQL}) GROUP BY lang")
 def length_change(t):
     d = masked_documents(t)
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.length("masked") / F.length("text")), 4).alias("kept_length"), F.count_if(F.col("masked") != F.col("text")).alias("n_changed"))
+    # An empty text has no share: NaN as in SQL, where ANSI division is an error.
+    kept = F.when(F.length("text") == 0, float("nan")).otherwise(F.length("masked") / F.length("text"))
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(kept), 4).alias("kept_length"), F.count_if(F.col("masked") != F.col("text")).alias("n_changed"))
 
 
 _W = "list_filter(string_split_regex({}, '[\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')"

@@ -1,11 +1,13 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import labels, validators
 from scrubline.functions.patterns import BY_NAME, RULES
 from scrubline.operators import masking, metrics, spans
+from scrubline.plans import catalogue
 
 SPANS = "doc_id bigint, start int, end int, label string, value string, source string, score double"
 
@@ -135,3 +137,12 @@ def test_texts_without_what_a_rule_needs_are_not_searched(spark):
     assert all(r.needs for r in RULES if r.enabled) and "Filter" in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
     kept = spans._holding(docs, [r for r in RULES if r.enabled])[0]
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(samples) - 3)) | {100}
+
+
+def test_length_change_of_empty_texts(spark, tmp_path):
+    rows = [(1, "", "en"), (2, "a bob@example.com", "en"), (3, "(555) 555-1234 x", "fr"), (4, None, "fr"), (5, None, "de"), (6, "", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["length_change"]).fetchall()
+    assert sorted(map(str, map(tuple, catalogue.QUERIES["length_change"](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
