@@ -3,7 +3,7 @@ are made in parallel, in any order, and come out the same each time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,21 +43,27 @@ def people(worlds: DataFrame, per_world: int, marginals: dict[str, dict[str, flo
     return rows.select(F.concat_ws("_", "world_id", F.format_string("p%03d", F.col("k") + 1)).alias("person_id"), "world_id", *[c.alias(n) for n, c in own.items()])
 
 
-def neighbours(people: DataFrame, group: str, seed: int, most: int, in_arc: int = 100_000) -> DataFrame:
-    """person_id with the people before and following it on its group's ring, most at each side.
+def neighbours(people: DataFrame, group: str, seed: int, most: int, in_arc: int = 100_000, kept: tuple[str, ...] = ()) -> DataFrame:
+    """person_id with the people before and following it on its group's ring, most at each side. kept: more columns of people;
+    then those before and following are structs of person_id and them.
 
     A ring is cut into arcs of in_arc people or so, each with copies of those next to it, so that no task orders a whole
     group. Points are hashes: an arc with fewer than most people is out of the question while in_arc is many times most."""
     counts = people.groupBy(group).agg(F.count("*").alias("_n"))
-    ring = people.select("person_id", group).withColumn("point", draw(seed, "ring", F.col("person_id"))).alias("a").join(counts.alias("b"), F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")))
+    ring = people.select("person_id", group, *kept).withColumn("point", draw(seed, "ring", F.col("person_id"))).alias("a").join(counts.alias("b"), F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")))
     arcs = F.greatest(F.floor(F.col("_n") / in_arc), F.lit(1))
     own = W.partitionBy("g", "_arc")
-    ring = ring.select("person_id", F.col(f"a.{group}").alias("g"), "point", arcs.alias("_arcs"), F.floor(F.col("point") * arcs).alias("_arc"))
+    ring = ring.select("person_id", *kept, F.col(f"a.{group}").alias("g"), "point", arcs.alias("_arcs"), F.floor(F.col("point") * arcs).alias("_arc"))
     ring = ring.select("*", F.row_number().over(own.orderBy("point", "person_id")).alias("_r"), F.count("*").over(own).alias("_in"))
     copies = F.array_compact(F.array(F.col("_arc"), F.when((F.col("_r") <= most) & (F.col("_arc") > 0), F.col("_arc") - 1), F.when((F.col("_r") > F.col("_in") - most) & (F.col("_arc") < F.col("_arcs") - 1), F.col("_arc") + 1)))
     w = W.partitionBy("g", "_to").orderBy("point", "person_id")
-    after, before = F.collect_list("person_id").over(w.rowsBetween(1, most)), F.collect_list("person_id").over(w.rowsBetween(-most, -1))
-    return ring.withColumn("_to", F.explode(copies)).select("person_id", "_arc", "_to", after.alias("following"), before.alias("before")).where("_arc = _to").drop("_arc", "_to")
+    one = F.when(F.col("person_id").isNotNull(), F.struct("person_id", *kept)) if kept else F.col("person_id")
+    after, before = F.collect_list(one).over(w.rowsBetween(1, most)), F.collect_list(one).over(w.rowsBetween(-most, -1))
+    return ring.withColumn("_to", F.explode(copies)).select("person_id", *kept, "_arc", "_to", after.alias("following"), before.alias("before")).where("_arc = _to").drop("_arc", "_to")
+
+
+def pool_size(difficulty: Column, limits: dict[str, int] = POOLS) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), difficulty), F.lit(limits["medium"]))
 
 
 def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, limits: dict[str, int] = POOLS, in_arc: int = 100_000) -> DataFrame:
@@ -67,8 +73,7 @@ def pools(targets: DataFrame, people: DataFrame, group: str, seed: int = 53, lim
     point on the ring. So a pool needs the pool's size of people, never all pairs of a group. targets: doc_id, person_id,
     difficulty."""
     after = neighbours(people, group, seed, max(limits.values()) - 1, in_arc)
-    size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("difficulty")), F.lit(limits["medium"]))
-    levels = F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level")
+    size, levels = pool_size(F.col("difficulty"), limits), F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level")
     # A target becomes up to 90 rows: targets are dealt to a fixed number of tasks, which adaptive execution leaves as they are.
     known = targets.join(after, "person_id").repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = known.select("doc_id", "person_id", "difficulty", size.alias("size"), "following", "before", levels)
@@ -129,8 +134,11 @@ _RING = f"""SELECT c_custkey, list(c_custkey) OVER (w ROWS BETWEEN 1 FOLLOWING A
   FROM orders JOIN ({_RING}) ON o_custkey = c_custkey, (VALUES ('low'), ('medium'), ('high')) l(level)), UNNEST(range(1, len(c) + 1)) u(place)""")
 def attack_pairs(t):
     people_ = t("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey")
-    targets = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("person_id"), F.when(F.col("o_orderstatus") == "O", "easy").when(F.col("o_orderstatus") == "F", "medium").otherwise("hard").alias("difficulty"))
-    return pools(targets, people_, "c_nationkey")
+    return pools(attack_targets(t), people_, "c_nationkey")
+
+
+def attack_targets(t) -> DataFrame:
+    return t("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("person_id"), F.when(F.col("o_orderstatus") == "O", "easy").when(F.col("o_orderstatus") == "F", "medium").otherwise("hard").alias("difficulty"))
 
 
 @query("SELECT doc_id, sha256('detect' || chr(10) || 'm' || chr(10) || 'v1' || chr(10) || '0.100' || chr(10) || coalesce(text, '')) AS cache_key FROM documents")

@@ -2,9 +2,12 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from scrubline.operators import generation as G
+from scrubline.plans import catalogue
 from scrubline.plans.generator_queries import neighbours, split_of_group
 
 PART = "array<struct<text: string, label: string, canonical_value: string>>"
@@ -73,3 +76,22 @@ def test_rings_in_arcs_equal_whole_rings(spark):
     people = spark.createDataFrame([(k, k % 2 if k % 11 else None) for k in range(3000)], "person_id long, g int")
     rows = lambda arc: sorted((r["person_id"], tuple(r["following"]), tuple(r["before"])) for r in neighbours(people, "g", 53, 9, arc).collect())
     assert rows(100) == rows(10**6) and len(rows(100)) == 3000
+
+
+@pytest.mark.parametrize("name", ["structured_attack"])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_attacks_make_no_rows_of_candidates(spark, tmp_path, name, repeated):
+    data = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    if repeated:  # keys of two customers and of one, whole rows twice
+        orders = orders.unionByName(orders.where("o_orderkey % 7 = 0").withColumn("o_custkey", F.col("o_custkey") + 1)).unionByName(orders.where("o_orderkey % 5 = 0"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    (tmp_path / "customer.parquet").symlink_to(f"{data}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'; CREATE VIEW customer AS SELECT * FROM '{data}/customer.parquet'")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(found.fetchall())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Join") == 2  # of groups' sizes and of orders with what was found
