@@ -15,7 +15,7 @@ _SIGNED = f"""SELECT doc_id, list_transform(range(64), lambda k: list_min(list_t
 @query(f"""WITH s AS (SELECT sig, min(doc_id) AS rep FROM ({_SIGNED}) WHERE sig[1] IS NOT NULL GROUP BY sig)
 SELECT x.rep AS a, y.rep AS b, round_even(list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) / 64, 4) AS estimate FROM s x JOIN s y ON x.rep < y.rep WHERE list_sum(list_transform(range(1, 65), lambda k: (x.sig[k] = y.sig[k])::INT)) >= 52""")
 def near_duplicate_pairs(t):
-    return diversity.near_duplicates(diversity.signatures(t("documents")))
+    return diversity.near_duplicates(diversity.signatures(diversity.may_pair(t("documents"))))
 
 
 @query(f"SELECT doc_id, CASE WHEN sig[1] IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY sig) END AS rep FROM ({_SIGNED})")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scrubline.functions import digests
 from scrubline.functions import grams as grams_
 from scrubline.functions.digests import md5_heads
 from scrubline.operators import detection, diversity, gazetteer, matching, spans
@@ -168,6 +169,19 @@ def test_near_duplicates_of_crowded_bands(spark, count, shared, hot, levels):
     assert {tuple(r) for r in got.collect()} == brute_pairs([r for r in rows if r[1]])
 
 
+@pytest.mark.parametrize("hot, levels", [(4096, 3), (16, 3), (16, 1)])
+def test_a_pair_is_made_once(spark, monkeypatch, hot, levels):
+    rnd = random.Random(9)
+    one = [rnd.getrandbits(64) for _ in range(64)]
+    rows = signature_rows(rnd, 80, 20)
+    for k in range(90):  # near copies of one text, and others that share a band with them
+        rows.append((1000 + k, np.array([rnd.getrandbits(64) if rnd.random() < (0.1 if k < 60 else 0.6) else x for x in one], ">u8").tobytes()))
+    df = spark.createDataFrame(rows, "doc_id bigint, signature binary").persist()
+    monkeypatch.setattr(type(df), "distinct", lambda self: self)
+    got = [tuple(r) for r in diversity.near_duplicates(df, hot=hot, levels=levels).collect()]
+    assert len(got) > 500 and len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
 def test_one_band_of_3000_signatures(spark):
     rows = signature_rows(random.Random(1), 3000, 5)
     df = spark.createDataFrame(rows, "doc_id bigint, signature binary").persist()
@@ -177,6 +191,42 @@ def test_one_band_of_3000_signatures(spark):
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_texts_without_a_pair_are_ruled_out(spark, few):
+    rnd = random.Random(8)
+    lone = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(50, 90))) for _ in range(200)]
+    near = []
+    for t in lone[:60]:
+        w = t.split()
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    texts = lone + near + lone[20:40] + [lone[50].upper() + "!", None, "", "?!", ""]
+    docs = spark.createDataFrame([(1000 - k, t) for k, t in enumerate(texts)] + [(None, lone[3])], "doc_id bigint, text string").repartition(3)
+    kept = diversity.may_pair(docs, few=few)
+    want = brute_pairs(sorted((r["doc_id"], r["signature"]) for r in diversity.signatures(docs.where("doc_id is not null")).collect() if r["signature"]))
+    assert len(want) > 20 and {tuple(r) for r in diversity.near_duplicates(diversity.signatures(kept)).collect()} == want
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {x for a, b, _ in want for x in (a, b)} <= set(ids) and len(ids) < 150 and not set(range(1000 - 199, 1000 - 60)) & set(ids)
+
+
+def test_rows_of_equal_texts():
+    rnd = random.Random(4)
+    texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.choice([0, 1, 2, 3, 63, 64, 65]))) for _ in range(300)] + [b"a" * 64, b"a" * 65, b"a" * 66] * 2
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    rows = digests.cut_rows(data, np.cumsum(lengths) - lengths, lengths)
+    assert [r.tobytes() for r in rows] == [t[:64].ljust(64, b"\0") for t in texts]
+    chosen, place = digests.distinct_rows(rows, lengths)
+    assert [texts[k] for k in chosen[place]] == texts and len({texts[k] for k in chosen if lengths[k] <= 64}) == (lengths[chosen] <= 64).sum()
+
+
+def test_words_of_texts_go_as_one_string(spark):
+    plan = diversity.signatures(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"))._jdf.queryExecution().analyzed().toString()
+    assert "array_join" in plan
+    with pytest.raises(Exception, match="NUL"):
+        diversity.signatures(spark.createDataFrame([(1, "a\0b c")], "doc_id bigint, text string"), own=lambda t: F.split(t, " ")).collect()
+
+
 def test_self_bleu_by_both_ways(spark):
     rnd = random.Random(3)
     docs = spark.createDataFrame([(k, " ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 30)))) for k in range(60)], "doc_id bigint, text string")
